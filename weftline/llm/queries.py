@@ -20,6 +20,19 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op2_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .kd_sharding import shard
+
+    out = shard(table(spark, sf_dir, "documents"), 8)
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_files import round_trip
+
+    return round_trip(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), end_id=2)
+
+
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .fingerprint import against_edits
 
@@ -33,6 +46,12 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import archive
+
+    return archive(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sentencepiece_codec import encode_decode
 
