@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from weftline.scratch import cut, scratch_dir  # noqa: F401  (used by the operators of this subpackage)
+
 #: Bytes of one Arrow batch sent to a Python worker: bounds a worker's memory whatever the row lengths.
 ARROW_BATCH_BYTES = 8 << 20
 
@@ -23,23 +22,6 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(ARROW_BATCH_BYTES))
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a folder of our own only where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not root:
-        root = f"{tempfile.gettempdir()}/weftline-scratch"
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/weftline-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame, name: str = "t") -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{name}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
