@@ -67,7 +67,7 @@ class _Model:
         mixed = np.where(self.same, both, (w[2] >> 4) * self.x2) >> 12
         self.pa = _SQUASH[np.clip((mixed >> 3) + 256, 0, 511)]
         self.pb = _SQUASH[np.clip((((w[3] >> 4) * self.x1) >> 15) + 256, 0, 511)]
-        self.fa = self.pa * (65536 - 2 * _FLOOR) // 65536 if False else self.pa - (self.pa >> 9)
+        self.fa = self.pa - (self.pa >> 9)
         rest = 65536 - self.fa
         self.fb = np.where(self.same, 0, ((rest >> 4) * (self.pb >> 4)) >> 8)
         self.fb = np.minimum(self.fb, rest - _FLOOR)
@@ -113,7 +113,6 @@ def encode_chunk(ids: np.ndarray) -> bytes:
         cum = np.cumsum(freq) - freq
         freq, cum = freq.astype(np.uint64), cum.astype(np.uint64)
         grid = np.zeros((BLOCK, blocks), np.int32)
-        grid.T.reshape(-1)[:0]
         full = np.zeros(blocks * BLOCK, np.int32)
         full[:n] = ids
         grid[:] = full.reshape(blocks, BLOCK).T
@@ -141,8 +140,8 @@ def encode_chunk(ids: np.ndarray) -> bytes:
             now = grid[t, :k]
             model.predict(k)
             hit2 = now == model.id2
-            escape = ~hit2 & (now != model.id1)
             fa, fb = model.fa, model.fb
+            escape = ~hit2 & ((now != model.id1) | (fb == 0))
             start = np.where(hit2, 0, np.where(escape, fa + fb, fa)).astype(np.uint64)
             width = np.where(hit2, fa, np.where(escape, 65536 - fa - fb, fb)).astype(np.uint64)
             r = span[:k] >> np.uint64(16)
