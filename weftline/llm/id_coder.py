@@ -25,7 +25,7 @@ CHUNK = 4 << 20
 _LOG0 = 20  # order-0 frequencies sum to 1 << _LOG0
 _SLOTS1, _SLOTS2, _CONF = 9, 10, 8
 _FLOOR = 64  # least share of 65536 that the escape keeps
-_BOTTOM, _HALF = np.uint64(1 << 31), np.uint64((1 << 31) - 1)
+_BOTTOM, _HALF = 1 << 31, (1 << 31) - 1
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray]:
@@ -37,6 +37,9 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
 
 
 _STRETCH, _SQUASH = _tables()
+# Stretched hit rates to begin with, by confidence; the weights of a block's lanes learn how far to trust them.
+_START1 = _STRETCH[[40, 500, 1100, 1700, 2300, 2800, 3200, 3600]]
+_START2 = _STRETCH[[40, 900, 1800, 2500, 3000, 3400, 3700, 3900]]
 
 
 class _Model:
@@ -46,47 +49,44 @@ class _Model:
         self.base1, self.base2 = np.arange(lanes, dtype=np.int64) << _SLOTS1, np.arange(lanes, dtype=np.int64) << _SLOTS2
         self.tab1, self.tab2 = np.zeros(lanes << _SLOTS1, np.int32), np.zeros(lanes << _SLOTS2, np.int32)
         self.prev1, self.prev2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-        start = (np.arange(_CONF) * 3000 + 200).astype(np.int32)  # hit rates of 65536 by confidence, to begin with
-        self.rate1, self.rate2 = np.tile(start, lanes), np.tile(start, lanes)
-        self.row = np.arange(lanes, dtype=np.int64) * _CONF
-        self.weights = [np.full(lanes, w, np.int32) for w in (36000, 36000, 65536, 65536)]
+        self.w1, self.w2 = np.full(lanes, 1 << 12, np.int32), np.full(lanes, 1 << 12, np.int32)
+        self.steps = 0
 
     def predict(self, n: int) -> None:
         """For the first n lanes: the two predicted ids, and shares fa and fb of 65536 for a hit of each."""
-        p1, p2 = self.prev1[:n], self.prev2[:n]
-        self.slot1 = ((p1 * 40503 >> 4) & ((1 << _SLOTS1) - 1)) + self.base1[:n]
-        self.slot2 = ((p1 * 40503 + p2 * 60493 >> 5) & ((1 << _SLOTS2) - 1)) + self.base2[:n]
-        self.e1, self.e2 = self.tab1[self.slot1], self.tab2[self.slot2]
+        k = self.prev1[:n] * 40503
+        self.slot1 = (k >> 4 & ((1 << _SLOTS1) - 1)) + self.base1[:n]
+        k += self.prev2[:n] * 60493
+        self.slot2 = (k >> 5 & ((1 << _SLOTS2) - 1)) + self.base2[:n]
+        self.e1, self.e2 = self.tab1.take(self.slot1), self.tab2.take(self.slot2)
         self.id1, self.id2 = self.e1 >> 3, self.e2 >> 3
-        self.at1, self.at2 = self.row[:n] + (self.e1 & 7), self.row[:n] + (self.e2 & 7)
-        self.r1, self.r2 = self.rate1[self.at1], self.rate2[self.at2]
-        self.x1, self.x2 = _STRETCH[self.r1 >> 4], _STRETCH[self.r2 >> 4]
+        self.c1, self.c2 = self.e1 & 7, self.e2 & 7
+        self.x1, self.x2 = _START1.take(self.c1), _START2.take(self.c2)
         self.same = self.id1 == self.id2
-        w = [x[:n] for x in self.weights]
-        both = (w[0] >> 4) * self.x2 + (w[1] >> 4) * self.x1
-        mixed = np.where(self.same, both, (w[2] >> 4) * self.x2) >> 12
-        self.pa = _SQUASH[np.clip((mixed >> 3) + 256, 0, 511)]
-        self.pb = _SQUASH[np.clip((((w[3] >> 4) * self.x1) >> 15) + 256, 0, 511)]
+        z = self.w1[:n] * self.x1
+        mixed = self.w2[:n] * self.x2 + z * self.same
+        # Stretched sums in 1/256, times 1 << 12; squash takes eighths.
+        self.pa = _SQUASH.take((mixed >> 15) + 256, mode="clip")
+        self.pb = _SQUASH.take((z >> 15) + 256, mode="clip")
         self.fa = self.pa - (self.pa >> 9)
         rest = 65536 - self.fa
-        self.fb = np.where(self.same, 0, ((rest >> 4) * (self.pb >> 4)) >> 8)
-        self.fb = np.minimum(self.fb, rest - _FLOOR)
+        fb = np.minimum((rest >> 4) * (self.pb >> 4) >> 8, rest - _FLOOR)
+        fb *= ~self.same
+        self.fb = fb
 
     def update(self, n: int, ids: np.ndarray) -> None:
         h1, h2 = ids == self.id1, ids == self.id2
-        for h, e, tab, slot, rate, at, r in ((h1, self.e1, self.tab1, self.slot1, self.rate1, self.at1, self.r1), (h2, self.e2, self.tab2, self.slot2, self.rate2, self.at2, self.r2)):
-            conf = e & 7
-            tab[slot] = np.where(h, e + (conf < _CONF - 1), np.where(conf > 2, e - 2, (ids << 3) + 1))
-            rate[at] = r + (((h * 65408 + 64) - r) >> 5)
-        err = (h2 * 65536 - self.pa) >> 6
-        step2, step1 = (err * self.x2) >> 9, (err * self.x1) >> 9
-        w = self.weights
-        w[0][:n] += np.where(self.same, step2, 0)
-        w[1][:n] += np.where(self.same, step1, 0)
-        w[2][:n] += np.where(self.same, 0, step2)
-        w[3][:n] += np.where(self.same | h2, 0, (((h1 * 65536 - self.pb) >> 6) * self.x1) >> 9)
-        for x in w:
-            np.clip(x[:n], 1 << 12, 1 << 18, out=x[:n])
+        fresh = (ids << 3) + 1
+        for h, e, c, tab, slot in ((h1, self.e1, self.c1, self.tab1, self.slot1), (h2, self.e2, self.c2, self.tab2, self.slot2)):
+            tab[slot] = np.where(h, e + (c < _CONF - 1), np.where(c > 2, e - 2, fresh))
+        err = ((h2 << 16) - self.pa) >> 6
+        self.w2[:n] += err * self.x2 >> 13
+        err1 = np.where(self.same, err, (((h1 << 16) - self.pb) >> 6) * ~h2)
+        self.w1[:n] += err1 * self.x1 >> 13
+        self.steps += 1
+        if not self.steps & 15:
+            np.clip(self.w1, 1 << 8, 1 << 14, out=self.w1)
+            np.clip(self.w2, 1 << 8, 1 << 14, out=self.w2)
         self.prev2[:n] = self.prev1[:n]
         self.prev1[:n] = ids
 
@@ -111,29 +111,31 @@ def encode_chunk(ids: np.ndarray) -> bytes:
     if n:
         freq = _order0(counts)
         cum = np.cumsum(freq) - freq
-        freq, cum = freq.astype(np.uint64), cum.astype(np.uint64)
-        grid = np.zeros((BLOCK, blocks), np.int32)
         full = np.zeros(blocks * BLOCK, np.int32)
         full[:n] = ids
-        grid[:] = full.reshape(blocks, BLOCK).T
+        grid = np.ascontiguousarray(full.reshape(blocks, BLOCK).T)
         last = n - (blocks - 1) * BLOCK
         model = _Model(blocks)
-        low, span = np.zeros(blocks, np.uint64), np.full(blocks, np.uint64(1 << 62))
-        out = np.zeros((blocks, BLOCK + 4), np.uint32)
-        pos = np.zeros(blocks, np.int64)
+        # low has 63 bits; the sign bit is the carry.
+        low, span = np.zeros(blocks, np.int64), np.full(blocks, 1 << 62, np.int64)
+        out = np.zeros(blocks * (BLOCK + 4), np.uint32)
+        begin = np.arange(blocks, dtype=np.int64) * (BLOCK + 4)
+        pos = begin.copy()
+
+        def carry() -> None:
+            who = np.flatnonzero(low < 0)
+            if len(who):
+                low[who] &= (1 << 63) - 1
+                at = pos[who] - 1
+                while len(at):  # add one to the word before, and on while that overflows
+                    out[at] += np.uint32(1)
+                    at = at[out[at] == 0] - 1
 
         def emit(lanes: np.ndarray) -> None:
-            lo = low[lanes]
-            carried = lanes[(lo >> np.uint64(63)) != 0]
-            at = pos[carried] - 1
-            while len(carried):  # add one to the word before, and on while that overflows
-                out[carried, at] += np.uint32(1)
-                go = out[carried, at] == 0
-                carried, at = carried[go], at[go] - 1
-            lo &= np.uint64((1 << 63) - 1)
-            out[lanes, pos[lanes]] = (lo >> np.uint64(31)).astype(np.uint32)
-            low[lanes] = (lo & _HALF) << np.uint64(32)
-            pos[lanes] += 1
+            lo, at = low[lanes], pos[lanes]
+            out[at] = (lo >> 31).astype(np.uint32)
+            low[lanes] = (lo & _HALF) << 32
+            pos[lanes] = at + 1
 
         for t in range(BLOCK if blocks > 1 else last):
             k = blocks if t < last else blocks - 1
@@ -142,34 +144,26 @@ def encode_chunk(ids: np.ndarray) -> bytes:
             hit2 = now == model.id2
             fa, fb = model.fa, model.fb
             escape = ~hit2 & ((now != model.id1) | (fb == 0))
-            start = np.where(hit2, 0, np.where(escape, fa + fb, fa)).astype(np.uint64)
-            width = np.where(hit2, fa, np.where(escape, 65536 - fa - fb, fb)).astype(np.uint64)
-            r = span[:k] >> np.uint64(16)
-            # A carry bit may be set while no word has been written since; emit() settles it before the next can occur.
-            lo = low[:k] + r * start
+            fab = fa + fb
+            start = np.where(escape, fab, fa * ~hit2)
+            width = np.where(escape, 65536 - fab, np.where(hit2, fa, fb))
+            r = span[:k] >> 16
             s = r * width
-            r0 = s >> np.uint64(_LOG0)
-            lo += np.where(escape, r0 * cum[now], np.uint64(0))
-            s = np.where(escape, r0 * freq[now], s)
-            low[:k], span[:k] = lo, s
+            r0 = s >> _LOG0
+            low[:k] += r * start + r0 * cum.take(now) * escape
+            s = np.where(escape, r0 * freq.take(now), s)
+            carry()
+            span[:k] = s
             lanes = np.flatnonzero(s < _BOTTOM)
             if len(lanes):
                 emit(lanes)
-                span[lanes] <<= np.uint64(32)
-            over = np.flatnonzero(low[:k] >> np.uint64(63))
-            if len(over):
-                at, who = pos[over] - 1, over
-                while len(who):
-                    out[who, at] += np.uint32(1)
-                    go = out[who, at] == 0
-                    who, at = who[go], at[go] - 1
-                low[over] &= np.uint64((1 << 63) - 1)
+                span[lanes] <<= 32
             model.update(k, now)
         every = np.arange(blocks)
         for _ in range(2):
             emit(every)
-        sizes[:] = pos
-        words = [out[b, : pos[b]] for b in range(blocks)]
+        sizes[:] = pos - begin
+        words = [out[b:e] for b, e in zip(begin.tolist(), pos.tolist())]
         raw = ids.astype("<u4")
         checks[:] = [zlib.crc32(raw[b * BLOCK : (b + 1) * BLOCK]) for b in range(blocks)]
     body = np.concatenate(words).astype("<u4").tobytes() if words else b""
@@ -201,43 +195,42 @@ def decode_chunk(data: bytes, only: list[int] | None = None) -> np.ndarray:
     freq = _order0(counts)
     cum = np.cumsum(freq) - freq
     slot = np.repeat(np.arange(len(freq), dtype=np.int32), freq)
-    freq, cum = freq.astype(np.uint64), cum.astype(np.uint64)
     lanes = len(pick)
     model, pos = _Model(lanes), begin.copy()
-    span = np.full(lanes, np.uint64(1 << 62))
-    code = (words[pos].astype(np.uint64) << np.uint64(31)) | (words[pos + 1].astype(np.uint64) >> np.uint64(1))
+    span = np.full(lanes, 1 << 62, np.int64)
+    words = words.astype(np.int64)
     # The coder's low has 63 bits: one word and 31 bits of the next; the bit that is left is carried along.
-    spare = words[pos + 1].astype(np.uint64) & np.uint64(1)
+    code, spare = (words[pos] << 31) | (words[pos + 1] >> 1), words[pos + 1] & 1
     pos += 2
     grid = np.zeros((block, lanes), np.int32)
     for t in range(int(length.max())):
-        k = int((length > t).sum())  # only the last lane can be shorter
+        k = int((length > t).sum()) if t >= length[-1] else lanes  # only the last lane can be shorter
         model.predict(k)
-        fa, fb = model.fa.astype(np.uint64), model.fb.astype(np.uint64)
-        r = span[:k] >> np.uint64(16)
+        fa, fab = model.fa, model.fa + model.fb
+        r = span[:k] >> 16
         c = code[:k]
-        v = np.minimum(c // r, np.uint64(65535))
-        hit2 = v < fa
-        fab = fa + fb
-        escape = v >= fab
-        start = np.where(hit2, np.uint64(0), np.where(escape, fab, fa))
-        width = np.where(hit2, fa, np.where(escape, np.uint64(65536) - fab, fb))
+        v = c.view(np.uint64) // r.view(np.uint64)
+        v = v.view(np.int64)
+        hit2, escape = v < fa, v >= fab
+        start = np.where(escape, fab, fa * ~hit2)
+        width = np.where(escape, 65536 - fab, np.where(hit2, fa, model.fb))
         c = c - r * start
         s = r * width
-        r0 = s >> np.uint64(_LOG0)
-        where0 = np.minimum(c // np.maximum(r0, np.uint64(1)), np.uint64((1 << _LOG0) - 1))
-        found = slot[where0.astype(np.int64)]
-        c = np.where(escape, c - r0 * cum[found], c)
-        s = np.where(escape, r0 * freq[found], s)
+        r0 = s >> _LOG0
+        where0 = (c.view(np.uint64) // r0.view(np.uint64)).view(np.int64)
+        found = slot.take(where0, mode="clip")
+        c -= r0 * cum.take(found) * escape
+        s = np.where(escape, r0 * freq.take(found), s)
         now = np.where(hit2, model.id2, np.where(escape, found, model.id1))
         code[:k], span[:k] = c, s
         low = np.flatnonzero(s < _BOTTOM)
         if len(low):
-            word = words[np.minimum(pos[low], len(words) - 1)].astype(np.uint64)
-            code[low] = (code[low] << np.uint64(32)) | (spare[low] << np.uint64(31)) | (word >> np.uint64(1))
-            spare[low] = word & np.uint64(1)
-            pos[low] += 1
-            span[low] <<= np.uint64(32)
+            at = pos[low]
+            word = words.take(at, mode="clip")
+            code[low] = (c[low] << 32) | (spare[low] << 31) | (word >> 1)
+            spare[low] = word & 1
+            pos[low] = at + 1
+            span[low] <<= 32
         grid[t, :k] = now
         model.update(k, now)
     parts = [grid[: length[i], i] for i in range(lanes)]
