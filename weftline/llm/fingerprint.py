@@ -112,7 +112,7 @@ def in_pairs_with_next(docs: DataFrame, key: str, text: str) -> DataFrame:
     spark = docs.sparkSession
     ids = docs.select(F.col(key).cast("bigint").alias("key"))
     n = partitions(spark)
-    firsts = ids.where("key IS NOT NULL").repartitionByRange(n, "key").groupBy(F.spark_partition_id().alias("p")).agg(F.min("key").alias("m"))
+    firsts = ids.where("key IS NOT NULL").repartitionByRange(4 * n, "key").groupBy(F.spark_partition_id().alias("p")).agg(F.min("key").alias("m"))
     bounds = sorted(r.m for r in firsts.select("m").collect())
     starts = np.array(bounds[1:], np.int64)
     least = docs.select(F.col(key).cast("bigint").alias("key")).agg(F.count(F.when(F.col("key").isNull(), 1)).alias("n"), F.min("key").alias("m")).first()
