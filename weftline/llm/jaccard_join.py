@@ -7,9 +7,10 @@ exact; hashing only proposes work that may be skipped:
    leader is in the leader's class, so no pair inside a class needs an answer of its own.
 2. Index lists. Of each set, the tokens of its prefix (rarest first) go to lists. Two sets of different classes can only
    be similar if a list holds both; blocks of a list are skipped by length, and pairs by length and by the position of
-   the token in both.
-3. Answers from answers. Leaders that meet in a list are compared once. Jaccard distance is a metric, so a pair is
-   skipped when its leaders' distance, less their own distances to their leaders, is still too great.
+   the token in both. Then pairs are skipped whose parity bitmaps differ in more bits than similar sets can differ in
+   tokens (bitmap filter, Sandes et al., 2020): every token flips one bit, so bits never differ more than sets do.
+3. Answers from answers. Leaders of what is left are compared once. Jaccard distance is a metric, so a pair is skipped
+   when its leaders' distance, less their own distances to their leaders, is still too great.
 4. What is left is compared token by token. Links and classes make components.
 
 Texts are shuffled once, into a table bucketed by set; each comparison ships only the texts of the sets it names.
@@ -115,22 +116,52 @@ class SimilarityJoin:
         got = found.toPandas()
         return Order(got["h"].to_numpy(np.int64).view(np.uint64), got["n"].to_numpy(np.int64))
 
-    def proposals(self) -> DataFrame:
-        """(a, b): sets and the leaders with which they share a least hash."""
+    def sketch(self) -> None:
+        """For each set its least hashes and its parity bitmap, of about as many bits as tokens."""
         width = self.width
 
-        def least(batches):
+        def draw(batches):
             for batch in batches:
                 sets = _sets(batch.column(1), width)
-                sid = np.repeat(batch.column(0).to_numpy(), SKETCHES)
-                value = [int(mix64(s ^ _SEEDS[k]).min().view(np.int64)) if len(s) else 0 for s in sets for k in range(SKETCHES)]
-                which = np.tile(np.arange(SKETCHES, dtype=np.int32), len(sets))
-                yield _rows(["k", "value", "sid"], [pa.int32(), pa.int64(), pa.int64()], [which, value, sid])
+                mins, bitmaps = [], []
+                for s in sets:
+                    mins.append([int(mix64(s ^ _SEEDS[k]).min().view(np.int64)) for k in range(SKETCHES)] if len(s) else [])
+                    bits = 1 << min(13, max(8, (len(s) - 1).bit_length()))
+                    odd = np.bincount((s >> np.uint64(40)).astype(np.int64) & (bits - 1), minlength=bits) & 1
+                    bitmaps.append(np.packbits(odd.astype(np.uint8), bitorder="little").tobytes())
+                yield _rows(["sid", "n", "mins", "bitmap"], [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()], [batch.column(0), [len(s) for s in sets], mins, bitmaps])
+
+        self.sketches = cut(self.table.select("sid", "text").mapInArrow(draw, "sid bigint, n bigint, mins array<bigint>, bitmap binary"), "sketches")
 
-        mins = cut(self.table.select("sid", "text").mapInArrow(least, "k int, value bigint, sid bigint"), "mins")
+    def proposals(self) -> DataFrame:
+        """(a, b): sets and the leaders with which they share a least hash."""
+        mins = self.sketches.select("sid", F.posexplode("mins").alias("k", "value"))
         lead = mins.groupBy("k", "value").agg(F.min("sid").alias("b"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
         return mins.join(lead, ["k", "value"]).where("sid <> b").select(F.col("sid").alias("a"), "b").distinct()
 
+    def plausible(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) that bitmaps and lengths don't rule out."""
+        percent = self.percent
+        side = lambda x: self.sketches.select(F.col("sid").alias(x), F.col("n").alias(f"n{x}"), F.col("bitmap").alias(f"m{x}"))
+        rows = pairs.join(side("a"), "a").where("na > 0").join(side("b"), "b").where((percent * F.greatest("na", "nb") <= 100 * F.least("na", "nb")))
+
+        def judge(batches):
+            for batch in batches:
+                keep = []
+                for na, ma, nb, mb in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4, 5))):
+                    need = -(-percent * (na + nb) // (100 + percent))
+                    if len(ma) < len(mb):
+                        ma, mb = mb, ma
+                    while len(ma) > len(mb):  # a bitmap folds to half its size
+                        half = len(ma) // 2
+                        ma = (int.from_bytes(ma[:half], "little") ^ int.from_bytes(ma[half:], "little")).to_bytes(half, "little")
+                    differ = (int.from_bytes(ma, "little") ^ int.from_bytes(mb, "little")).bit_count()
+                    keep.append(differ <= na + nb - 2 * need)
+                out = batch.filter(pa.array(keep, pa.bool_()))
+                yield pa.RecordBatch.from_arrays([out.column(0), out.column(1)], names=["a", "b"])
+
+        return rows.select("a", "b", "na", "ma", "nb", "mb").mapInArrow(judge, "a bigint, b bigint")
+
     def compare(self, pairs: DataFrame) -> DataFrame:
         """(a, b, na, nb, common): exact sizes and intersections for given pairs. One side's texts go to where the
         other's are, spread over salts; a task holds one set and a batch of others."""
@@ -163,13 +194,13 @@ class SimilarityJoin:
         return compared.where(100 * F.col("common") >= self.percent * (F.col("na") + F.col("nb") - F.col("common")))
 
     def entries(self, order: Order, classes: DataFrame) -> DataFrame:
-        """Index entries (token, sid, np: length and position, cls, lead, dist) of the prefixes of all sets."""
+        """Index entries (token, sid, np: length and position, cls) of the prefixes of all sets."""
         width, percent = self.width, self.percent
 
         def prefix(batches):
             for batch in batches:
-                sets = _sets(batch.column(4), width)
-                sid, cls, lead, dist = (batch.column(i).to_numpy() for i in range(4))
+                sets = _sets(batch.column(2), width)
+                sid, cls = (batch.column(i).to_numpy() for i in range(2))
                 tokens, size = [], []
                 for s in sets:
                     n = len(s)
@@ -182,11 +213,11 @@ class SimilarityJoin:
                 k = np.array(size)
                 n = np.array([len(s) for s in sets])
                 pos = np.arange(int(k.sum())) - np.repeat(np.cumsum(k) - k, k)
-                cols = [np.concatenate(tokens).view(np.int64) if tokens else [], np.repeat(sid, k), (np.repeat(n, k) << 32) | pos, np.repeat(cls, k), np.repeat(lead, k), np.repeat(dist, k)]
-                yield _rows(["token", "sid", "np", "cls", "lead", "dist"], [pa.int64()] * 5 + [pa.float32()], cols)
+                cols = [np.concatenate(tokens).view(np.int64) if tokens else [], np.repeat(sid, k), (np.repeat(n, k) << 32) | pos, np.repeat(cls, k)]
+                yield _rows(["token", "sid", "np", "cls"], [pa.int64()] * 4, cols)
 
-        rows = self.table.select("sid", "text").join(classes, "sid").select("sid", "cls", "lead", "dist", "text")
-        return rows.mapInArrow(prefix, "token bigint, sid bigint, np bigint, cls bigint, lead bigint, dist float")
+        rows = self.table.select("sid", "text").join(classes.select("sid", "cls"), "sid").select("sid", "cls", "text")
+        return rows.mapInArrow(prefix, "token bigint, sid bigint, np bigint, cls bigint")
 
     def close(self) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
@@ -213,35 +244,40 @@ def _list_pairs(sid, n, pos, cls, percent: int, block: int = 512):
                 yield a + i, b + j
 
 
-def _scan_lists(lists: DataFrame, n: int, percent: int, answers: DataFrame | None, with_leaders: bool) -> DataFrame:
-    """Candidate pairs of all lists: of leaders, or of sets that their leaders' distances don't rule out."""
+#: Pairs that a task gathers before it sends them on, each once.
+GATHER = 2_000_000
+
+
+def _scan_lists(lists: DataFrame, n: int, percent: int) -> DataFrame:
+    """Candidate pairs (a, b) of all lists, each at most once from a task for every GATHER of them."""
 
     def scan(batches):
-        held: list[np.ndarray] = []
-        last = None
+        found: list[np.ndarray] = []
+        size, last = 0, None
 
-        def flush(cols, found: set):
-            token, sid, lp, cls, lead, dist, known = cols
+        def read(token, sid, lp, cls) -> int:
             order = np.lexsort((sid, lp >> 32, token))
-            token, sid, lp, cls, lead, dist = (c[order] for c in (token, sid, lp, cls, lead, dist))
+            token, sid, lp, cls = (c[order] for c in (token, sid, lp, cls))
             edge = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1], [True]]))
-            mixed = np.flatnonzero((np.minimum.reduceat(cls, edge[:-1]) != np.maximum.reduceat(cls, edge[:-1]))) if len(token) else []
+            mixed = np.flatnonzero(np.minimum.reduceat(cls, edge[:-1]) != np.maximum.reduceat(cls, edge[:-1]))
+            got = 0
             for k in mixed:
-                a, b = edge[k], edge[k + 1]
-                s = slice(a, b)
-                for i, j in _list_pairs(sid[s], lp[s] >> 32, lp[s] & 0xFFFFFFFF, cls[s], percent):
-                    i, j = i + a, j + a
-                    if with_leaders:
-                        p, q = lead[i], lead[j]
-                    else:
-                        p, q = sid[i], sid[j]
-                    lo, hi = np.minimum(p, q), np.maximum(p, q)
-                    extra = (dist[i] + dist[j], np.minimum(lead[i], lead[j]), np.maximum(lead[i], lead[j]))
-                    pair = np.stack([lo, hi, *extra[1:], np.round(extra[0] * 1e6).astype(np.int64)], axis=1)
-                    found.append(np.unique(pair[lo != hi], axis=0))
+                s = slice(edge[k], edge[k + 1])
+                own = sid[s]
+                for i, j in _list_pairs(own, lp[s] >> 32, lp[s] & 0xFFFFFFFF, cls[s], percent):
+                    p, q = own[i], own[j]
+                    pair = np.stack([np.minimum(p, q), np.maximum(p, q)], axis=1)
+                    found.append(pair[pair[:, 0] != pair[:, 1]])
+                    got += len(pair)
+            return got
+
+        def flush():
+            pairs = np.unique(np.concatenate(found), axis=0)
+            found.clear()
+            return _rows(["a", "b"], [pa.int64()] * 2, [pairs[:, 0], pairs[:, 1]])
 
         for batch in batches:
-            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(6)]
+            cols = [batch.column(i).to_numpy() for i in range(4)]
             if not len(cols[0]):
                 continue
             if last is not None:
@@ -249,22 +285,17 @@ def _scan_lists(lists: DataFrame, n: int, percent: int, answers: DataFrame | Non
             stop = int(np.searchsorted(cols[0], cols[0][-1], side="left"))  # the last list may go on in the next batch
             last = [c[stop:] for c in cols]
             if stop:
-                held = []
-                flush([c[:stop] for c in cols] + [None], held)
-                if held:
-                    yield _pairs_batch(np.unique(np.concatenate(held), axis=0))
+                size += read(*(c[:stop] for c in cols))
+            if size >= GATHER:
+                yield flush()
+                size = 0
         if last is not None and len(last[0]):
-            held = []
-            flush(last + [None], held)
-            if held:
-                yield _pairs_batch(np.unique(np.concatenate(held), axis=0))
+            size += read(*last)
+        if size:
+            yield flush()
 
     dealt = lists.repartition(n, "token").sortWithinPartitions("token")
-    return dealt.mapInArrow(scan, "a bigint, b bigint, la bigint, lb bigint, slack bigint")
-
-
-def _pairs_batch(p: np.ndarray) -> pa.RecordBatch:
-    return _rows(["a", "b", "la", "lb", "slack"], [pa.int64()] * 5, [p[:, i] for i in range(5)])
+    return dealt.mapInArrow(scan, "a bigint, b bigint")
 
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -282,8 +313,9 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
 
 def _run(docs: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
     work = SimilarityJoin(docs, key, text, width, percent)
+    work.sketch()
     # 1. Leaders.
-    stars = cut(work.compare(work.proposals()), "stars")
+    stars = cut(work.compare(work.plausible(work.proposals())), "stars")
     near = work.linked(stars)
     classes = cut(components(near), "classes")
     best = near.groupBy("a").agg(F.min_by(F.struct("b", (1 - F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).cast("float").alias("dist")), F.struct(-(F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))), F.col("b"))).alias("l")).select(F.col("a").alias("s"), "l")
@@ -297,16 +329,16 @@ def _run(docs: DataFrame, key: str, text: str, width: int, percent: int) -> Data
         .select("sid", F.coalesce("root", "sid").alias("cls"), F.coalesce(F.col("l.b"), F.col("sid")).alias("lead"), F.coalesce(F.col("l.dist"), F.lit(0.0).cast("float")).alias("dist"))
     )
     per_set = cut(per_set, "per_set")
-    # 2. Lists that hold sets of two classes at least: only those are kept, and read twice.
+    # 2. Lists.
     lists = work.entries(work.frequent(), per_set)
-    found = cut(_scan_lists(lists, work.n, percent, None, False), "found").distinct()
-    # 3. Leaders' distances; pairs of leaders themselves need no other comparison.
-    leaders = found.select(F.col("la").alias("a"), F.col("lb").alias("b")).where("a <> b").distinct()
-    answers = cut(work.compare(leaders), "answers")
+    found = cut(work.plausible(_scan_lists(lists, work.n, percent).distinct()), "found")
+    # 3. Leaders' distances; a pair of leaders needs no other comparison.
+    side = lambda x: per_set.select(F.col("sid").alias(x), F.col("lead").alias(f"l{x}"), F.col("dist").alias(f"d{x}"))
+    led = cut(found.join(side("a"), "a").join(side("b"), "b").select("a", "b", F.least("la", "lb").alias("la"), F.greatest("la", "lb").alias("lb"), (F.col("da") + F.col("db")).alias("slack")), "led")
+    answers = cut(work.compare(led.select(F.col("la").alias("a"), F.col("lb").alias("b")).where("a <> b").distinct()), "answers")
     distance = answers.select(F.col("a").alias("la"), F.col("b").alias("lb"), (1 - F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).alias("d"))
-    limit = 1 - percent / 100
-    own = found.where("NOT (a = la AND b = lb)").join(distance, ["la", "lb"], "left")
-    own = own.where(F.col("d").isNull() | (F.col("d") - F.col("slack") / 1e6 <= limit + 1e-5))
+    own = led.where("NOT (a = la AND b = lb)").join(distance, ["la", "lb"], "left")
+    own = own.where(F.col("d").isNull() | (F.col("d") - F.col("slack") <= 1 - percent / 100 + 1e-5))
     # 4. Exact comparison of the rest.
     rest = work.compare(own.select("a", "b").distinct())
     links = near.select("a", "b").union(work.linked(answers).select("a", "b")).union(work.linked(rest).select("a", "b"))
