@@ -6,9 +6,10 @@ exact; hashing only proposes work that may be skipped:
 1. Set relations. Sets that share a least hash are compared with one of them, their leader. A set found similar to its
    leader is in the leader's class, so no pair inside a class needs an answer of its own.
 2. Index lists. Of each set, the tokens of its prefix (rarest first) go to lists. Two sets of different classes can only
-   be similar if a list holds both; blocks of a list are skipped by length, and pairs by length and by the position of
-   the token in both. Then pairs are skipped whose parity bitmaps differ in more bits than similar sets can differ in
-   tokens (bitmap filter, Sandes et al., 2020): every token flips one bit, so bits never differ more than sets do.
+   be similar if a list holds both. Lists of one class are dropped; to the entries of the others the sets' parity
+   bitmaps are added. Blocks of a list are skipped by length, pairs by length, by the position of the token in both, and
+   where the bitmaps differ in more bits than similar sets can differ in tokens (bitmap filter, Sandes et al., 2020):
+   every token flips one bit, so bits never differ more than sets do.
 3. Answers from answers. Leaders of what is left are compared once. Jaccard distance is a metric, so a pair is skipped
    when its leaders' distance, less their own distances to their leaders, is still too great.
 4. What is left is compared token by token. Links and classes make components.
@@ -34,6 +35,8 @@ from .words import shingles
 SAMPLE_DOCS, SAMPLE_HOLDERS = 4000, 4
 #: Least hashes of a set that look for its leader.
 SKETCHES = 4
+#: Sets drawn as further leaders for each least hash, and how often that is done.
+CENTRES, ROUNDS = 6, 2
 #: Parts over which comparisons with one leader are spread.
 SALTS = 8
 _SEEDS = [np.uint64(0xA0761D6478BD642F * (2 * i + 1) & 0xFFFFFFFFFFFFFFFF) for i in range(16)]
@@ -117,7 +120,7 @@ class SimilarityJoin:
         return Order(got["h"].to_numpy(np.int64).view(np.uint64), got["n"].to_numpy(np.int64))
 
     def sketch(self) -> None:
-        """For each set its least hashes and its parity bitmap, of about as many bits as tokens."""
+        """For each set its least hashes and its parity bitmap, of some four to eight bits a token."""
         width = self.width
 
         def draw(batches):
@@ -126,7 +129,7 @@ class SimilarityJoin:
                 mins, bitmaps = [], []
                 for s in sets:
                     mins.append([int(mix64(s ^ _SEEDS[k]).min().view(np.int64)) for k in range(SKETCHES)] if len(s) else [])
-                    bits = 1 << min(13, max(8, (len(s) - 1).bit_length()))
+                    bits = 1 << min(14, max(8, (len(s) - 1).bit_length() + 2))
                     odd = np.bincount((s >> np.uint64(40)).astype(np.int64) & (bits - 1), minlength=bits) & 1
                     bitmaps.append(np.packbits(odd.astype(np.uint8), bitorder="little").tobytes())
                 yield _rows(["sid", "n", "mins", "bitmap"], [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()], [batch.column(0), [len(s) for s in sets], mins, bitmaps])
@@ -139,6 +142,15 @@ class SimilarityJoin:
         lead = mins.groupBy("k", "value").agg(F.min("sid").alias("b"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
         return mins.join(lead, ["k", "value"]).where("sid <> b").select(F.col("sid").alias("a"), "b").distinct()
 
+    def more_proposals(self, classes: DataFrame, again: int) -> DataFrame:
+        """(a, b) of different classes: sets with CENTRES sets drawn by hash among those that share a least hash with
+        them. A class that a leader's outliers have split is put together again by this."""
+        mins = self.sketches.join(classes, "sid").select("sid", "cls", F.posexplode("mins").alias("k", "value"))
+        drawn = [F.min_by(F.struct("sid", "cls"), F.xxhash64("sid", F.lit(again * CENTRES + r))) for r in range(CENTRES)]
+        lead = mins.groupBy("k", "value").agg(F.array_distinct(F.array(*drawn)).alias("centres"), F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi").drop("lo", "hi")
+        rows = mins.join(lead, ["k", "value"]).select(F.col("sid").alias("a"), F.filter("centres", lambda c: c["cls"] != F.col("cls")).alias("centres"))
+        return rows.select("a", F.explode("centres.sid").alias("b")).distinct()
+
     def plausible(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that bitmaps and lengths don't rule out."""
         percent = self.percent
@@ -223,9 +235,39 @@ class SimilarityJoin:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
 
 
-def _list_pairs(sid, n, pos, cls, percent: int, block: int = 512):
-    """Pairs of one list, as index arrays, that are of different classes and that length and position allow. The list
-    is sorted by length; a block is skipped when its shortest set is too long for a whole other block."""
+#: Bits of the bitmaps that list entries carry; larger ones are folded to it, smaller ones spread over it.
+ENTRY_BITS = 1024
+
+
+def _words(bitmaps: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Bitmaps as rows of ENTRY_BITS, and the bits that each had before."""
+    out = np.zeros((len(bitmaps), ENTRY_BITS // 8), np.uint8)
+    for i, m in enumerate(bitmaps):
+        raw = np.frombuffer(m, np.uint8)
+        while len(raw) > out.shape[1]:
+            half = len(raw) // 2
+            raw = raw[:half] ^ raw[half:]
+        out[i, : len(raw)] = raw
+    return out.view("<u8"), np.array([min(ENTRY_BITS, 8 * len(m)) for m in bitmaps])
+
+
+def _differ(x: np.ndarray, y: np.ndarray, bits_x: np.ndarray, bits_y: np.ndarray) -> np.ndarray:
+    """Bits in which pairs of rows differ, both folded to the smaller size of the two."""
+    out = np.zeros(len(x), np.int64)
+    least = np.minimum(bits_x, bits_y)
+    for bits in np.unique(least).tolist():
+        k = np.flatnonzero(least == bits)
+        d = x[k] ^ y[k]
+        while d.shape[1] * 64 > bits:
+            half = d.shape[1] // 2
+            d = d[:, :half] ^ d[:, half:]
+        out[k] = np.bitwise_count(d).sum(axis=1)
+    return out
+
+
+def _list_pairs(sid, n, pos, cls, bitmaps, bits, percent: int, block: int = 512):
+    """Pairs (a, b) of one list that are of different classes and that nothing rules out. The list is sorted by length;
+    a block is skipped when its shortest set is too long for a whole other block."""
     m = len(sid)
     for i in range(0, m, block):
         x = slice(i, min(m, i + block))
@@ -241,7 +283,45 @@ def _list_pairs(sid, n, pos, cls, percent: int, block: int = 512):
                 ok &= np.arange(x.stop - x.start)[:, None] < np.arange(y.stop - y.start)[None, :]
             a, b = np.nonzero(ok)
             if len(a):
-                yield a + i, b + j
+                most = n[a + i] + n[b + j] - 2 * need[a, b]
+                a, b = a + i, b + j
+                keep = (_differ(bitmaps[a], bitmaps[b], bits[a], bits[b]) <= most) & (sid[a] != sid[b])
+                if keep.any():
+                    yield np.minimum(sid[a[keep]], sid[b[keep]]), np.maximum(sid[a[keep]], sid[b[keep]])
+
+
+def _whole_lists(batches):
+    """Batches of rows sorted by their first column, regrouped so that no value's rows are in two of them."""
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch] if last is None else [*last.to_batches(), batch])
+        token = table.column(0).to_numpy()
+        stop = int(np.searchsorted(token, token[-1], side="left"))
+        if stop:
+            yield table.slice(0, stop).combine_chunks()
+        last = table.slice(stop).combine_chunks()
+    if last is not None and last.num_rows:
+        yield last
+
+
+def _edges(token: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1], [True]]))
+
+
+def _mixed_lists(lists: DataFrame, n: int) -> DataFrame:
+    """The entries of lists that hold more than one class."""
+
+    def scan(batches):
+        for t in _whole_lists(batches):
+            cols = [t.column(i).to_numpy() for i in range(4)]
+            edge = _edges(cols[0])
+            mixed = np.minimum.reduceat(cols[3], edge[:-1]) != np.maximum.reduceat(cols[3], edge[:-1])
+            keep = np.repeat(mixed, np.diff(edge))
+            yield _rows(["token", "sid", "np", "cls"], [pa.int64()] * 4, [c[keep] for c in cols])
+
+    return lists.repartition(n, "token").sortWithinPartitions("token").mapInArrow(scan, "token bigint, sid bigint, np bigint, cls bigint")
 
 
 #: Pairs that a task gathers before it sends them on, each once.
@@ -249,53 +329,35 @@ GATHER = 2_000_000
 
 
 def _scan_lists(lists: DataFrame, n: int, percent: int) -> DataFrame:
-    """Candidate pairs (a, b) of all lists, each at most once from a task for every GATHER of them."""
+    """Candidate pairs (a, b) of lists (token, sid, np, cls, bitmap), each at most once for every GATHER of a task."""
 
     def scan(batches):
         found: list[np.ndarray] = []
-        size, last = 0, None
-
-        def read(token, sid, lp, cls) -> int:
-            order = np.lexsort((sid, lp >> 32, token))
-            token, sid, lp, cls = (c[order] for c in (token, sid, lp, cls))
-            edge = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1], [True]]))
-            mixed = np.flatnonzero(np.minimum.reduceat(cls, edge[:-1]) != np.maximum.reduceat(cls, edge[:-1]))
-            got = 0
-            for k in mixed:
-                s = slice(edge[k], edge[k + 1])
-                own = sid[s]
-                for i, j in _list_pairs(own, lp[s] >> 32, lp[s] & 0xFFFFFFFF, cls[s], percent):
-                    p, q = own[i], own[j]
-                    pair = np.stack([np.minimum(p, q), np.maximum(p, q)], axis=1)
-                    found.append(pair[pair[:, 0] != pair[:, 1]])
-                    got += len(pair)
-            return got
+        size = 0
 
         def flush():
             pairs = np.unique(np.concatenate(found), axis=0)
             found.clear()
             return _rows(["a", "b"], [pa.int64()] * 2, [pairs[:, 0], pairs[:, 1]])
 
-        for batch in batches:
-            cols = [batch.column(i).to_numpy() for i in range(4)]
-            if not len(cols[0]):
-                continue
-            if last is not None:
-                cols = [np.concatenate([x, y]) for x, y in zip(last, cols)]
-            stop = int(np.searchsorted(cols[0], cols[0][-1], side="left"))  # the last list may go on in the next batch
-            last = [c[stop:] for c in cols]
-            if stop:
-                size += read(*(c[:stop] for c in cols))
+        for t in _whole_lists(batches):
+            token, sid, lp, cls = (t.column(i).to_numpy() for i in range(4))
+            bitmaps, bits = _words(t.column(4).to_pylist())
+            order = np.lexsort((sid, lp >> 32, token))
+            token, sid, lp, cls, bitmaps, bits = (c[order] for c in (token, sid, lp, cls, bitmaps, bits))
+            edge = _edges(token)
+            for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
+                s = slice(a, b)
+                for p, q in _list_pairs(sid[s], lp[s] >> 32, lp[s] & 0xFFFFFFFF, cls[s], bitmaps[s], bits[s], percent):
+                    found.append(np.stack([p, q], axis=1))
+                    size += len(p)
             if size >= GATHER:
                 yield flush()
                 size = 0
-        if last is not None and len(last[0]):
-            size += read(*last)
         if size:
             yield flush()
 
-    dealt = lists.repartition(n, "token").sortWithinPartitions("token")
-    return dealt.mapInArrow(scan, "a bigint, b bigint")
+    return lists.repartition(n, "token").sortWithinPartitions("token").mapInArrow(scan, "a bigint, b bigint")
 
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -318,6 +380,12 @@ def _run(docs: DataFrame, key: str, text: str, width: int, percent: int) -> Data
     stars = cut(work.compare(work.plausible(work.proposals())), "stars")
     near = work.linked(stars)
     classes = cut(components(near), "classes")
+    links = near.select("a", "b")
+    for again in range(ROUNDS):
+        of = work.sets.select("sid").join(classes, F.col("sid") == F.col("node"), "left").select("sid", F.coalesce("root", "sid").alias("cls"))
+        got = cut(work.compare(work.plausible(work.more_proposals(of, again))), "more")
+        links = links.union(work.linked(got).select("a", "b"))
+        classes = cut(components(links), "classes")
     best = near.groupBy("a").agg(F.min_by(F.struct("b", (1 - F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).cast("float").alias("dist")), F.struct(-(F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))), F.col("b"))).alias("l")).select(F.col("a").alias("s"), "l")
     # A set that others follow follows nobody, so that distances go to leaders that lead themselves.
     leads = near.select(F.col("b").alias("s2")).distinct()
@@ -331,7 +399,8 @@ def _run(docs: DataFrame, key: str, text: str, width: int, percent: int) -> Data
     per_set = cut(per_set, "per_set")
     # 2. Lists.
     lists = work.entries(work.frequent(), per_set)
-    found = cut(work.plausible(_scan_lists(lists, work.n, percent).distinct()), "found")
+    mixed = cut(_mixed_lists(lists, work.n), "mixed").join(work.sketches.select("sid", "bitmap"), "sid").select("token", "sid", "np", "cls", "bitmap")
+    found = cut(work.plausible(_scan_lists(mixed, work.n, percent).distinct()), "found")
     # 3. Leaders' distances; a pair of leaders needs no other comparison.
     side = lambda x: per_set.select(F.col("sid").alias(x), F.col("lead").alias(f"l{x}"), F.col("dist").alias(f"d{x}"))
     led = cut(found.join(side("a"), "a").join(side("b"), "b").select("a", "b", F.least("la", "lb").alias("la"), F.greatest("la", "lb").alias("lb"), (F.col("da") + F.col("db")).alias("slack")), "led")
@@ -341,7 +410,7 @@ def _run(docs: DataFrame, key: str, text: str, width: int, percent: int) -> Data
     own = own.where(F.col("d").isNull() | (F.col("d") - F.col("slack") <= 1 - percent / 100 + 1e-5))
     # 4. Exact comparison of the rest.
     rest = work.compare(own.select("a", "b").distinct())
-    links = near.select("a", "b").union(work.linked(answers).select("a", "b")).union(work.linked(rest).select("a", "b"))
+    links = links.union(work.linked(answers).select("a", "b")).union(work.linked(rest).select("a", "b"))
     comps = components(links)
     label = work.sets.join(comps, F.col("sid") == F.col("node"), "left").select("sid", "h1", "h2", "n", "id", F.coalesce("root", "sid").alias("root"))
     label = cut(label, "label")
