@@ -6,19 +6,21 @@ import json
 
 from pyspark.sql import Column, SparkSession, functions as F
 
-from .text import clean_string, strip
+from .text import clean_string, let, strip
 
 
 def result(value: Column, validity: Column) -> Column:
-    return F.struct(value.alias("value"), F.when(value.isNull(), F.lit(0.0)).otherwise(validity.cast("double")).alias("validity"))
+    return let(F.struct(value.alias("v"), validity.cast("double").alias("w")), lambda r: F.struct(r["v"].alias("value"), F.when(r["v"].isNull(), F.lit(0.0)).otherwise(r["w"]).alias("validity")))
 
 
 def normalize_email(x: Column) -> Column:
     """Lower case; exactly one @, with something on both sides and a dot in the domain."""
-    e = F.lower(strip(x))
-    parts = F.split(e, "@")
-    ok = (F.size(parts) == 2) & (F.get(parts, F.lit(0)) != "") & F.get(parts, F.lit(1)).contains(".")
-    return result(F.when(ok, e), F.lit(1.0))
+
+    def checked(e: Column) -> Column:
+        parts = F.split(e, "@")
+        return F.when((F.size(parts) == 2) & (F.get(parts, F.lit(0)) != "") & F.get(parts, F.lit(1)).contains("."), e)
+
+    return result(let(F.lower(strip(x)), checked), F.lit(1.0))
 
 
 # Two-digit country calling codes (ITU E.164); 1 and 7 have one digit, all others three.
@@ -38,26 +40,33 @@ def normalize_phone(x: Column, region: str | Column | None = None) -> Column:
     """E.164 with validity 1 for a number that its country's plan allows, 0.6 for one of possible length only. Without
     region the number must begin with +. Plans are kept for a few countries; elsewhere length decides, so rare ranges
     may be judged otherwise than by a full numbering database."""
-    text = strip(x)
-    digits = F.regexp_replace(text, r"[^0-9]", "")
-    plus = text.startswith("+")
-    if region is None:
-        full = F.when(plus, digits)
-    else:
+    code = F.lit(None).cast("string")
+    if region is not None:
         region = F.lit(region) if isinstance(region, str) else region
-        code = F.lit(None).cast("string")
         for name, c in _REGION_CODE.items():
             code = F.when(region == name, F.lit(c)).otherwise(code)
-        full = F.when(plus, digits).otherwise(F.concat(code, F.regexp_replace(digits, "^0+", "")))
-    full = F.when(~text.rlike(r"(?U)\p{L}"), full)
-    size = F.when(full.rlike("^[17]"), 1).when(F.substring(full, 1, 2).isin(_TWO_DIGITS), 2).otherwise(3)
-    code, national = F.substr(full, F.lit(1), size), F.substr(full, size + 1)
-    valid = national.rlike(r"^[1-9]\d{6,11}$")
-    for c, pattern in _NATIONAL.items():
-        valid = F.when(code == c, national.rlike(pattern)).otherwise(valid)
-    possible = F.when(code == "1", F.length(national) == 10).otherwise(F.length(national).between(6, 12)) & (F.length(full) <= 15)
-    keep = F.coalesce(valid | possible, F.lit(False))
-    return result(F.when(keep, F.concat(F.lit("+"), full)), F.when(valid, 1.0).otherwise(0.6))
+
+    def full_number(text: Column) -> Column:
+        digits = F.regexp_replace(text, r"[^0-9]", "")
+        full = F.when(text.startswith("+"), digits)
+        if region is not None:
+            full = full.otherwise(F.concat(code, F.regexp_replace(digits, "^0+", "")))
+        return F.when(~text.rlike(r"(?U)\p{L}"), full)
+
+    def in_parts(full: Column) -> Column:
+        size = F.when(full.rlike("^[17]"), 1).when(F.substring(full, 1, 2).isin(_TWO_DIGITS), 2).otherwise(3)
+        return let(size, lambda n: F.struct(full.alias("full"), F.substr(full, F.lit(1), n).alias("code"), F.substr(full, n + 1).alias("national")))
+
+    def judged(p: Column) -> Column:
+        national = p["national"]
+        valid = national.rlike(r"^[1-9]\d{6,11}$")
+        for c, pattern in _NATIONAL.items():
+            valid = F.when(p["code"] == c, national.rlike(pattern)).otherwise(valid)
+        possible = F.when(p["code"] == "1", F.length(national) == 10).otherwise(F.length(national).between(6, 12)) & (F.length(p["full"]) <= 15)
+        grade = F.when(valid, 1.0).when(possible, 0.6)
+        return let(grade, lambda g: result(F.when(g.isNotNull(), F.concat(F.lit("+"), p["full"])), g))
+
+    return let(let(let(strip(x), full_number), in_parts), judged)
 
 
 # Date layouts that carry a month.
@@ -66,23 +75,31 @@ _LAYOUTS = ["MM/yyyy", "M/yyyy", "MMMM yyyy", "MMM yyyy", "yyyy/MM", "yyyy/MM/dd
 
 def normalize_date(x: Column) -> Column:
     """yyyy-MM with validity 1, or a bare year of 1900 to 2100 with 0.8. A year is never made up."""
-    text = strip(x.cast("string"))
-    year = text.rlike(r"^\d{4}$")
-    iso = F.regexp_extract(text, r"^(\d{4}-(0[1-9]|1[0-2]))(-(0[1-9]|[12]\d|3[01]))?([T ].*)?$", 1)
-    named = F.coalesce(*[F.date_format(F.try_to_timestamp(text, F.lit(p)), "yyyy-MM") for p in _LAYOUTS])
-    value = F.when(year, F.when(text.cast("int").between(1900, 2100), text)).otherwise(F.coalesce(F.nullif(iso, F.lit("")), named))
-    return result(value, F.when(year, 0.8).otherwise(1.0))
+
+    def read(text: Column) -> Column:
+        year = text.rlike(r"^\d{4}$")
+        iso = F.regexp_extract(text, r"^(\d{4}-(0[1-9]|1[0-2]))(-(0[1-9]|[12]\d|3[01]))?([T ].*)?$", 1)
+        named = F.coalesce(*[F.date_format(F.try_to_timestamp(text, F.lit(p)), "yyyy-MM") for p in _LAYOUTS])
+        value = F.when(year, F.when(text.try_cast("int").between(1900, 2100), text)).otherwise(F.coalesce(F.when(iso != "", iso), named))
+        return result(value, F.when(year, 0.8).otherwise(1.0))
+
+    return let(strip(x.cast("string")), read)
 
 
 def normalize_url(x: Column) -> Column:
     """Scheme and host in lower case, marks that end a sentence cut off. Without scheme https:// is put before and the
     validity is 0.6."""
-    text = F.rtrim(strip(x), F.lit(".,;:!?)\"'"))
-    schemed = text.contains("://")
-    url = F.when(schemed, text).otherwise(F.concat(F.lit("https://"), text))
-    part = lambda k: F.regexp_extract(url, r"^([^:/?#]+)://([^/?#]*)([\s\S]*)$", k)
-    value = F.when((text != "") & (part(2) != ""), F.concat(F.lower(part(1)), F.lit("://"), F.lower(part(2)), part(3)))
-    return result(value, F.when(schemed, 1.0).otherwise(0.6))
+
+    def read(text: Column) -> Column:
+        schemed = text.contains("://")
+
+        def rebuilt(url: Column) -> Column:
+            part = lambda k: F.regexp_extract(url, r"^([^:/?#]+)://([^/?#]*)([\s\S]*)$", k)
+            return F.when((text != "") & (part(2) != ""), F.concat(F.lower(part(1)), F.lit("://"), F.lower(part(2)), part(3)))
+
+        return result(let(F.when(schemed, text).otherwise(F.concat(F.lit("https://"), text)), rebuilt), F.when(schemed, 1.0).otherwise(0.6))
+
+    return let(F.rtrim(strip(x), F.lit(".,;:!?)\"'")), read)
 
 
 # Informal names of countries, beside codes and names of the JVM's locale data.
@@ -116,13 +133,19 @@ def normalize_country(x: Column, codes: dict[str, str] | None = None) -> Column:
 def classify_location(x: Column, codes: dict[str, str] | None = None) -> Column:
     """struct<city, region, country> by place: the first part is the city; the last of several is the country if it is
     known as one; what is left between is the region."""
-    parts = F.filter(F.transform(F.split(x, ","), strip), lambda p: p != "")
-    n = F.size(parts)
-    country = F.when(n >= 2, normalize_country(F.element_at(parts, -1), codes)["value"])
-    middle = F.when(country.isNotNull(), n - 2).otherwise(n - 1)
-    region = F.when((n >= 2) & (middle > 0), clean_string(F.array_join(F.slice(parts, 2, F.greatest(middle, F.lit(1))), ", ")))
-    value = F.when(n >= 1, F.struct(clean_string(F.get(parts, F.lit(0))).alias("city"), region.alias("region"), country.alias("country")))
-    return result(value, F.lit(1.0))
+
+    def read(parts: Column) -> Column:
+        n = F.size(parts)
+        known = F.when(n >= 2, normalize_country(F.element_at(parts, -1), codes)["value"])
+
+        def placed(country: Column) -> Column:
+            middle = F.when(country.isNotNull(), n - 2).otherwise(n - 1)
+            region = F.when((n >= 2) & (middle > 0), clean_string(F.array_join(F.slice(parts, 2, F.greatest(middle, F.lit(1))), ", ")))
+            return F.when(n >= 1, F.struct(clean_string(F.get(parts, F.lit(0))).alias("city"), region.alias("region"), country.alias("country")))
+
+        return result(let(known, placed), F.lit(1.0))
+
+    return let(F.filter(F.transform(F.split(x, ","), strip), lambda p: p != ""), read)
 
 
 def normalize_years(x: Column) -> Column:

@@ -15,6 +15,12 @@ def _nfc(x: pd.Series) -> pd.Series:
     return x.map(lambda s: None if s is None else unicodedata.normalize("NFC", s))
 
 
+def let(x: Column, use) -> Column:
+    """use(x) with x computed once and written once into the plan, however often use refers to it. A plan that repeats
+    its inputs at each level grows with the power of its depth."""
+    return F.get(F.transform(F.array(x), lambda v: use(v)), F.lit(0))
+
+
 def strip(x: Column) -> Column:
     """Without white space, of any kind in Unicode, at both ends."""
     return F.regexp_replace(x, r"(?U)^\s+|\s+$", "")

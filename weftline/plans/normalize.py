@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from weftline.functions.confidence import base_confidence
 from weftline.functions.formats import classify_location, normalize_date, normalize_email, normalize_phone, normalize_url, normalize_years
 from weftline.functions.recognize import link_classes
-from weftline.functions.text import clean_string, first_of_each, split_cells
+from weftline.functions.text import clean_string, first_of_each, let, split_cells
 from weftline.settings import SOURCES
 from weftline.sources.adapters import EVENT, event, events, shape
 
@@ -28,12 +28,12 @@ def _obs(field: str, value: Column, source: str, method: str | Column, validity:
 
 def _one(field: str, normal: Column, source: str, method: str = "direct") -> Column:
     """Zero or one observation of struct<value, validity>."""
-    return F.filter(F.array(_obs(field, normal["value"], source, method, normal["validity"])), lambda o: o["value"].isNotNull())
+    return F.filter(F.transform(F.array(normal), lambda r: _obs(field, r["value"], source, method, r["validity"])), lambda o: o["value"].isNotNull())
 
 
 def _many(field: str, values: Column, source: str, method: str = "direct", normal: Callable | None = None) -> Column:
     n = normal or (lambda v: F.struct(v.alias("value"), F.lit(1.0).alias("validity")))
-    return F.filter(F.transform(values, lambda v: _obs(field, n(v)["value"], source, method, n(v)["validity"])), lambda o: o["value"].isNotNull())
+    return F.filter(F.transform(F.transform(values, lambda v: n(v)), lambda r: _obs(field, r["value"], source, method, r["validity"])), lambda o: o["value"].isNotNull())
 
 
 def _text(x: Column) -> Column:
@@ -41,10 +41,13 @@ def _text(x: Column) -> Column:
 
 
 def _place(x: Column) -> Column:
-    at = classify_location(x)
-    v = at["value"]
-    ordered = F.to_json(F.struct(v["city"].alias("city"), v["country"].alias("country"), v["region"].alias("region")), {"ignoreNullFields": "false"})
-    return F.struct(F.when(v.isNotNull(), ordered).alias("value"), at["validity"].alias("validity"))
+
+    def said(at: Column) -> Column:
+        v = at["value"]
+        ordered = F.to_json(F.struct(v["city"].alias("city"), v["country"].alias("country"), v["region"].alias("region")), {"ignoreNullFields": "false"})
+        return F.struct(F.when(v.isNotNull(), ordered).alias("value"), at["validity"].alias("validity"))
+
+    return let(classify_location(x), said)
 
 
 def _entry(family: str, parts: dict[str, Column], source: str, validity: Column) -> Column:
@@ -52,20 +55,24 @@ def _entry(family: str, parts: dict[str, Column], source: str, validity: Column)
     return F.struct(F.lit(family).alias("family"), F.create_map(*pairs).alias("parts"), F.lit("direct").alias("method"), base_confidence(source, "direct", validity).alias("confidence"))
 
 
-def _attempted(raw: Column) -> Column:
-    """Validity of a date that was given; 1 for one that wasn't."""
-    return F.when(raw.isNull() | (raw == ""), 1.0).otherwise(normalize_date(raw)["validity"])
-
-
 def experience(company: Column, title: Column, start: Column, end: Column, source: str) -> Column:
     """A position; its validity is the least of the dates given, so a date that can't be read takes all its weight."""
-    parts = {"company": clean_string(company), "title": F.nullif(F.coalesce(clean_string(title), F.lit("")), F.lit("")), "start": normalize_date(start)["value"], "end": normalize_date(end)["value"], "summary": F.lit(None)}
-    return _entry("experience", parts, source, F.least(_attempted(start), _attempted(end)))
+    given = lambda raw: raw.isNotNull() & (raw != "")
+
+    def built(d: Column) -> Column:
+        parts = {"company": clean_string(company), "title": clean_string(title), "start": d["s"]["value"], "end": d["e"]["value"], "summary": F.lit(None)}
+        return _entry("experience", parts, source, F.least(F.when(given(start), d["s"]["validity"]).otherwise(1.0), F.when(given(end), d["e"]["validity"]).otherwise(1.0)))
+
+    return let(F.struct(normalize_date(start).alias("s"), normalize_date(end).alias("e")), built)
 
 
 def education(institution: Column, degree: Column, field: Column, year: Column, source: str) -> Column:
-    parts = {"institution": clean_string(institution), "degree": clean_string(degree), "field": clean_string(field), "end_year": F.substring(normalize_date(year)["value"], 1, 4).try_cast("int")}
-    return _entry("education", parts, source, _attempted(year))
+
+    def built(d: Column) -> Column:
+        parts = {"institution": clean_string(institution), "degree": clean_string(degree), "field": clean_string(field), "end_year": F.substring(d["value"], 1, 4).try_cast("int")}
+        return _entry("education", parts, source, F.when(year.isNull() | (year == ""), 1.0).otherwise(d["validity"]))
+
+    return let(normalize_date(year), built)
 
 
 def _anchored(entries: Column, part: str) -> Column:
@@ -74,9 +81,12 @@ def _anchored(entries: Column, part: str) -> Column:
 
 def _links(normal: Column, source: str, method: str) -> Column:
     """Observations of classed links; their validity does not count."""
-    classed = link_classes(normal)
-    one = lambda name: F.filter(F.array(_obs(f"links.{name}", classed[name], source, method, F.lit(1.0))), lambda o: o["value"].isNotNull())
-    return F.concat(one("linkedin"), one("github"), _many("links.other", classed["other"], source, method))
+
+    def observed(classed: Column) -> Column:
+        one = lambda name: F.filter(F.array(_obs(f"links.{name}", classed[name], source, method, F.lit(1.0))), lambda o: o["value"].isNotNull())
+        return F.concat(one("linkedin"), one("github"), _many("links.other", classed["other"], source, method))
+
+    return let(let(normal, lambda urls: link_classes(urls)), observed)
 
 
 def _missing(source: str, *pairs: tuple[str, Column]) -> Column:
@@ -142,12 +152,18 @@ def _str(v: Column, path: str) -> Column:
 def _skill_values(v: Column, depth: int = 3) -> Column:
     """Skill strings in a string, in a list, or under the first of the usual keys of an object, nested to a depth."""
     none = F.array().cast("array<string>")
-    text = F.when(shape(v) == "STRING", split_cells(F.try_variant_get(v, "$", "string"), ";,|"))
-    if depth == 0:
-        return F.coalesce(text, none)
-    listed = F.flatten(F.transform(_list(v, "$"), lambda x: _skill_values(x, depth - 1)))
-    inner = F.coalesce(*[F.try_variant_get(v, f"$.{k}", "variant") for k in ("name", "skill", "value", "label")])
-    return F.coalesce(text, F.when(shape(v) == "ARRAY", listed), F.when(shape(v) == "OBJECT", _skill_values(inner, depth - 1)), none)
+
+    def read(x: Column) -> Column:
+        text = F.when(shape(x) == "STRING", split_cells(F.try_variant_get(x, "$", "string"), ";,|"))
+        if depth == 0:
+            return F.coalesce(text, none)
+        # A list's items and an object's first usual key are read by one and the same expression.
+        named = F.coalesce(*[F.try_variant_get(x, f"$.{k}", "variant") for k in ("name", "skill", "value", "label")])
+        inner = F.when(shape(x) == "ARRAY", F.try_variant_get(x, "$", "array<variant>")).when(shape(x) == "OBJECT", F.array(named))
+        deeper = F.flatten(F.transform(F.coalesce(inner, F.array().cast("array<variant>")), lambda y: _skill_values(y, depth - 1)))
+        return F.coalesce(text, deeper, none)
+
+    return let(v, read)
 
 
 def _skillish(name: Column) -> Column:
@@ -155,7 +171,8 @@ def _skillish(name: Column) -> Column:
 
 
 def _ats_skills(raw: Column) -> Column:
-    plain = [_skill_values(F.try_variant_get(raw, f"$.{k}", "variant"), 2) for k in ("skills", "skill_names", "technologies", "technology_names", "tech_stack")]
+    keys = F.array(*[F.try_variant_get(raw, f"$.{k}", "variant") for k in ("skills", "skill_names", "technologies", "technology_names", "tech_stack")])
+    plain = [F.flatten(F.transform(keys, lambda v: _skill_values(v, 2)))]
     custom = F.coalesce(F.try_variant_get(raw, "$.custom_fields", "variant"), F.try_variant_get(raw, "$.custom_fields_values", "variant"))
     table = F.coalesce(F.try_variant_get(custom, "$", "map<string,variant>"), F.create_map().cast("map<string,variant>"))
     by_name = F.flatten(F.transform(F.filter(F.map_entries(table), lambda e: _skillish(e["key"])), lambda e: _skill_values(e["value"], 1)))
