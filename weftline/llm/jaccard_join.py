@@ -126,15 +126,17 @@ class SimilarityJoin:
         def draw(batches):
             for batch in batches:
                 sets = _sets(batch.column(1), width)
-                mins, bitmaps = [], []
+                mins, bitmaps, folded = [], [], []
                 for s in sets:
                     mins.append([int(mix64(s ^ _SEEDS[k]).min().view(np.int64)) for k in range(SKETCHES)] if len(s) else [])
                     bits = 1 << min(14, max(8, (len(s) - 1).bit_length() + 2))
                     odd = np.bincount((s >> np.uint64(40)).astype(np.int64) & (bits - 1), minlength=bits) & 1
                     bitmaps.append(np.packbits(odd.astype(np.uint8), bitorder="little").tobytes())
-                yield _rows(["sid", "n", "mins", "bitmap"], [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()], [batch.column(0), [len(s) for s in sets], mins, bitmaps])
+                    folded.append(_fold(np.frombuffer(bitmaps[-1], np.uint8)).tobytes())
+                kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary()]
+                yield _rows(["sid", "n", "mins", "bitmap", "folded"], kinds, [batch.column(0), [len(s) for s in sets], mins, bitmaps, folded])
 
-        self.sketches = cut(self.table.select("sid", "text").mapInArrow(draw, "sid bigint, n bigint, mins array<bigint>, bitmap binary"), "sketches")
+        self.sketches = cut(self.table.select("sid", "text").mapInArrow(draw, "sid bigint, n bigint, mins array<bigint>, bitmap binary, folded binary"), "sketches")
 
     def proposals(self) -> DataFrame:
         """(a, b): sets and the leaders with which they share a least hash."""
@@ -235,20 +237,24 @@ class SimilarityJoin:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
 
 
-#: Bits of the bitmaps that list entries carry; larger ones are folded to it, smaller ones spread over it.
+#: Bits at most of the bitmaps that list entries carry.
 ENTRY_BITS = 1024
 
 
+def _fold(raw: np.ndarray) -> np.ndarray:
+    """A bitmap of ENTRY_BITS at most: halves are put on each other."""
+    while len(raw) * 8 > ENTRY_BITS:
+        half = len(raw) // 2
+        raw = raw[:half] ^ raw[half:]
+    return raw
+
+
 def _words(bitmaps: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Bitmaps as rows of ENTRY_BITS, and the bits that each had before."""
+    """Folded bitmaps as rows of ENTRY_BITS, and the bits that each has."""
     out = np.zeros((len(bitmaps), ENTRY_BITS // 8), np.uint8)
     for i, m in enumerate(bitmaps):
-        raw = np.frombuffer(m, np.uint8)
-        while len(raw) > out.shape[1]:
-            half = len(raw) // 2
-            raw = raw[:half] ^ raw[half:]
-        out[i, : len(raw)] = raw
-    return out.view("<u8"), np.array([min(ENTRY_BITS, 8 * len(m)) for m in bitmaps])
+        out[i, : len(m)] = np.frombuffer(m, np.uint8)
+    return out.view("<u8"), np.array([8 * len(m) for m in bitmaps])
 
 
 def _differ(x: np.ndarray, y: np.ndarray, bits_x: np.ndarray, bits_y: np.ndarray) -> np.ndarray:
@@ -329,7 +335,7 @@ GATHER = 2_000_000
 
 
 def _scan_lists(lists: DataFrame, n: int, percent: int) -> DataFrame:
-    """Candidate pairs (a, b) of lists (token, sid, np, cls, bitmap), each at most once for every GATHER of a task."""
+    """Candidate pairs (a, b) of lists (token, sid, np, cls, folded), each at most once for every GATHER of a task."""
 
     def scan(batches):
         found: list[np.ndarray] = []
@@ -399,7 +405,7 @@ def _run(docs: DataFrame, key: str, text: str, width: int, percent: int) -> Data
     per_set = cut(per_set, "per_set")
     # 2. Lists.
     lists = work.entries(work.frequent(), per_set)
-    mixed = cut(_mixed_lists(lists, work.n), "mixed").join(work.sketches.select("sid", "bitmap"), "sid").select("token", "sid", "np", "cls", "bitmap")
+    mixed = cut(_mixed_lists(lists, work.n), "mixed").join(work.sketches.select("sid", "folded"), "sid").select("token", "sid", "np", "cls", "folded")
     found = cut(work.plausible(_scan_lists(mixed, work.n, percent).distinct()), "found")
     # 3. Leaders' distances; a pair of leaders needs no other comparison.
     side = lambda x: per_set.select(F.col("sid").alias(x), F.col("lead").alias(f"l{x}"), F.col("dist").alias(f"d{x}"))
