@@ -199,7 +199,7 @@ def identity_components(spark, d):
 
 def unanchored_attach(spark, d):
     """Events as records: bundles of a few, some with tokens, from several sources."""
-    e = _t(spark, d, "events").where("event_id < 4000").select(F.expr("event_id div 4").cast("string").alias("bundle_id"), F.col("event_id").alias("node"), F.concat(F.lit("s"), ((F.col("event_id") * 7) % 5).cast("string")).alias("source"), "event_type", "user_id")
+    e = _t(spark, d, "events").select(F.expr("event_id div 4").cast("string").alias("bundle_id"), F.col("event_id").alias("node"), F.concat(F.lit("s"), ((F.col("event_id") * 7) % 5).cast("string")).alias("source"), "event_type", "user_id")
     tokens = e.where(F.col("event_type").isin("click", "purchase")).select("bundle_id", "node", F.concat(F.lit("u"), (F.col("user_id") % 2).cast("string")).alias("token"))
     return candidates(e.select("bundle_id", "node", "source"), tokens).select("bundle_id", "node", "root")
 
