@@ -22,3 +22,12 @@ def test_unanchored_attach_reads_every_event(spark, tmp_path):
     got = sorted(tuple(x) for x in queries.unanchored_attach(spark, str(tmp_path)).collect())
     assert len(got) == 400
     assert got == _whole("unanchored_attach", " WHERE event_id < 4000", events=events)
+
+
+def test_identity_takes_every_customer(spark, tmp_path):
+    customer = pd.DataFrame({"c_custkey": np.arange(1, 121)})
+    customer.to_parquet(tmp_path / "customer.parquet")
+    for name in ("identity_tokens", "identity_components"):
+        got = sorted(tuple(x) for x in queries.queries()[name](spark, str(tmp_path)).collect())
+        assert got == _whole(name, " WHERE c_custkey % 5 <> 0", customer=customer)
+    assert len(got) == 120 and {root for _, root in got} == {1}  # one chain: 60 tokens long

@@ -183,7 +183,7 @@ def ngram_candidates(spark, d):
 
 
 def _customer_tokens(spark, d):
-    c = _t(spark, d, "customer").where("c_custkey % 5 <> 0").select(F.col("c_custkey").alias("node"))
+    c = _t(spark, d, "customer").select(F.col("c_custkey").alias("node"))
     one = c.select("node", F.concat(F.lit("e:"), F.expr("node div 2").cast("string")).alias("token"))
     two = c.select("node", F.concat(F.lit("p:"), F.expr("(node + 1) div 4").cast("string")).alias("token"))
     return one.union(two).withColumn("bundle_id", F.lit("b"))
