@@ -11,7 +11,7 @@ from weftline.operators.clusters import greedy_clusters
 from weftline.operators.components import components
 from weftline.operators.evidence import group_values, merge_multi, merge_single
 from weftline.operators.linkage import candidates
-from weftline.operators.skills import ProseLinker, canonicalize, load_taxonomy, token_sort_ratio
+from weftline.operators.skills import CUTOFF, ProseLinker, _ratio, canonicalize, fuzzy_link, load_taxonomy, token_sort_ratio
 from weftline.pipeline import run
 from weftline.plans.fuse import fuse
 from weftline.plans.project import Projection, ProjectionError
@@ -142,6 +142,25 @@ def test_skills(spark, taxonomy):
     assert [r.r for r in pair.collect()] == [94.74, 100.0]
 
 
+def test_fuzzy_link_of_all_lengths(spark):
+    random.seed(5)
+    known = {"".join(random.choices("abcdef", k=n)) for n in range(16, 41) for _ in range(2)} | {"language natural processing"}
+    forms = {"natural language process"}
+    for k in known:  # one to five characters more or fewer
+        for d in range(1, 6):
+            at = random.randrange(len(k) - d)
+            forms |= {k[:at] + "z" * d + k[at:], k[:at] + k[at + d :]}
+    forms -= known
+    want = {}
+    for f in forms:
+        near = [(-r, k) for k in known if (r := _ratio(f, k)) >= CUTOFF]
+        if near:
+            want[f] = min(near)[1]
+    table = spark.createDataFrame([(k, k, k) for k in known], "alias string, canonical string, surface string")
+    got = {r.alias: r.surface for r in fuzzy_link(spark.createDataFrame([(f,) for f in forms], "alias string"), table).collect()}
+    assert got == want and got["natural language process"] == "language natural processing"
+
+
 def test_taxonomy_collision(spark, tmp_path):
     (tmp_path / "t.csv").write_text("canonical_skill,aliases\nGo,g\nGee,g\n")
     with pytest.raises(ValueError, match="collision"):
