@@ -116,6 +116,21 @@ def test_decontamination_in_blocks(spark, docs, monkeypatch):
     assert {r.doc_id: r for r in decontaminate.digest(decontaminate.scan(docs, items)).collect()} == whole
 
 
+def test_removal_in_blocks(spark, monkeypatch):
+    w = [f"word{i}" for i in range(60)]
+    run = lambda a, b: " ".join(w[a:b])
+    # Windows that overlap in a document, and one that comes together only when others have been cut out of it.
+    items = spark.createDataFrame([(i, run(a, a + 10)) for i, a in enumerate([0, 5, 10, 20, 25, 40])], "item_id bigint, text string")
+    texts = [run(0, 20), run(18, 37), f"{run(20, 25)} {run(40, 50)} {run(25, 30)} rest", f"{run(40, 45)} {run(0, 15)} {run(45, 50)} rest", f"{run(0, 5)} {run(20, 35)} {run(5, 10)} rest", "rest", "", None, run(0, 10)]
+    docs = spark.createDataFrame([(i, t, -1, "x") for i, t in enumerate(texts)], "doc_id bigint, text string, n_chars bigint, __flags string")
+    rows = lambda: sorted(decontaminate.remove(docs, items).collect())
+    whole = rows()
+    assert [r.text and r.text.split() for r in whole] == [w[18:20] + w[35:37], ["rest"], ["rest"], ["rest"], ["rest"], "", None]
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 150)
+    assert sum(map(bool, decontaminate._blocks(items, "item_id", "text"))) > 2
+    assert rows() == whole
+
+
 def test_sharding(docs, pdf, empty):
     out = kd_sharding.shard(docs, 4).toPandas().sort_values("doc_id").reset_index(drop=True)
     assert out.doc_id.tolist() == pdf.doc_id.tolist()

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import bound_batches, text_buffers
+from .common import bound_batches, cut, text_buffers
 from .segments import SegmentCache, pieces
 from .words import WORD_CHARS, words
 
@@ -208,44 +208,100 @@ def remove(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str
     words to begin with stays, as do null texts and unchanged texts, byte for byte.
     """
     bound_batches(docs.sparkSession)
+    blocks = [Phrases(block, window) for block in _blocks(benchmark, item, item_text)]
+    if len(blocks) > 1:
+        return _remove_in_blocks(docs, blocks, text, length)
     names = docs.columns
     at_text = names.index(text)
     at_length = names.index(length) if length in names else None
-    out = docs
-    for block in _blocks(benchmark, item, item_text):
-        phrases = Phrases(block, window)
 
-        def run(batches, phrases=phrases):
-            table = phrases.table()
-            for shard in _shards(batches, at_text):
-                column = shard.column(at_text)
-                data, offs = text_buffers(column)
-                n_words, hit, items = find_spans(phrases, table, np.frombuffer(data, np.uint8), offs)
-                if items:
-                    raw, at = data.tobytes(), np.concatenate([[0], np.cumsum(n_words)])
-                    changed = {i: _cut(raw[offs[i] : offs[i + 1]], _spans(hit[at[i] : at[i + 1]])) for i in items}
-                    todo = sorted(changed)
-                    while todo:
-                        joined = b"".join(changed[i] for i in todo)
-                        o = np.concatenate([[0], np.cumsum([len(changed[i]) for i in todo])]).astype(np.int64)
-                        n, h, more = find_spans(phrases, table, np.frombuffer(joined, np.uint8), o)
-                        w = np.concatenate([[0], np.cumsum(n)])
-                        for k in more:
-                            changed[todo[k]] = _cut(changed[todo[k]], _spans(h[w[k] : w[k + 1]]))
-                        todo = [todo[k] for k in sorted(more)]
-                    texts = column.to_pylist()
-                    keep = np.ones(len(texts), bool)
-                    for i, t in changed.items():
-                        texts[i] = t.decode("utf-8", "replace")
-                        keep[i] = len(words(t, np.array([0, len(t)], np.int64), WORD_CHARS)[1]) > 0
-                    shard = shard.set_column(at_text, names[at_text], pa.array(texts, pa.string()))
-                    if at_length is not None:
-                        sizes = shard.column(at_length).to_pylist()
-                        for i in changed:
-                            sizes[i] = len(texts[i])
-                        shard = shard.set_column(at_length, names[at_length], pa.array(sizes, shard.schema.field(at_length).type))
-                    shard = shard.filter(pa.array(keep))
-                yield from shard.to_batches(max_chunksize=2000)
-
-        out = out.mapInArrow(run, docs.schema)
-    return out
+    def run(batches, phrases=blocks[0]):
+        table = phrases.table()
+        for shard in _shards(batches, at_text):
+            column = shard.column(at_text)
+            data, offs = text_buffers(column)
+            n_words, hit, items = find_spans(phrases, table, np.frombuffer(data, np.uint8), offs)
+            if items:
+                raw, at = data.tobytes(), np.concatenate([[0], np.cumsum(n_words)])
+                changed = {i: _cut(raw[offs[i] : offs[i + 1]], _spans(hit[at[i] : at[i + 1]])) for i in items}
+                todo = sorted(changed)
+                while todo:
+                    joined = b"".join(changed[i] for i in todo)
+                    o = np.concatenate([[0], np.cumsum([len(changed[i]) for i in todo])]).astype(np.int64)
+                    n, h, more = find_spans(phrases, table, np.frombuffer(joined, np.uint8), o)
+                    w = np.concatenate([[0], np.cumsum(n)])
+                    for k in more:
+                        changed[todo[k]] = _cut(changed[todo[k]], _spans(h[w[k] : w[k + 1]]))
+                    todo = [todo[k] for k in sorted(more)]
+                shard = _replaced(shard, changed, names, at_text, at_length)
+            yield from shard.to_batches(max_chunksize=2000)
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def _replaced(shard: pa.Table, changed: dict[int, bytes], names: list[str], at_text: int, at_length: int | None) -> pa.Table:
+    """The shard with changed texts and their lengths, without rows of which no word is left."""
+    texts = shard.column(at_text).to_pylist()
+    keep = np.ones(len(texts), bool)
+    for i, t in changed.items():
+        texts[i] = t.decode("utf-8", "replace")
+        keep[i] = len(words(t, np.array([0, len(t)], np.int64), WORD_CHARS)[1]) > 0
+    shard = shard.set_column(at_text, names[at_text], pa.array(texts, pa.string()))
+    if at_length is not None:
+        sizes = shard.column(at_length).to_pylist()
+        for i in changed:
+            sizes[i] = len(texts[i])
+        shard = shard.set_column(at_length, names[at_length], pa.array(sizes, shard.schema.field(at_length).type))
+    return shard.filter(pa.array(keep))
+
+
+def _remove_in_blocks(docs: DataFrame, blocks: list[Phrases], text: str, length: str | None) -> DataFrame:
+    """remove() for a benchmark of several blocks: each round searches all blocks in unchanged texts and cuts what they
+    found together; the next round takes the texts that were cut, until none is."""
+    names = docs.columns
+    at_text = names.index(text)
+    at_length = names.index(length) if length in names else None
+    at_flags, flags_name = len(names), "__flags"
+    while flags_name in [n.lower() for n in names]:
+        flags_name += "_"
+    unflagged = F.lit(None).cast("binary")
+
+    def cutting(batches):
+        for batch in batches:
+            flags = batch.column(at_flags).to_pylist()
+            found = {i: np.unpackbits(np.frombuffer(f, np.uint8)).astype(bool) for i, f in enumerate(flags) if f}
+            shard = pa.Table.from_batches([batch])
+            if found:
+                texts = batch.column(at_text)
+                shard = _replaced(shard, {i: _cut(texts[i].as_py().encode(), _spans(f)) for i, f in found.items()}, names, at_text, at_length)
+            yield from shard.to_batches()
+
+    done, todo = None, docs.withColumn(flags_name, unflagged)
+    schema = todo.schema
+    while True:
+        for phrases in blocks:
+
+            def mark(batches, phrases=phrases):
+                table = phrases.table()
+                for shard in _shards(batches, at_text):
+                    data, offs = text_buffers(shard.column(at_text))
+                    n_words, hit, items = find_spans(phrases, table, np.frombuffer(data, np.uint8), offs)
+                    if items:
+                        at = np.concatenate([[0], np.cumsum(n_words)]).tolist()
+                        flags = shard.column(at_flags).to_pylist()
+                        for i in items:
+                            own = hit[at[i] : at[i + 1]]
+                            if flags[i]:
+                                own = own | np.unpackbits(np.frombuffer(flags[i], np.uint8), count=len(own)).astype(bool)
+                            flags[i] = np.packbits(own).tobytes()
+                        shard = shard.set_column(at_flags, flags_name, pa.array(flags, pa.binary()))
+                    yield from shard.to_batches(max_chunksize=2000)
+
+            todo = todo.mapInArrow(mark, schema)
+        got = cut(todo.mapInArrow(cutting, schema), "decontaminated")
+        settled = got.where(F.col(flags_name).isNull()).drop(flags_name)
+        done = settled if done is None else done.union(settled)
+        todo = got.where(F.col(flags_name).isNotNull())
+        if todo.isEmpty():
+            return done
+        todo = todo.withColumn(flags_name, unflagged)
