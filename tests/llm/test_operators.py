@@ -72,6 +72,23 @@ def test_jaccard_join(docs, pdf, empty):
     assert jaccard_join.join(empty).count() == 0
 
 
+def test_jaccard_links(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "CHUNK", 4)
+    r = np.random.default_rng(2)
+    base, rows = list(r.choice(WORDS, 80)), [(None, "alpha beta"), (900, ""), (901, None), (902, "alone"), (903, "alpha beta"), (903, "alpha beta")]
+    for i in range(30):  # near copies of one text, each of a few others; some twice
+        w = list(base)
+        for k in r.choice(80, i % 4):
+            w[k] = f"x{i}"
+        rows += [(i, " ".join(w))] + [(100 + i, " ".join(w).upper())] * (i % 5 == 0)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    sets = [_shingles(t) if i is not None else frozenset() for i, t in rows]
+    links = [sum(j != k and len(a & b) * 100 >= 80 * len(a | b) > 0 for k, b in enumerate(sets)) for j, a in enumerate(sets)]
+    got = collections.Counter((r.doc_id, r.n_links) for r in jaccard_join.join(docs).collect())
+    assert got == collections.Counter((i, n) for (i, _), n in zip(rows, links))
+    assert len(set(links)) > 5
+
+
 def _items(spark):
     r = np.random.default_rng(4)
     rows = [(i, " ".join(r.choice(WORDS, n))) for i, n in enumerate([3, 1, 12, 15, 20])] + [(7, None), (8, "..."), (None, "alpha"), (2, "mu nu")]

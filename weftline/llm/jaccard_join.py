@@ -13,6 +13,7 @@ exact; hashing only proposes work that may be skipped:
 3. Answers from answers. Leaders of what is left are compared once. Jaccard distance is a metric, so a pair is skipped
    when its leaders' distance, less their own distances to their leaders, is still too great.
 4. What is left is compared token by token. Links and classes make components.
+5. A document's links are counted inside its component, by products of blocks of sets, as most were skipped above.
 
 Texts are shuffled once, into a table bucketed by set; each comparison ships only the texts of the sets it names.
 """
@@ -94,8 +95,8 @@ class SimilarityJoin:
 
         #: One row for each document: (id, n, h1, h2).
         self.members = cut(self.docs.mapInArrow(describe, "id bigint, n bigint, h1 bigint, h2 bigint"), "members")
-        sets = self.members.where("n > 0 AND id IS NOT NULL").groupBy("h1", "h2", "n").agg(F.min("id").alias("id"))
-        #: One row for each distinct set: (sid, id: its least document, n, h1, h2).
+        sets = self.members.where("n > 0 AND id IS NOT NULL").groupBy("h1", "h2", "n").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("m"))
+        #: One row for each distinct set: (sid, id: its least document, m: its documents, n, h1, h2).
         self.sets = cut(sets.withColumn("sid", F.monotonically_increasing_id()), "sets")
         holders = self.sets.select("sid", "id", "n", "h1", "h2")
         held = self.docs.join(holders, "id").select("sid", "n", "h1", "h2", "text")
@@ -233,6 +234,36 @@ class SimilarityJoin:
         rows = self.table.select("sid", "text").join(classes.select("sid", "cls"), "sid").select("sid", "cls", "text")
         return rows.mapInArrow(prefix, "token bigint, sid bigint, np bigint, cls bigint")
 
+    def degrees(self, sets: DataFrame) -> DataFrame:
+        """(sid, links): the documents of other sets that are linked with a set, for sets (sid, root, k, m) of components
+        of k sets. All pairs of a component are compared, in blocks of some CHUNK by CHUNK sets that a task counts; rows
+        grow with k * k / CHUNK."""
+        width, percent = self.width, self.percent
+        chunks = F.ceil(F.col("k") / CHUNK).cast("int")
+        spread = sets.select("sid", "root", "m", F.pmod(F.xxhash64("sid"), chunks).cast("int").alias("x"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("y"))
+        spread = cut(spread.select("sid", "m", "root", F.least("x", "y").alias("lo"), F.greatest("x", "y").alias("hi"), F.when(F.col("x") > F.col("y"), 1).otherwise(0).alias("side")), "blocks")
+        rows = self.table.select("sid", "text").join(spread, "sid").select("root", "lo", "hi", "side", "sid", "m", "text")
+        rows = rows.repartition(self.n, "root", "lo", "hi").sortWithinPartitions("root", "lo", "hi", "side", "sid")
+
+        def count(batches):
+            at, held = None, {}
+
+            def flush():
+                return _rows(["sid", "links"], [pa.int64()] * 2, [[sid for _, sid in held], _links(list(held), *zip(*held.values()), at[1] == at[2], percent)])
+
+            for batch in batches:
+                own = _sets(batch.column(6), width)
+                for root, lo, hi, side, sid, m, s in zip(*(batch.column(i).to_pylist() for i in range(6)), own):
+                    if at != (root, lo, hi):
+                        if held:
+                            yield flush()
+                        at, held = (root, lo, hi), {}
+                    held[side, sid] = (m, s)  # a repeated row counts once
+            if held:
+                yield flush()
+
+        return rows.mapInArrow(count, "sid bigint, links bigint").groupBy("sid").agg(F.sum("links").alias("links"))
+
     def close(self) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
 
@@ -296,6 +327,34 @@ def _list_pairs(sid, n, pos, cls, bitmaps, bits, percent: int, block: int = 512)
                     yield np.minimum(sid[a[keep]], sid[b[keep]]), np.maximum(sid[a[keep]], sid[b[keep]])
 
 
+#: Sets of a component that are compared with as many others in one block, about.
+CHUNK = 128
+
+
+def _links(keys: list[tuple[int, int]], weights, sets, same: bool, percent: int) -> np.ndarray:
+    """For each set of a block the weight of those linked with it; only across sides unless the sides are the `same`."""
+    n, m = np.array([len(s) for s in sets]), np.array(weights, np.int64)
+    h, row = np.concatenate(sets), np.repeat(np.arange(len(n)), n)
+    order = np.argsort(h, kind="stable")
+    h, row = h[order], row[order]
+    number = np.cumsum(np.concatenate([[True], h[1:] != h[:-1]])) - 1
+    shared = np.bincount(number) > 1
+    keep = shared[number]
+    row, col = row[keep], (np.cumsum(shared) - 1)[number[keep]]
+    common = np.zeros((len(n), len(n)))
+    for a in range(0, int(shared.sum()), 4096):
+        i, j = np.searchsorted(col, [a, a + 4096])
+        held = np.zeros((len(n), min(4096, int(shared.sum()) - a)), np.float32)
+        held[row[i:j], col[i:j] - a] = 1
+        common += held @ held.T
+    linked = 100 * common >= percent * (n[:, None] + n[None, :] - common)
+    np.fill_diagonal(linked, False)
+    if not same:
+        side = np.array([x for x, _ in keys])
+        linked &= side[:, None] != side[None, :]
+    return linked @ m
+
+
 def _whole_lists(batches):
     """Batches of rows sorted by their first column, regrouped so that no value's rows are in two of them."""
     last = None
@@ -368,18 +427,19 @@ def _scan_lists(lists: DataFrame, n: int, percent: int) -> DataFrame:
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """(key, n_shingles, component_id, n_links): documents whose sets' intersection is at least `percent` % of their
-    union are linked; component_id is the least key reachable by links. n_links counts the links found between the
-    classes' representatives, not all pairs.
+    union are linked; component_id is the least key reachable by links. n_links is how many other documents a document
+    is linked with itself: all pairs count, those of equal sets too, and each of several rows of a key.
 
     Words are runs without ASCII blanks, A-Z in lower case. A text with fewer words than `width` is one shingle; null,
     empty and wordless texts have the empty set and are linked with nothing. Rows with a null key are linked with
-    nothing and have a null component. Rows that repeat a key each come back; their sets count for that key. Other
+    nothing, have a null component and no links. Rows that repeat a key each come back; their sets count for that key. Other
     columns, whatever their names, are not read. An empty table gives no rows. Keys are whole numbers.
     """
-    return _run(docs, key, text, width, percent).select("id", "n_shingles", "component_id").withColumnRenamed("id", key)
+    return _run(docs, key, text, width, percent, True).withColumnRenamed("id", key)
 
 
-def _run(docs: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
+def _run(docs: DataFrame, key: str, text: str, width: int, percent: int, counted: bool) -> DataFrame:
+    """(id, n_shingles, component_id), with n_links if they are `counted`."""
     work = SimilarityJoin(docs, key, text, width, percent)
     work.sketch()
     # 1. Leaders.
@@ -418,17 +478,24 @@ def _run(docs: DataFrame, key: str, text: str, width: int, percent: int) -> Data
     rest = work.compare(own.select("a", "b").distinct())
     links = links.union(work.linked(answers).select("a", "b")).union(work.linked(rest).select("a", "b"))
     comps = components(links)
-    label = work.sets.join(comps, F.col("sid") == F.col("node"), "left").select("sid", "h1", "h2", "n", "id", F.coalesce("root", "sid").alias("root"))
+    label = work.sets.join(comps, F.col("sid") == F.col("node"), "left").select("sid", "h1", "h2", "n", "id", "m", F.coalesce("root", "sid").alias("root"))
     label = cut(label, "label")
-    roots = label.groupBy("root").agg(F.min("id").alias("component"))
-    by_set = label.join(roots, "root").select("h1", "h2", "n", "component")
+    roots = label.groupBy("root").agg(F.min("id").alias("component"), F.count(F.lit(1)).alias("k"))
+    by_set = label.join(roots, "root")
+    # 5. Links of each set, counted inside its component.
+    if counted:
+        by_set = cut(by_set, "by_set")
+        degrees = work.degrees(by_set.where("k > 1").select("sid", "root", "k", "m"))
+        by_set = by_set.join(degrees, "sid", "left").withColumn("links", F.col("m") - 1 + F.coalesce("links", F.lit(0)))
+    by_set = by_set.select("h1", "h2", "n", "component", *["links"] * counted)
     m = work.members
     out = m.join(by_set, ["h1", "h2", "n"], "left")
-    return out.select("id", F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"))
+    links = [F.when(F.col("id").isNotNull(), F.coalesce("links", F.lit(0))).otherwise(0).cast("bigint").alias("n_links")] if counted else []
+    return out.select("id", F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"), *links)
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """The documents of `docs` whose key is their component's least: one of each group of near copies. Rows with a null
     key stay, as do rows without words; rows that repeat a kept key stay. Columns and their order are those of docs."""
-    found = _run(docs, key, text, width, percent).where("id IS NOT NULL AND id <> component_id").select(F.col("id").alias("__gone")).distinct()
+    found = _run(docs, key, text, width, percent, False).where("id IS NOT NULL AND id <> component_id").select(F.col("id").alias("__gone")).distinct()
     return docs.join(found, docs[key].cast("bigint") == found["__gone"], "left_anti")
