@@ -89,6 +89,18 @@ def test_jaccard_links(spark, monkeypatch):
     assert len(set(links)) > 5
 
 
+def test_jaccard_join_of_repeated_keys(spark):
+    r = np.random.default_rng(6)
+    a, b = (" ".join(r.choice(WORDS, 40)) for _ in range(2))
+    rows = [(5, a), (5, b), (6, f"{a} more"), (7, f"{b} more"), (8, a), (8, b)]
+    work = jaccard_join.SimilarityJoin(spark.createDataFrame(rows, "id bigint, text string"), "id", "text", 5, 80)
+    texts = collections.defaultdict(set)
+    for x in work.table.collect():
+        texts[x.sid].add(x.text)
+    work.close()
+    assert sorted(map(sorted, texts.values())) == sorted([t] for t in {t for _, t in rows})
+
+
 def _items(spark):
     r = np.random.default_rng(4)
     rows = [(i, " ".join(r.choice(WORDS, n))) for i, n in enumerate([3, 1, 12, 15, 20])] + [(7, None), (8, "..."), (None, "alpha"), (2, "mu nu")]

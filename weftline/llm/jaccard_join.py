@@ -99,9 +99,15 @@ class SimilarityJoin:
         #: One row for each distinct set: (sid, id: its least document, m: its documents, n, h1, h2).
         self.sets = cut(sets.withColumn("sid", F.monotonically_increasing_id()), "sets")
         holders = self.sets.select("sid", "id", "n", "h1", "h2")
-        held = self.docs.join(holders, "id").select("sid", "n", "h1", "h2", "text")
+
+        def same(batches, width=width):
+            for batch in batches:
+                own = [(len(x), *_digest(x)) for x in _sets(batch.column(4), width)]
+                yield batch.filter(pa.array([x == y for x, y in zip(own, zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))))], pa.bool_()))
+
+        held = self.docs.join(holders, "id").select("sid", "n", "h1", "h2", "text").mapInArrow(same, "sid bigint, n bigint, h1 bigint, h2 bigint, text string")
         held.repartition(self.n, "sid").write.bucketBy(self.n, "sid").sortBy("sid").format("parquet").saveAsTable(self.name)
-        #: Texts by set; rows of documents whose key is repeated with another text are told by the digest.
+        #: Texts by set; a row whose key is repeated with another text goes to the set of its own digest only.
         self.table = self.spark.table(self.name)
 
     def frequent(self) -> Order:
