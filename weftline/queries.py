@@ -256,7 +256,8 @@ def flagship(spark, d):
 
 
 def payload_profiles(spark, d):
-    """The whole engine: customers as CSV, JSON and note payloads of bundles, to projected profiles."""
+    """All customers as CSV payloads of bundles, those of even keys as ATS JSON too, to projected profiles. Without GitHub
+    and note payloads and without a taxonomy: those parts of the engine aren't run here."""
     from weftline.pipeline import run
 
     c = _t(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment", "c_acctbal")
