@@ -10,6 +10,7 @@ import pandas as pd
 import pytest
 
 import public_tokenizers
+from pyspark.sql import functions as F
 from weftline.llm import decontaminate, fingerprint, jaccard_join, kd_sharding, line_dedup, sentencepiece_codec, token_counts, token_files, toxicity, warc
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
@@ -290,17 +291,89 @@ def test_toxicity(spark):
     assert out.score[1000] == out.score[1001] < 0.3 and out.score.between(0, 1).all()
 
 
-def test_grammar():
-    reader = toxicity.Reader(toxicity.Lexicon.seed())
+def _patterns(lexicon, text):
+    raw = text.encode()
+    c = toxicity.Reader(lexicon).counts(raw, np.array([0, len(raw)]))[0]
+    return {p: v for p, v in zip(toxicity.PATTERNS, c) if v}
+
 
+def test_grammar():
     def patterns(text):
-        raw = text.encode()
-        c = reader.counts(raw, np.array([0, len(raw)]))[0]
-        return {p: v for p, v in zip(toxicity.PATTERNS, c) if v}
+        return _patterns(toxicity.Lexicon.seed(), text)
 
     assert patterns("What a moron.") == {"insult": 1}
     assert patterns("You are a moron.") == {"insult_target": 1}
-    assert patterns("He is not a moron.") == {"negated": 1}
+    assert patterns("Moron, said nobody; a moron like you") == {"insult": 1, "insult_target": 1}
+    assert patterns("He is not a moron.") == patterns("He isn't a moron.") == patterns("He isn’t a moron") == {"negated": 1}
     assert patterns("The paper said moron twice, it is true") == {"reported": 1}
+    assert patterns('He wrote: "you are scum. You are trash."') == {"reported": 2}
+    assert patterns('"You are an idiot," she said.') == patterns("“You are an idiot,” she said.") == {"reported": 1}
+    assert patterns("She said hello, you are an idiot") == {"insult_target": 1}
     assert patterns("They will hurt you") == {"threat_target": 1}
-    assert patterns("Nothing here.") == {}
+    assert patterns("moron\nmoron moron") == {"insult": 1}
+    assert patterns("The path was worth a stupendous trashcan idiom") == patterns("Nothing here.") == patterns("") == {}
+
+
+def test_grammar_by_brute_force():
+    """Lines of symbols, one letter each, with up to two quotation marks: every rule written down by itself."""
+    letters = "oitTnR,:\"."  # in the order of the symbols' numbers
+
+    def slow(s):
+        marks = [k for k, c in enumerate(s) if c == '"']
+
+        def opens(q):
+            before = re.split('["]', s[:q])[-1].split(".")[-1]
+            return bool(re.search("R[^,R]*(,[on,]*)?$", before)) and not (marks.index(q) == 1 and opens(marks[0]))
+
+        def followed(q):
+            return bool(re.match('[^".]*R', s[q + 1 :])) and not (marks.index(q) == 0 and len(marks) == 2 and followed(marks[1]))
+
+        out = []
+        for k, c in enumerate(s):
+            if c not in "it":
+                out.append(None)
+                continue
+            left, right = re.split('[,:".]', s[:k])[-1], re.split('[,:".]', s[k + 1 :])[0]
+            prior, after = [q for q in marks if q < k], [q for q in marks if q > k]
+            quoted = (prior and opens(prior[-1])) or (after and followed(after[0]))
+            if "n" in left[-3:]:
+                out.append("negated")
+            elif quoted or re.search("R[^,R]*$", s[:k].split('"')[-1].split(".")[-1]):
+                out.append("reported")
+            else:
+                out.append({"i": "insult", "t": "threat"}[c] + "_target" * ("T" in left + right))
+        return out
+
+    r, reader = np.random.default_rng(5), toxicity.Reader(toxicity.Lexicon.seed())
+    for _ in range(4000):
+        s = "".join(r.choice(list("ooooitTnR,:."), r.integers(1, 24)))
+        for _ in range(r.integers(0, 3)):
+            k = int(r.integers(0, len(s) + 1))
+            s = s[:k] + '"' + s[k:]
+        assert reader.read([letters.index(c) for c in s]) == slow(s), s
+
+
+def test_grammar_decides(spark):
+    """Whatever is learned, one targeted insult or threat is toxic; negated and reported ones, and words that only begin
+    like an insult, aren't."""
+    r = np.random.default_rng(8)
+    rows = [(i, " ".join([*r.choice(WORDS, 30), *["moron"] * (i % 5 == 0)])) for i in range(200)]
+    docs, labels = spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame([(i, int(i % 5 == 0)) for i, _ in rows], "doc_id bigint, toxic int")
+    for model in (toxicity.learn(docs, labels), toxicity.learn(docs, labels.limit(0))):
+        bad = ["You are pathetic", "I will kill you", "those idiots", "I will shoot you and beat her"]
+        good = ["You are not pathetic.", "I will never kill you", "She said you are an idiot", '"You are an idiot," she said.', "The fire may destroy the wood", "The path was worth a stupendous trashcan idiom", "", None]
+        d = spark.createDataFrame([(t,) for t in bad + good], "text string").withColumn("doc_id", F.lit(1)).withColumn("predicted", F.lit("x")).withColumn("score", F.lit("x"))
+        out = {x.text: x.predicted for x in toxicity.score(d, model, keep=True).collect()}
+        assert out == {**{t: 1 for t in bad}, **{t: 0 for t in good}}
+
+
+def test_toxicity_edges(spark):
+    rows = [(1, "You are a moron"), (1, "You are a moron"), (None, "You are a moron"), (2, None), (3, ""), (4, "word, " * 200_000 + "you moron"), (5, "moron " * 100_000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("word", F.lit(1)).withColumn("y", F.lit(1)).withColumn("h", F.lit(1)).withColumn("key", F.lit(1))
+    labels = spark.createDataFrame([(1, 1, "x"), (1, 0, "x"), (None, 1, "x"), (2, None, "x"), (3, 1, "x")], "doc_id bigint, toxic int, text string")
+    out = toxicity.score(docs, toxicity.learn(docs, labels)).toPandas()
+    assert len(out) == len(rows) and out.doc_id.isna().sum() == 1
+    assert out[out.doc_id.isin([2, 3])].score.nunique() == 1 and out.score.between(0, 1).all()
+    assert out[~out.doc_id.isin([2, 3, 5])].predicted.eq(1).all()
+    for d, lab in ((docs.limit(0), labels), (docs, labels.limit(0)), (docs.limit(0), labels.limit(0))):
+        assert toxicity.score(d, toxicity.learn(d, lab)).count() == d.count()

@@ -1,14 +1,19 @@
 """Operator 9: toxicity by a weighted finite-state pattern grammar.
 
-Words become classes: insult, threat, target, negation, reported speech. Three transducers over classes are composed
-into one: negation marks what follows it closely, reported speech what follows it in the clause, and the pattern
-transducer tells an insult or threat with a target from one without. Each clause with an insult or threat is read by
-the composed machine; a document's score is a logistic function of the weighted patterns of all its clauses.
-
-The insults and the patterns' weights are learned from labelled rows: a bounded sample of them (`rows`), outside the
-held-out part. An insult is a word or word beginning that toxic texts use in several different contexts (copies of one
-text count once) and far more often than clean ones; how much more is its weight. Everything else is a fixed list. A
-text's repetitions of one word in one pattern count once.
+Words and marks become symbols: insult, threat, target, negation, reported speech, comma, colon, quotation mark, stop.
+A line that holds an insult or a threat is read by a bimachine. From right to left a first transducer tells each symbol
+whether a target follows in its clause and whether it stands in a quotation that a verb of reporting follows. From left
+to right three transducers, composed into one, then tell which pattern each insult or threat makes: negation reaches a
+few words ahead in its clause; reported speech reaches to the end of its clause, or of a quotation that it introduces;
+the pattern transducer tells an insult or threat with a target in its clause from one without, and from a negated or
+reported one. A document's score is a logistic function of the weighted patterns of all its clauses, so the same word
+counts much in one clause and hardly in another.
+
+Learned from labelled rows, a bounded sample of them (`rows`) outside the held-out part: which whole words are insults
+and how much each weighs (words that toxic texts use in several contexts and that are far more often in toxic texts than
+in clean ones), and the weights of the patterns, from counts made with words that were learned on other texts. Weights
+keep to what the grammar says whatever the labels are (see `_bounds`). Targets, negations, verbs of reporting and threats
+are fixed lists. A text's repetitions of one word in one pattern count once.
 """
 
 from __future__ import annotations
@@ -21,27 +26,33 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import bound_batches, text_buffers
 from .segments import SegmentCache, pieces, span_hashes
-from .words import WORD_CHARS, _LOWER, words
+from .words import WORD_CHARS, words
 
 # Seed words of each class, in English, German, French and Spanish.
 INSULTS = "idiot idiots moron morons scum trash loser losers pathetic worthless stupid disgusting dumb idioten dummkopf abschaum trottel arschloch connard connasse imbécile ordure salaud idiota imbécil estúpido basura escoria".split()
 THREATS = "kill hurt destroy burn beat shoot stab strangle töten umbringen verprügeln tuer frapper matar golpear".split()
 TARGETS = "you your yours yourself u ur he she they him her them these those dich dir deine euch vous toi tes usted ustedes ellos".split()
-NEGATIONS = "not no never isn't aren't wasn't don't isnt arent wasnt dont nor neither nicht kein keine niemals nie ne pas jamais nunca jamás".split()
+#: "t" is what the word rule leaves of a contraction with "not".
+NEGATIONS = "not no never t isnt arent wasnt dont wont nor neither nicht kein keine niemals nie ne pas jamais nunca jamás".split()
 REPORTS = "said says say called calls quoted quote reported reports claimed claims alleged wrote writes sagte nannte zitierte schrieb disait appelait écrivait dijo llamó escribió".split()
 
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
+OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, COMMA, COLON, QUOTE, STOP = range(10)
 PATTERNS = ("insult", "insult_target", "threat", "threat_target", "negated", "reported")
 #: Weights before anything is learned: by pattern, then the bias.
-PRIOR = np.array([2.0, 2.5, 0.3, 1.0, 0.0, 0.3, -3.0])
+PRIOR = np.array([3.0, 4.5, 0.3, 4.5, 0.0, 0.2, -3.0])
+#: Parts of the labelled sample; each is counted with words learned from the others.
+FOLDS = 4
 #: Words between a negation and what it negates, at most.
 SCOPE = 3
-_STOPS = np.zeros(256, bool)
-_STOPS[[ord(c) for c in ".,;:!?\n()\"|"]] = True
+_MARK = np.zeros(256, np.uint8)
+for _chars, _kind in ((",", COMMA), (":", COLON), ('"', QUOTE), (".;!?()|\n", STOP)):
+    _MARK[[ord(c) for c in _chars]] = _kind
+# UTF-8 quotation marks and the apostrophe, and ASCII of the same length that stands for them.
+_CURLY = [(s.encode(), a) for s, a in (("“", b'"  '), ("”", b'"  '), ("„", b'"  '), ("«", b'" '), ("»", b'" '), ("’", b"'  "))]
 
 
 class Transducer:
-    """Deterministic weighted transducer: step(state, symbol) gives the next state, the symbol put out, the weight."""
+    """Deterministic transducer: step(state, symbol) gives the next state and the symbol put out."""
 
     def __init__(self, start, step):
         self.start, self.step = start, step
@@ -50,68 +61,93 @@ class Transducer:
         """Composition: what this machine puts out is what the other reads."""
 
         def step(state, symbol):
-            a, b = state
-            a, out, w = self.step(a, symbol)
-            b, out, v = other.step(b, out)
-            return (a, b), out, w + v
+            a, out = self.step(state[0], symbol)
+            b, out = other.step(state[1], out)
+            return (a, b), out
 
         return Transducer((self.start, other.start), step)
 
-    def table(self, symbols) -> tuple[dict, list]:
-        """All reachable steps as {(state number, symbol): (state number, out, weight)}."""
+    def table(self, symbols) -> dict:
+        """All reachable steps as {(state number, symbol): (state number, out)}; the start is state 0."""
         number, todo, rows = {self.start: 0}, [self.start], {}
         while todo:
             s = todo.pop()
             for x in symbols:
-                t, out, w = self.step(s, x)
+                t, out = self.step(s, x)
                 if t not in number:
                     number[t] = len(number)
                     todo.append(t)
-                rows[number[s], x] = (number[t], out, w)
-        return rows, list(number)
-
-
-def _negation(state: int, symbol):
-    """State: words that a negation still reaches. Symbols between are passed on with a mark if it does."""
-    kind = symbol
+                rows[number[s], x] = (number[t], out)
+        return rows
+
+
+def _ahead(state, kind):
+    """From right to left. State: whether a target follows in the clause; the verb of reporting to the right (0: none, 1:
+    one in this sentence, 2: we are inside the quotation before it)."""
+    target, verb = state
+    if kind in (COMMA, COLON, QUOTE, STOP):
+        if kind == QUOTE:
+            verb = {0: 0, 1: 2, 2: 0}[verb]
+        elif kind == STOP and verb == 1:
+            verb = 0
+        return (False, verb), (kind, False, False)
+    out = (kind, target, verb == 2)
+    return (target or kind == TARGET, 1 if kind == REPORT and verb == 0 else verb), out
+
+
+def _negation(reach: int, symbol):
+    """State: how many words a negation still reaches."""
+    kind, target, quoted = symbol
     if kind == NEGATION:
-        return SCOPE, (OTHER, False), 0.0
-    return max(0, state - 1), (kind, state > 0 and kind in (INSULT, THREAT)), 0.0
+        return SCOPE, (OTHER, target, quoted, False)
+    if kind in (COMMA, COLON, QUOTE, STOP):
+        return 0, (kind, target, quoted, False)
+    return max(0, reach - 1), (kind, target, quoted, reach > 0)
 
 
-def _report(state: bool, symbol):
-    kind, negated = symbol
+def _report(state: int, symbol):
+    """State: 0 plain, 1 behind a verb of reporting, 2 behind its comma, 3 in the quotation that it introduces."""
+    kind, target, quoted, negated = symbol
     if kind == REPORT:
-        return True, (OTHER, "plain"), 0.0
-    mark = "negated" if negated else "reported" if state else "plain"
-    return state, (kind, mark), 0.0
+        return state if state == 3 else 1, (OTHER, target, "plain")
+    if kind == QUOTE:
+        return 3 if state in (1, 2) else 0, (kind, target, "plain")
+    if kind == STOP:
+        return 3 if state == 3 else 0, (kind, target, "plain")
+    if kind == COMMA:
+        return 2 if state == 1 else state, (kind, target, "plain")
+    mark = "negated" if negated else "reported" if quoted or state in (1, 3) else "plain"
+    return 0 if state == 2 and kind != OTHER else state, (kind, target, mark)
 
 
 def _pattern(state: bool, symbol):
     """State: whether a target was read in the clause."""
-    kind, mark = symbol
+    kind, target, mark = symbol
     if kind == TARGET:
-        return True, None, 0.0
+        return True, None
+    if kind in (COMMA, COLON, QUOTE, STOP):
+        return False, None
     if kind not in (INSULT, THREAT):
-        return state, None, 0.0
+        return state, None
     if mark != "plain":
-        return state, mark, 1.0
-    return state, ("insult" if kind == INSULT else "threat") + "_target" * state, 1.0
+        return state, mark
+    return state, ("insult" if kind == INSULT else "threat") + "_target" * (state or target)
 
 
-def grammar() -> dict:
-    """The composed machine as a table over the six classes."""
-    machine = Transducer(0, _negation) @ Transducer(False, _report) @ Transducer(False, _pattern)
-    return machine.table(range(6))[0]
+def grammar() -> tuple[dict, dict]:
+    """The tables of the two directions: from right to left, then the composed machine from left to right."""
+    kinds = range(10)
+    marked = [(k, t, q) for k in kinds for t in (False, True) for q in (False, True)]
+    forward = Transducer(0, _negation) @ Transducer(0, _report) @ Transducer(False, _pattern)
+    return Transducer((False, 0), _ahead).table(kinds), forward.table(marked)
 
 
 @dataclass
 class Lexicon:
-    """Classes of words, weights of insults (1 if not given), and weights of word beginnings that are insults."""
+    """Classes of words, and weights of insults (1 if not given)."""
 
     classes: dict[str, int] = field(default_factory=dict)
     weights: dict[str, float] = field(default_factory=dict)
-    stems: dict[str, float] = field(default_factory=dict)
 
     @staticmethod
     def seed() -> "Lexicon":
@@ -131,60 +167,70 @@ class Reader:
     """Counts patterns of whole texts."""
 
     def __init__(self, lexicon: Lexicon):
-        self.table = grammar()
+        self.back, self.forth = grammar()
         names = list(lexicon.classes)
         self.kinds = np.array([lexicon.classes[w] for w in names], np.uint8)
         self.weights = np.array([lexicon.weights.get(w, 1.0) for w in names])
         self.words = SegmentCache(max(10, (4 * len(names)).bit_length()))
         self.words.add(_hash(names), [[0]] * len(names))
-        self.stems: dict[int, tuple[SegmentCache, np.ndarray]] = {}
-        for size in sorted({len(s.encode()) for s in lexicon.stems}):
-            own = [s for s in lexicon.stems if len(s.encode()) == size]
-            cache = SegmentCache(max(10, (4 * len(own)).bit_length()))
-            cache.add(_hash(own), [[0]] * len(own))
-            self.stems[size] = cache, np.array([lexicon.stems[s] for s in own])
+
+    def read(self, kinds: list[int]) -> list[str | None]:
+        """The pattern that each symbol of a line makes, or None."""
+        state, marked = 0, []
+        for k in reversed(kinds):
+            state, out = self.back[state, k]
+            marked.append(out)
+        state, found = 0, []
+        for x in reversed(marked):
+            state, out = self.forth[state, x]
+            found.append(out)
+        return found
 
     def counts(self, data, offs: np.ndarray) -> np.ndarray:
         """A row of pattern counts for each text."""
         out = np.zeros((len(offs) - 1, len(PATTERNS)))
         for i, j in pieces(offs, 1 << 20):
             o = offs[i : j + 1] - offs[i]
-            part = np.frombuffer(data, np.uint8)[offs[i] : offs[j]]
-            h, starts, ends, at = words(part, o, WORD_CHARS)
+            raw = np.frombuffer(data, np.uint8)[offs[i] : offs[j]].tobytes()
+            for mark, plain in _CURLY:
+                raw = raw.replace(mark, plain)
+            part = np.frombuffer(raw, np.uint8)
+            h, starts, _, at = words(part, o, WORD_CHARS)
             if not len(h):
                 continue
-            found = self.words.find(np.where(h == 0, np.uint64(1), h))
+            h = np.where(h == 0, np.uint64(1), h)
+            found = self.words.find(h)
             kind = np.where(found >= 0, self.kinds[np.maximum(found, 0)], OTHER).astype(np.uint8)
-            weight = self.weights[np.maximum(found, 0)] if len(self.weights) else np.ones(len(h))
-            if self.stems:
-                low = _LOWER[part]
-                for size, (stems, own_weights) in self.stems.items():
-                    long_ = np.flatnonzero((ends - starts >= size) & (kind != INSULT))
-                    if len(long_):
-                        hs = span_hashes(low, starts[long_], starts[long_] + size)
-                        entry = stems.find(np.where(hs == 0, np.uint64(1), hs))
-                        kind[long_[entry >= 0]] = INSULT
-                        weight[long_[entry >= 0]] = own_weights[entry[entry >= 0]]
             core = np.flatnonzero((kind == INSULT) | (kind == THREAT))
             if not len(core):
                 continue
-            # Clauses end at punctuation and at the ends of texts.
-            stop = np.concatenate([[0], np.cumsum(_STOPS[part])])
-            text = np.searchsorted(at, np.arange(len(h)), side="right") - 1
-            clause = stop[starts] + text
-            edges = np.flatnonzero(np.concatenate([[True], clause[1:] != clause[:-1], [True]]))
+            # A line ends at a line end and at the end of its text; only lines with an insult or a threat are read.
+            ends = part == 10
+            ends[o[(o > 0) & (o < len(part))] - 1] = True
+            line = np.cumsum(ends) - ends
+            read = np.zeros(int(line[-1]) + 1, bool)
+            read[line[starts[core]]] = True
+            # Other words matter only as far as a negation may reach over them.
+            place = np.arange(len(h))
+            last = np.maximum.accumulate(np.where(kind == NEGATION, place, -SCOPE - 1))
+            use = np.flatnonzero(((kind != OTHER) | (place - last <= SCOPE)) & read[line[starts]])
+            marks = np.flatnonzero(_MARK[part] > 0)
+            marks = marks[read[line[marks]]]
+            where = np.concatenate([starts[use], marks])
+            symbol = np.concatenate([kind[use], _MARK[part[marks]]])
+            word = np.concatenate([use, np.full(len(marks), -1)])
+            order = np.argsort(where, kind="stable")
+            where, symbol, word = where[order], symbol[order], word[order]
+            own = line[where]
+            edge = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1], [True]])).tolist()
+            text = np.searchsorted(o, where, side="right") - 1
             counted: set = set()
-            for c in np.unique(np.searchsorted(edges, core, side="right") - 1).tolist():
-                a, b = int(edges[c]), int(edges[c + 1])
-                row = out[i + int(text[a])]
-                own = kind[a:b].tolist()
-                # A target behind an insult counts like one before it: the clause is read as if led by it.
-                state = self.table[0, TARGET][0] if TARGET in own else 0
-                for k, symbol in enumerate(own, a):
-                    state, pattern, times = self.table[state, symbol]
-                    if pattern is not None and (text[k], h[k], pattern) not in counted:
-                        counted.add((text[k], h[k], pattern))
-                        row[PATTERNS.index(pattern)] += times * weight[k]
+            for a, b in zip(edge[:-1], edge[1:]):
+                t = int(text[a])
+                for k, pattern in enumerate(self.read(symbol[a:b].tolist()), a):
+                    if pattern is not None and (t, x := int(h[word[k]]), pattern) not in counted:
+                        counted.add((t, x, pattern))
+                        out[i + t, PATTERNS.index(pattern)] += self.weights[found[word[k]]]
         return out
 
 
@@ -193,20 +239,41 @@ def scores(counts: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-(np.log1p(counts) @ weights[:-1] + weights[-1])))
 
 
-def fit_weights(counts: np.ndarray, labels: np.ndarray, ridge: float = 0.05, steps: int = 30) -> np.ndarray:
-    """Penalised logistic regression around the prior weights, by Newton steps."""
+#: The score from which a text counts as toxic, and how far (in log odds) the grammar's certain cases lie from it.
+THRESHOLD, MARGIN = 0.3, 0.5
+
+
+def _bounds(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Least and greatest weights that the grammar allows under a bias: one targeted insult or threat of full weight is
+    toxic by itself, and a targeted insult counts no less than a bare one; one threat without target isn't, nor are three
+    negated or reported ones."""
+    gap = np.log(THRESHOLD / (1 - THRESHOLD)) - w[-1]
+    sure, one, three = (gap + MARGIN) / np.log(2), max(0.0, gap - MARGIN) / np.log(2), max(0.0, gap - MARGIN) / np.log(4)
+    return np.array([0.0, max(sure, w[0]), 0.0, sure, -1.0, -1.0, -8.0]), np.array([20.0, 30.0, one, 20.0, three, three, -2.0])
+
+
+def fit_weights(counts: np.ndarray, labels: np.ndarray, times: np.ndarray | None = None, ridge: float = 0.05, steps: int = 60) -> np.ndarray:
+    """Penalised logistic regression around the prior weights, by Newton steps inside the grammar's bounds."""
     w = PRIOR.copy()
     if not len(labels):
         return w
+    times = np.ones(len(labels)) if times is None else times
     x = np.hstack([np.log1p(counts), np.ones((len(counts), 1))])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-(x @ w)))
-        grad = x.T @ (p - labels) + ridge * (w - PRIOR)
-        hess = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
-        step = np.linalg.solve(hess, grad)
-        w = w - np.clip(step, -2, 2)
-        if np.abs(step).max() < 1e-8:
+        grad = x.T @ ((p - labels) * times) + ridge * (w - PRIOR)
+        lo, hi = _bounds(w)
+        free = ~(((w <= lo) & (grad > 0)) | ((w >= hi) & (grad < 0)))
+        hess = (x * (p * (1 - p) * times)[:, None]).T @ x + ridge * np.eye(len(w))
+        step = np.zeros(len(w))
+        step[free] = np.linalg.solve(hess[np.ix_(free, free)], grad[free])
+        new = w - np.clip(step, -1, 1)
+        new[-1] = np.clip(new[-1], -8.0, -2.0)
+        new = np.clip(new, *_bounds(new))
+        new = np.clip(new, *_bounds(new))  # the bound of a targeted insult follows the bare one's new weight
+        if np.abs(new - w).max() < 1e-9:
             break
+        w = new
     return w
 
 
@@ -215,110 +282,115 @@ def held_out(key) -> "F.Column":
     return F.coalesce(F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
-def _features(batches):
-    """(feature, context) of toxic texts: the words of 4 letters or more and their beginnings of 4 to 6, each with one
-    context for each text, the least hash of its neighbours there; so copies of a text, or one long text, lend a feature
-    hardly any support."""
+def _split(text: str) -> list[str]:
     import re
+
+    upper = {c: c + 32 for c in range(65, 91)}
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.translate(upper))
+
+
+def _contexts(batches):
+    """(fold, word, context) of toxic texts: each word once for each text, with the least hash of its neighbours there;
+    so copies of a text, or one long text, lend a word hardly any support."""
     import zlib
 
-    upper = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
-    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     for batch in batches:
-        feature, context = [], []
-        for text in batch.column(0).to_pylist():
-            own = ["", *word.findall(text.translate(upper)), ""]
+        folds, found, contexts = [], [], []
+        for fold, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            own = ["", *_split(text), ""]
             least: dict[str, int] = {}
             for a, w, b in {(own[k - 1], own[k], own[k + 1]) for k in range(1, len(own) - 1)}:
-                if len(w) >= 4:
-                    c = zlib.crc32(f"{a} {b}".encode())
-                    for f in (w + "$", w[:4], w[:5], w[:6]):
-                        if c < least.get(f, 1 << 32):
-                            least[f] = c
-            feature += least
-            context += least.values()
-        yield pa.RecordBatch.from_arrays([pa.array(feature, pa.string()), pa.array(context, pa.int64())], names=["feature", "context"])
-
-
-def _enlist(lexicon: Lexicon, uses: dict[str, tuple[int, int]], toxic: int, clean: int, most: int) -> None:
-    """Add features by the log likelihood ratio of their uses in toxic and clean texts, best first; none that begins
-    with one already there, or the other way round. A weight is the log odds over those of all words, of at most 8."""
-
-    def ratio(p: int, q: int) -> float:
-        share, base = p / (p + q), toxic / (toxic + clean)
-        part = lambda n, x, y: n * np.log(x / y) if n else 0.0
-        return part(p, share, base) + part(q, 1 - share, 1 - base)
-
-    taken: set[str] = set()  # beginnings of what is there, and what is there
-    entries: set[str] = set()
-    for f, (p, q) in sorted(uses.items(), key=lambda x: (-ratio(*x[1]), x[0])):
-        if len(entries) >= most:
-            break
-        if f in taken or any(f[:k] in entries for k in range(4, len(f))):
-            continue
-        entries.add(f)
-        taken.update(f[:k] for k in range(4, len(f) + 1))
-        weight = float(np.clip(np.log((p + 0.5) / (q + 0.5) * (clean + 1) / (toxic + 1)), 0, 8) / 8)
-        if f.endswith("$"):
-            lexicon.classes[f[:-1]], lexicon.weights[f[:-1]] = INSULT, weight
-        else:
-            lexicon.stems[f] = weight
-
-
-def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = 20_000, support: int = 8, purity: float = 0.5, most: int = 4000) -> tuple[Lexicon, np.ndarray]:
+                c = zlib.crc32(f"{a} {b}".encode())
+                if c < least.get(w, 1 << 32):
+                    least[w] = c
+            found += least
+            contexts += least.values()
+            folds += [fold] * len(least)
+        yield pa.RecordBatch.from_arrays([pa.array(folds, pa.int32()), pa.array(found, pa.string()), pa.array(contexts, pa.int64())], names=["fold", "word", "context"])
+
+
+def _enlist(uses: dict[str, tuple[int, int, int]], total: tuple[int, int], support: int, purity: float) -> Lexicon:
+    """The seed classes and the words that uses (contexts, toxic texts, clean texts) make insults. A weight is the log
+    odds of a word over those of all words, of at most 8, as a share of 8; seed words have the whole."""
+    out = Lexicon.seed()
+    for w, (contexts, p, q) in sorted(uses.items()):
+        if contexts >= support and p >= purity * (p + q) and w not in out.classes:
+            weight = np.log((p + 0.5) / (q + 0.5) * (total[1] + 1) / (total[0] + 1))
+            out.classes[w], out.weights[w] = INSULT, float(np.clip(weight, 0, 8) / 8)
+    return out
+
+
+def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = 20_000, support: int = 3, purity: float = 0.8) -> tuple[Lexicon, np.ndarray]:
     """Lexicon and weights from at most `rows` labelled texts outside the held-out part, those with the least hashes of
     their keys. `support`: contexts that an insult needs in toxic texts; `purity`: the share of its uses (distinct words
-    of a text) that are in toxic ones; `most`: entries of the lexicon at most, those that tell labels apart best."""
+    of a text) that are in toxic ones. The driver gets words that have both and the distinct rows of pattern counts, both
+    bounded by the sample.
+
+    Rows without key, label or text are not learned from; a key's several labels count as toxic if one is; equal texts
+    count once, as toxic if one is; without labelled rows the seed lists and prior weights are returned.
+    """
     bound_batches(docs.sparkSession)
     lab = labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).where("k IS NOT NULL AND y IS NOT NULL").where(~held_out(F.col("k")))
     lab = lab.groupBy("k").agg(F.max("y").alias("y")).orderBy(F.xxhash64("k"), "k").limit(rows)
     own = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).where("t IS NOT NULL")
     # The sample has `rows` rows at most, whatever the tables' size.
     own = own.join(F.broadcast(lab), "k").groupBy(F.xxhash64("t").alias("h")).agg(F.max("y").alias("y"), F.first("t").alias("t"))
-    sample = own.select("t", "y").persist()
+    sample = own.select(F.pmod("h", F.lit(FOLDS)).cast("int").alias("fold"), "t", (F.col("y") > 0).cast("int").alias("y")).persist()
     try:
-        seen = sample.where("y = 1").select("t").mapInArrow(_features, "feature string, context bigint").distinct()
-        found = seen.groupBy("feature").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= support).orderBy(F.desc("n"), "feature").limit(50 * most)
-        candidates = {r.feature: r.n for r in found.collect()}
-        use = frozenset(candidates)
+        seen = sample.where("y = 1").select("fold", "t").mapInArrow(_contexts, "fold int, word string, context bigint").distinct()
+        n = [F.count(F.when(F.col("fold") == f, 1)).alias(f"n{f}") for f in range(FOLDS)]
+        supported = seen.groupBy("word").agg(F.count(F.lit(1)).alias("n"), *n).where(F.col("n") >= support).drop("n")
+        contexts = {r[0]: tuple(r[1:]) for r in supported.collect()}
+        use = frozenset(contexts)
 
         def hold(batches):
-            """Texts of each label that hold each candidate."""
-            import re
+            """Texts of each fold and label that hold each word, and under "" the words of all texts."""
             from collections import Counter
 
-            upper = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
-            word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-            seen = {0: Counter(), 1: Counter()}
+            seen = {(f, y): Counter() for f in range(FOLDS) for y in (0, 1)}
             for batch in batches:
-                for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    own = set(word.findall(t.translate(upper)))
-                    seen[1 if y else 0].update([f for w in own if len(w) >= 4 for f in {w + "$", w[:4], w[:5], w[:6]} if f in use])
-                    seen[1 if y else 0][""] += len(own)
-            for y, c in seen.items():
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array([y] * len(c), pa.int32()), pa.array(list(c.values()), pa.int64())], names=["feature", "y", "n"])
-
-        lexicon = Lexicon.seed()
-        if use:
-            held = sample.mapInArrow(hold, "feature string, y int, n bigint").groupBy("feature").agg(F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("p"), F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("q"))
-            total = held.where("feature = ''").first()
-            pure = held.where((F.col("feature") != "") & (F.col("p") >= purity * (F.col("p") + F.col("q")))).collect()
-            _enlist(lexicon, {r.feature: (r.p, r.q) for r in pure}, total.p, total.q, most)
+                for f, t, y in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                    own = set(_split(t))
+                    seen[f, y].update(own & use)
+                    seen[f, y][""] += len(own)
+            for (f, y), c in seen.items():
+                yield pa.RecordBatch.from_arrays([pa.array([2 * f + y] * len(c), pa.int32()), pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], names=["part", "word", "n"])
+
+        parts = range(2 * FOLDS)
+        sums = [F.sum(F.when(F.col("part") == k, F.col("n")).otherwise(0)).alias(f"s{k}") for k in parts]
+        held = sample.mapInArrow(hold, "part int, word string, n bigint").groupBy("word").agg(*sums)
+        # A word may be pure without one fold and not with it; so all that are not hopeless are looked at.
+        toxic, clean = (sum(F.col(f"s{k}") for k in parts if k % 2 == y) for y in (1, 0))
+        held = {r[0]: tuple(r[1:]) for r in held.where((F.col("word") == "") | (toxic >= purity / 2 * (toxic + clean))).collect()}
+        total = held.pop("", (0,) * len(parts))
+
+        def lexicon(without: int | None = None) -> Lexicon:
+            folds = [f for f in range(FOLDS) if f != without]
+            both = lambda s: (sum(s[2 * f + 1] for f in folds), sum(s[2 * f] for f in folds))
+            return _enlist({w: (sum(contexts[w][f] for f in folds), *both(s)) for w, s in held.items()}, both(total), support, purity)
+
+        # Patterns of a text are counted with words learned from the other folds, so weights are not fitted to words
+        # that the text itself has lent.
+        others = [lexicon(f) for f in range(FOLDS)]
 
         def count(batches):
-            reader = Reader(lexicon)
+            readers = [Reader(x) for x in others]
             for batch in batches:
-                c = reader.counts(*text_buffers(batch.column(0)))
-                yield pa.RecordBatch.from_arrays([batch.column(1), *[pa.array(c[:, i]) for i in range(len(PATTERNS))]], names=["y", *PATTERNS])
-
-        got = sample.mapInArrow(count, "y int, " + ", ".join(f"{p} double" for p in PATTERNS)).orderBy("y", *PATTERNS).collect()
-        x = np.array([[r[p] for p in PATTERNS] for r in got]).reshape(-1, len(PATTERNS))
-        return lexicon, fit_weights(x, np.array([float(r.y > 0) for r in got]))
+                fold = batch.column(0).to_numpy()
+                c = np.zeros((len(fold), len(PATTERNS)))
+                for f, reader in enumerate(readers):
+                    c[fold == f] = reader.counts(*text_buffers(batch.column(1).filter(pa.array(fold == f))))
+                yield pa.RecordBatch.from_arrays([batch.column(2), *[pa.array(c[:, i]) for i in range(len(PATTERNS))]], names=["y", *PATTERNS])
+
+        got = sample.mapInArrow(count, "y int, " + ", ".join(f"{p} double" for p in PATTERNS)).groupBy("y", *PATTERNS).agg(F.count(F.lit(1)).alias("times")).collect()
+        # In a fixed order, so that sums do not depend on which task was first.
+        table = np.array(sorted([*(float(r[p]) for p in PATTERNS), float(r.y), float(r.times)] for r in got)).reshape(-1, len(PATTERNS) + 2)
+        return lexicon(), fit_weights(table[:, :-2], table[:, -2], table[:, -1])
     finally:
         sample.unpersist()
 
 
-def score(docs: DataFrame, model: tuple[Lexicon, np.ndarray], key: str = "doc_id", text: str = "text", threshold: float = 0.3, keep: bool = False) -> DataFrame:
+def score(docs: DataFrame, model: tuple[Lexicon, np.ndarray], key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, keep: bool = False) -> DataFrame:
     """(key, score, predicted, clauses: pattern counts by name), or with keep the columns of docs and predicted.
 
     Null and empty texts have the score of a text without patterns. Narrow: no shuffle. Repeated rows each get a row;
