@@ -11,7 +11,7 @@ import pytest
 
 import public_tokenizers
 from pyspark.sql import functions as F
-from weftline.llm import decontaminate, fingerprint, jaccard_join, kd_sharding, line_dedup, sentencepiece_codec, token_counts, token_files, toxicity, warc
+from weftline.llm import common, decontaminate, fingerprint, jaccard_join, kd_sharding, line_dedup, sentencepiece_codec, token_counts, token_files, toxicity, warc
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
 PLAIN = {ord(c): ord(c) + 32 for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
@@ -225,6 +225,50 @@ def test_line_dedup(docs, pdf, empty):
     assert not re.search("Python|Arrow|Pandas", plan)
 
 
+CLASH = ["id", "pos", "th", "k", "key", "h1", "h2", "n", "line", "lines", "first", "shared", "bucket", "shard", "slot", "size", "crc", "predicted", "start", "root", "sid"]
+
+
+def clashing(df):
+    """With columns that have the names operators use inside."""
+    for c in CLASH:
+        if c not in df.columns:
+            df = df.withColumn(c, F.lit("x"))
+    return df
+
+
+@pytest.mark.parametrize("heavy", [1, 1000])
+def test_line_dedup_edges(spark, monkeypatch, heavy):
+    """Null and repeated keys, repeated rows, a line that all rows hold, clashing names; some lines by either way."""
+    monkeypatch.setattr(common, "HEAVY_KEYS", heavy)
+    common_line, other = "a line that everybody holds", "a line that some hold"
+    rows = [(None, f"{common_line}\nx"), (None, f"{common_line}\nx"), (None, None), (3, ""), (3, f"own line of three\n{common_line}"), (3, f"own line of three\n{other}")]
+    rows += [(i, f"{common_line}\n{'  ' * i}{other.upper()}\nline of its own {i}\n{common_line}") for i in range(4, 30)]
+    rows += [(-7, other), (30, "own line of three"), (31, "\n".join(["long line number " + str(i) for i in range(20_000)])), (32, "long line number 77"), (32, "long line number 77")]
+    docs = clashing(spark.createDataFrame(rows, "doc_id bigint, text string")).repartition(3)
+    low = lambda i: (i is not None, i or 0)
+    holders = collections.defaultdict(set)
+    norm = lambda x: x.strip(" \t\n\x0b\x0c\r").translate(PLAIN)
+    for i, t in rows:
+        for x in (t or "").split("\n"):
+            holders[norm(x)].add(i)
+    want = []
+    for i, t in rows:
+        lines = (t or "").split("\n")
+        stay = [x for x in lines if len(norm(x)) < 10 or len(holders[norm(x)]) < 2 or min(holders[norm(x)], key=low) == i]
+        want.append((i, len(lines), len(lines) - len(stay), "\n".join(stay)))
+    got = [(r.doc_id, r.n_lines, r.n_dropped, r.text) for r in line_dedup.dedup_lines(docs).collect()]
+    assert collections.Counter(got) == collections.Counter(want)
+    three = {(r.doc_id, r.text) for r in line_dedup.dedup_lines(docs, min_docs=3).collect()}
+    assert (30, "own line of three") in three and (32, "long line number 77") in three and (-7, other) in three
+
+
+def test_line_hashes(spark):
+    """The second hash is no function of the first: it isn't the first hashed on."""
+    rows = spark.createDataFrame([(f"line {i} " * 5,) for i in range(200)], "line string")
+    got = rows.select(*line_dedup.line_hashes(F.col("line")), F.xxhash64("line", F.lit(1)).alias("chained")).collect()
+    assert all(r.h2 not in (r.h1, r.chained) for r in got) and len({r.h2 for r in got}) == 200
+
+
 def test_sentencepiece(docs, pdf, empty):
     import sentencepiece
 
