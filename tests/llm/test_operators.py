@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import pandas as pd
 import pytest
+import xxhash
 
 import public_tokenizers
 from pyspark.sql import functions as F
@@ -161,20 +162,84 @@ def test_removal_in_blocks(spark, monkeypatch):
     assert rows() == whole
 
 
-def test_sharding(docs, pdf, empty):
+def _kd_tree(rows, shards):
+    """Shard of each (id, text, labels...) row by sorting every node whole."""
+    code = lambda x: int((x.encode().hex() + "0" * 8)[:8], 16) * 16 + signed(x) % 16
+    signed = lambda x: (lambda h: h - (1 << 64) if h >> 63 else h)(xxhash.xxh64(x, seed=42).intdigest())
+    points, groups = [], collections.defaultdict(list)
+    for i, t, *labels in rows:
+        groups[t or ""].append([code(x or "") for x in labels])
+    size = lambda t: len(t.encode()) + 1
+    total = sum(size(t) * len(g) for t, g in groups.items())
+    for i, t, *_ in rows:
+        t = t or ""
+        assert size(t) * len(groups[t]) <= total / shards or len(groups[t]) == 1
+        dims = [len(t), *(min(x) for x in zip(*groups[t]))]
+        points.append((i, size(t), dims, (zlib.crc32(t.encode()), xxhash.xxh64(t, seed=42).intdigest() >> 4)))
+    spread = lambda ps, d: float(np.std([np.log1p(p[2][d]) for p in ps]))
+    root = [spread(points, d) for d in range(len(points[0][2]))]
+    out = {}
+
+    def split(ps, first, count):
+        if count == 1 or not ps:
+            out.update({p[0]: first for p in ps})
+            return
+        dim = max(range(len(root)), key=lambda d: round(spread(ps, d) / root[d], 9) if root[d] else 0.0)
+        place = lambda p: (p[2][dim], p[3])
+        left, weights = count // 2, collections.Counter()
+        for p in ps:
+            weights[place(p)] += p[1]
+        target, run = sum(weights.values()) * left / count, 0
+        for x in sorted(weights):
+            if run + weights[x] >= target:
+                break
+            run += weights[x]
+        low = target - run > run + weights[x] - target
+        goes = lambda p: place(p) < x or (low and place(p) == x)
+        split([p for p in ps if goes(p)], first, left)
+        split([p for p in ps if not goes(p)], first + left, count - left)
+
+    split(points, 0, shards)
+    return out
+
+
+def test_sharding(spark, docs, pdf, empty):
+    r = np.random.default_rng(3)
+    texts = [" ".join(r.choice(WORDS, r.integers(1, 60))) for _ in range(300)]
+    rows = [(i, texts[int(r.integers(0, 300))], str(r.choice(["en", "de", "fr"])), f"s{r.integers(0, 5)}") for i in range(500)] + [(500, None, None, None), (501, "", "en", "x"), (502, "é" * 50, "", "s1")]
+    made = clashing(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")).repartition(3)
+    for shards in (3, 8):
+        out = kd_sharding.shard(made, shards, tolerance=0).toPandas().set_index("doc_id")
+        assert out.shard.to_dict() == _kd_tree(rows, shards)
+        whole = collections.defaultdict(set)
+        for i, t, *_ in rows:
+            whole[t].add(out.shard[i])
+        assert all(len(x) == 1 for x in whole.values())
+        sums = out.groupby("shard")["size"].sum()
+        assert len(sums) == shards and sums.max() < 1.1 * sums.min()
+    assert kd_sharding.shard(made, target_bytes=int(out["size"].sum()) // 5 + 1).select("shard").distinct().count() == 5
+
     out = kd_sharding.shard(docs, 4).toPandas().sort_values("doc_id").reset_index(drop=True)
     assert out.doc_id.tolist() == pdf.doc_id.tolist()
     texts = [(t or "").encode() for t in pdf.text]
     assert out["size"].tolist() == [len(t) + 1 for t in texts] and out.text_crc32.tolist() == [zlib.crc32(t) for t in texts]
-    most = max(len(t) for t in texts)
-    # One text outweighs all others here, so a shard may stay empty; no shard is off by more than that text twice.
-    sums = out.groupby("shard")["size"].sum().reindex(range(4), fill_value=0)
-    assert set(out.shard) <= set(range(4)) and sums.max() - sums.min() <= 2 * most
     for _, g in out.groupby("shard"):
         assert g.sort_values("doc_id").slot.tolist() == list(range(len(g)))
     assert kd_sharding.shard(empty, 4).count() == 0
 
 
+def test_sharding_of_a_group_that_outweighs_a_shard(spark):
+    """Its copies are cut; null and repeated keys each have a slot."""
+    rows = [(i, "the same text " * 5) for i in range(200)] + [(1000 + i, f"text {i} of its own " * 3) for i in range(200)] + [(None, "x"), (None, "x"), (7, "y")]
+    out = kd_sharding.shard(clashing(spark.createDataFrame(rows, "doc_id bigint, text string")), 8).toPandas()
+    sums = out.groupby("shard")["size"].sum()
+    assert len(out) == len(rows) and len(sums) == 8 and sums.max() < 1.1 * sums.min()
+    for _, g in out.groupby("shard"):
+        assert sorted(g.slot) == list(range(len(g)))
+        g = g.sort_values("slot")
+        assert g.doc_id.isna().tolist() == sorted(g.doc_id.isna(), reverse=True) and g.doc_id.dropna().is_monotonic_increasing
+
+
 def test_token_files(docs, pdf, empty):
     from tokenizers import Tokenizer
 

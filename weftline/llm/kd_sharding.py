@@ -1,30 +1,31 @@
 """Operator 2: K-d tree sharding.
 
-Documents become points of metadata: length, language, source and content hash, each an integer. A node that must be
-split is cut at the median of its bytes along the dimension in which its points lie widest, until as many leaves as
-shards exist. Medians are exact to a tolerance: counts of bytes by 12-bit digits of an order-preserving key, from the
-top digit down, for all nodes of a level at once. Only such counts (nodes x 4096 at most) reach the driver.
+Documents become points of metadata: length and labels (language, source), each an integer. A node is cut at the median
+of its bytes along the dimension in which its points lie widest, until as many leaves as shards exist; their number can
+follow from the bytes that a shard should have. A point's place along a dimension is a string of hex digits: the
+dimension's value, then the content; so equal texts have one place. Medians are found by digits: bytes are counted by the
+next three digits, for all nodes of a level at once, until the count that holds a node's median is small. Only such
+counts (nodes x 4096 at most) reach the driver, and only a row for each node goes back, as a broadcast table.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import cut, numbered
+from .common import cut, numbered, spread_join
 
-_DIGIT = 12
-#: Digits of the split key: 36 bits of the dimension's value, 32 bits of content, 64 bits of the key.
-_WIDTHS = (36, 36, 60)
+#: Hex digits that are counted at once, and those of a place: value, checksum, hash of the content, hash of the key.
+_STEP, _WIDTHS = 3, (9, 9, 15, 15)
 
 
 def _points(docs: DataFrame, key: str, text: str, dims: list[str]) -> DataFrame:
-    """One narrow row for each document: size, crc, and the dimensions as integers from 0."""
+    """One narrow row for each document: id, size, crc, h (hash of the text) and the dimensions d0.. as integers from 0."""
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    size = (F.octet_length(body) + 1).cast("long")
     out = docs.select(
         F.col(key).cast("long").alias("id"),
-        size.alias("size"),
+        (F.octet_length(body) + 1).cast("long").alias("size"),
         F.crc32(body.cast("binary")).alias("crc"),
+        F.xxhash64(body).alias("h"),
         F.length(body).cast("long").alias("d0"),
         *[F.coalesce(F.col(d).cast("string"), F.lit("")).alias(f"s{i}") for i, d in enumerate(dims)],
     )
@@ -36,99 +37,87 @@ def _points(docs: DataFrame, key: str, text: str, dims: list[str]) -> DataFrame:
     return out.drop(*[f"s{i}" for i in range(len(dims))])
 
 
-def _digits(dim: Column) -> list[Column]:
-    """The split key as 12-bit digits, most significant first."""
-    parts = [dim, F.col("crc"), F.shiftrightunsigned(F.xxhash64("id", "size"), 4)]
-    out = []
-    for value, width in zip(parts, _WIDTHS):
-        for shift in range(width - _DIGIT, -1, -_DIGIT):
-            out.append(F.shiftrightunsigned(value, shift).bitwiseAND((1 << _DIGIT) - 1).cast("int"))
-    return out
-
-
-def shard(docs: DataFrame, shards: int = 8, key: str = "doc_id", text: str = "text", dims: list[str] | None = None, tolerance: float = 0.002) -> DataFrame:
-    """(key, size, text_crc32, shard, slot): shards of nearly equal bytes (size: UTF-8 bytes plus 1; null is none).
-
-    Each split is off its target by at most `tolerance` of the node or one document. Equal texts have neighbouring
-    split keys along length and content, so they stay together unless a cut falls among them, as it must where copies
-    outweigh a shard. Slots number a shard's rows from 0 by ascending key; null keys come first, rows with equal keys
-    follow in the order of content. `dims` default to lang and source as far as the table has them; null labels are
-    empty ones. An empty table gives no rows. Other columns are not read. Texts are read once and never shuffled.
+def _grouped(points: DataFrame, names: list[str], most: float) -> DataFrame:
+    """Points with the labels of their group of equal texts (the least of each) and `loose`: whether the group has more
+    than `most` bytes, so that it may be cut."""
+    labels = names[1:]
+    same = ["h", "crc", "size"]
+    groups = points.groupBy(*same).agg(F.count(F.lit(1)).alias("n"), *[F.min(d).alias(f"g_{d}") for d in labels]).where("n > 1")
+    groups = groups.withColumn("loose", F.col("n") * F.col("size") > most)
+    out = spread_join(points, cut(groups, "groups"), same, "n", ["id", *names])
+    return out.select("id", "size", "crc", "h", names[0], *[F.coalesce(f"g_{d}", d).alias(d) for d in labels], F.coalesce("loose", F.lit(False)).alias("loose"))
+
+
+def _place(dim: Column) -> Column:
+    """A point's place along a dimension. The hash of the key takes part only in groups that may be cut."""
+    hexed = lambda v, n: F.lpad(F.hex(v), n, "0")
+    own = F.when(F.col("loose"), F.shiftrightunsigned(F.xxhash64("id", "size"), 4)).otherwise(F.lit(0).cast("long"))
+    parts = (dim, F.col("crc"), F.shiftrightunsigned("h", 4), own)
+    return F.concat(*[hexed(p, n) for p, n in zip(parts, _WIDTHS)])
+
+
+def _cuts(placed: DataFrame, nodes: list[dict], names: list[str], tolerance: float) -> None:
+    """Find the cut of each node: sets its `bound`, the least place that goes right (rows with a lesser place go left)."""
+    spark = placed.sparkSession
+    for depth in range(sum(_WIDTHS) // _STEP):
+        todo = [n for n in nodes if not n["done"]]
+        if not todo:
+            return
+        open_ = spark.createDataFrame([(n["first"], n["dim"], n["prefix"]) for n in todo], "node int, dim int, prefix string")
+        # A row for each open node: as many as shards at most.
+        rows = placed.join(F.broadcast(open_), "node").withColumn("place", _place(F.get(F.array(*names), F.col("dim"))))
+        rows = rows.where(F.substring("place", 1, depth * _STEP) == F.col("prefix"))
+        counts: dict[int, list] = {}
+        for r in rows.groupBy("node", F.substring("place", depth * _STEP + 1, _STEP).alias("digit")).agg(F.sum("size").alias("w")).collect():
+            counts.setdefault(r.node, []).append((r.digit, r.w))
+        for n in todo:
+            run, own = n["below"], sorted(counts[n["first"]])
+            for digit, w in own:
+                if run + w >= n["target"] or digit == own[-1][0]:
+                    break
+                run += w
+            n["prefix"] += digit
+            n["below"], n["done"] = run, w <= n["total"] * tolerance
+            # What holds the median goes to whichever side leaves less over; "~" is behind all digits.
+            n["bound"] = n["prefix"] + "~" * (n["target"] - run > run + w - n["target"])
+
+
+def shard(docs: DataFrame, shards: int | None = 8, key: str = "doc_id", text: str = "text", dims: list[str] | None = None, tolerance: float = 0.002, target_bytes: int | None = None) -> DataFrame:
+    """(key, size, text_crc32, shard, slot): shards of nearly equal bytes (size: UTF-8 bytes plus 1; null is none). With
+    `target_bytes` there are as many shards as bring a shard to that many bytes at most on average.
+
+    Each split is off its target by at most `tolerance` of the node, or one document or group of equal texts. Equal texts
+    are in one shard, unless they alone outweigh a shard; such a group is cut by a hash of the key, where a cut falls in
+    it. Where labels differ among equal texts, the least of each counts for all. Slots number a shard's rows from 0 by
+    ascending key; null keys come first, rows with equal keys follow in the order of content. `dims` default to lang and
+    source as far as the table has them; null labels are empty ones. An empty table gives no rows. Other columns are not
+    read. Texts are read once and never shuffled.
     """
     dims = [d for d in ("lang", "source") if d in docs.columns] if dims is None else dims
-    points = cut(_points(docs, key, text, dims), "points")
     names = [f"d{i}" for i in range(len(dims) + 1)]
-    # Node: the shards it covers, as (first, count). All splits of a level are found together.
-    rules: dict[tuple[int, int], tuple[str, list[int], int]] = {}
-    level = [(0, shards)]
-
-    def node_of() -> Column:
-        """First shard of the node that a row lies in, by the splits found so far."""
-
-        def below(first: int, count: int) -> Column:
-            if (first, count) not in rules:
-                return F.lit(first)
-            dim, bound, left = rules[first, count]
-            less: Column = F.lit(False)
-            for digit, at in reversed(list(zip(_digits(F.col(dim)), bound))):
-                less = (digit < at) | ((digit == at) & less)
-            return F.when(less, below(first, left)).otherwise(below(first + left, count - left))
-
-        return below(0, shards)
-
-    while any(count > 1 for _, count in level):
-        placed = points.withColumn("node", node_of())
-        spans = {r.node: r for r in placed.groupBy("node").agg(F.sum("size").alias("w"), *[F.stddev_pop(F.log1p(d)).alias(f"sd_{d}") for d in names]).collect()}
-        if level == [(0, shards)]:
-            root = {d: (spans[0][f"sd_{d}"] if 0 in spans else 0.0) for d in names}
-        open_ = {}
+    points = cut(_points(docs, key, text, dims), "points")
+    total = points.agg(F.sum("size")).first()[0] or 0
+    if target_bytes:
+        shards = max(1, -(-total // target_bytes))
+    points = _grouped(points, names, total / shards)
+    # A node is known by its first shard; `level` holds (first shard, shards) of all nodes.
+    placed, level, root = cut(points.withColumn("node", F.lit(0)), "level"), [(0, shards)], None
+    while total and any(count > 1 for _, count in level):
+        spans = {r.node: r for r in placed.groupBy("node").agg(F.sum("size").alias("w"), *[F.stddev_pop(F.log1p(d)).alias(d) for d in names]).collect()}
+        root = root or spans[0]
+        nodes = []
         for first, count in level:
-            if count > 1:
-                r = spans.get(first)
+            if count > 1 and first in spans:
                 # Widest: the greatest spread of log values against that of all documents, so that lengths and labels
                 # compare; of equals the first.
-                dim = max(names, key=lambda d: ((r[f"sd_{d}"] or 0.0) / root[d] if r and root[d] else 0.0))
-                left = count // 2
-                total = r.w if r else 0
-                open_[first] = {"count": count, "left": left, "dim": dim, "prefix": [], "below": 0, "target": total * left / count, "total": total, "done": total == 0}
-        for depth in range(sum(_WIDTHS) // _DIGIT):
-            todo = {f: n for f, n in open_.items() if not n["done"]}
-            if not todo:
-                break
-            digit, match = F.lit(None).cast("int"), F.lit(False)
-            for f, n in todo.items():
-                ds = _digits(F.col(n["dim"]))
-                own = F.col("node") == f
-                for p, d in zip(n["prefix"], ds):
-                    own = own & (d == p)
-                digit, match = F.when(F.col("node") == f, ds[depth]).otherwise(digit), match | own
-            got = placed.where(match).groupBy("node", digit.alias("digit")).agg(F.sum("size").alias("w")).collect()
-            counts: dict[int, list] = {}
-            for r in got:
-                counts.setdefault(r.node, []).append((r.digit, r.w))
-            for f, n in todo.items():
-                run = n["below"]
-                rows = sorted(counts.get(f, []))
-                for d, w in rows:
-                    if run + w >= n["target"] or (d, w) == rows[-1]:
-                        break
-                    run += w
-                n["prefix"].append(d)
-                n["below"], n["last"] = run, w
-                n["done"] = w <= n["total"] * tolerance
-        nxt = []
-        for first, count in level:
-            n = open_.get(first)
-            if n is None:
-                nxt.append((first, count))
-                continue
-            bound = list(n["prefix"])
-            # The bucket that holds the median goes to whichever side leaves less over.
-            if bound and n["target"] - n["below"] > n["below"] + n["last"] - n["target"]:
-                bound[-1] += 1
-            rules[first, count] = (n["dim"], bound or [0], n["left"])
-            nxt += [(first, n["left"]), (first + n["left"], count - n["left"])]
-        level = nxt
-    placed = points.select("id", "size", "crc", node_of().alias("shard"))
-    out = numbered(placed, ["id", "crc"], "slot", group="shard")
+                r = spans[first]
+                dim = max(range(len(names)), key=lambda i: (r[names[i]] or 0.0) / root[names[i]] if root[names[i]] else 0.0)
+                nodes.append({"first": first, "left": count // 2, "dim": dim, "prefix": "", "below": 0, "total": r.w, "target": r.w * (count // 2) / count, "done": False})
+        _cuts(placed, nodes, names, tolerance)
+        rules = placed.sparkSession.createDataFrame([(n["first"], n["dim"], n["bound"], n["first"] + n["left"]) for n in nodes], "node int, dim int, bound string, other int")
+        placed = placed.join(F.broadcast(rules), "node", "left")
+        goes = _place(F.get(F.array(*names), F.col("dim"))) >= F.col("bound")
+        placed = cut(placed.withColumn("node", F.when(goes, F.col("other")).otherwise(F.col("node"))).drop("dim", "bound", "other"), "level")
+        level = [x for f, c in level for x in ([(f, c)] if c == 1 else [(f, c // 2), (f + c // 2, c - c // 2)])]
+    out = numbered(placed.select("id", "size", "crc", F.col("node").alias("shard")), ["id", "crc"], "slot", group="shard")
     return out.select(F.col("id").alias(key), "size", F.col("crc").alias("text_crc32"), F.col("shard").cast("int").alias("shard"), F.col("slot").cast("long").alias("slot"))
