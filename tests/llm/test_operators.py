@@ -368,16 +368,41 @@ def test_token_counts(docs, pdf, empty):
     assert token_counts.histogram(token_counts.lengths(empty, path)).count() == 0
 
 
-def test_warc(spark):
-    big = "<p>" + "x" * 1200
+def test_warc(spark, tmp_path, monkeypatch):
+    import gzip
+    import pathlib
+
+    monkeypatch.setattr(common, "HEAVY_KEYS", 1)
+    big, other = "<p>" + "x" * 1200, "<q>" + "é" * 700
     rows = [(1, "http://www.a.org/x y", big), (2, "http://a.org/", "small"), (3, "http://b.org/é", big), (4, None, None), (5, "http://a.org/", "small"), (9, "http://a.org/", big), (9, "http://a.org/", big), (12, "nourl", "é\r\n\r\nWARC/1.1\r\n")]
+    rows += [(5 * 10**18, "http://c.org/", big), (-(10**18), "http://c.org/", other), (3 * 10**11, "http://c.org/", other), (None, "http://c.org/", big), (20, "http://long.org/", "0123456789" * 400_000)]
     pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
-    index = warc.archive(pages).toPandas()
-    got = sorted((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, -1 if pd.isna(r.refers_to) else int(r.refers_to)) for r in index.itertuples())
-    want = sorted((i, len((h or "").encode()), hashlib.sha1((h or "").encode()).hexdigest(), "revisit" if h == big and i != 9 else "response", 9 if h == big and i != 9 else -1) for i, _, h in rows)
-    assert got == want
-    order = list(zip(index.urlkey, index.ts, index.page_id))
-    assert order == sorted(order)
+    for c in ("id", "digest", "bytes", "first", "n", "d", "value", "run", "pos", "ts", "revisit"):
+        pages = pages.withColumn(c, F.lit("x"))
+    path = f"{tmp_path}/warc"
+    warc.write_archives(pages.repartition(3), path, archive_bytes=600)
+    runs = common.cut(warc.sorted_runs(spark, path), "runs")
+    files = {f.name: f.read_bytes() for f in pathlib.Path(path).glob("part-*")}
+    assert len(files) > 3
+    index = warc.merged(runs, range_rows=4).toPandas()
+    top = {big: 5 * 10**18, other: 3 * 10**11}
+    sha = lambda h: hashlib.sha1((h or "").encode()).hexdigest()
+    kind = lambda i, h: ("revisit", top[h]) if h in top and i != top[h] else ("response", -1)
+    want = collections.Counter((i, len((h or "").encode()), sha(h), *kind(i, h)) for i, _, h in rows)
+    none = lambda x, other: other if pd.isna(x) else int(x)
+    table = warc.merged(runs).collect()
+    assert collections.Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, none(r.refers_to, -1)) for r in table) == want
+    order = [(r.urlkey, r.ts, r.page_id is not None, r.page_id or 0) for r in table]
+    assert order == sorted(order) and [tuple(r) for r in table] == [tuple(r) for r in warc.merged(runs, range_rows=4).collect()] and len(index) == len(rows)
+    assert all(re.fullmatch(r"(19|20)\d{12}", r.ts) for r in table)
+    for r in table:  # a record can be read from its place alone
+        one = gzip.decompress(files[r.run][r.offset : r.offset + r.length]).decode()
+        assert one.startswith("WARC/1.1\r\n") and f"WARC-Record-ID: <urn:x-page:{'null' if r.page_id is None else r.page_id}>" in one
+    whole = next(iter(files.values()))
+    assert gzip.decompress(whole).startswith(b"WARC/1.1")
+    for damaged in (whole[:-30], whole[:40] + b"x" + whole[41:], b"junk" + whole, gzip.compress(b"WARC/1.1\r\nContent-Length: 5\r\n\r\nabc\r\n\r\n"), gzip.compress(b"no record")):
+        with pytest.raises(ValueError):
+            list(warc.parse(damaged))
     assert warc.archive(pages.limit(0)).count() == 0
 
 

@@ -1,26 +1,33 @@
 """Operator 7: WARC archives of pages, and their capture index by external merge.
 
-Archives are WARC/1.1 files written by Spark's text writer (a record's two line ends are the writer's separator), so
-they reach any file system Spark can write to and only committed attempts count. Reading them back gives the captures
-of each archive as a run sorted by URL key, timestamp and record; runs are cut into ranges of keys, and the parts of
-all runs that fall in a range meet in one task, where a loser tree merges them.
+Archives are WARC/1.1 files, each record a gzip member of its own, so that a record can be read from its offset. A task
+gathers members to an archive of bounded bytes, which Spark's text writer puts into a file as it is; so archives reach
+any file system Spark can write to, and only committed attempts count. Reading them back gives the captures of each
+archive as a run sorted by URL key, timestamp and record; runs are cut into ranges of keys of bounded rows, and the parts
+of all runs that fall in a range meet in one task, where a loser tree merges them.
 """
 
 from __future__ import annotations
 
 import hashlib
 import zlib
+from collections.abc import Iterator
 from urllib.parse import urlsplit
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import bound_batches, cut, partitions, scratch_dir
-
-#: Salts that rows of one payload are dealt over when they look up its first copy.
-SALTS = 16
-#: Pages carry no time of their own; record k is dated this many seconds after 1970 plus k.
-EPOCH = 1_600_000_000
+from .common import bound_batches, cut, partitions, scratch_dir, spread_join, text_buffers
+
+#: Compressed bytes from which an archive is closed.
+ARCHIVE_BYTES = 16 << 20
+#: Index rows of a range that one task merges, about.
+RANGE_ROWS = 100_000
+#: Pages carry no time of their own; record k is dated this many seconds after 1970 plus k modulo YEARS, so that any key
+#: has a date of four-digit years.
+EPOCH, YEARS = 1_600_000_000, 1 << 31
+#: An empty gzip member, which Spark's writer puts behind an archive as its line end.
+_END = zlib.compressobj(9, zlib.DEFLATED, 31).flush()
 _LINE = "\r\n"
 _INDEX = "run string, pos bigint, urlkey string, ts string, page_id bigint, uri string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, offset bigint, length bigint"
 
@@ -86,16 +93,16 @@ def records(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
     payload = F.coalesce(F.col(html).cast("string"), F.lit(""))
     base = pages.select(F.col(key).cast("bigint").alias("id"), F.regexp_replace(F.coalesce(F.col(url).cast("string"), F.lit("")), r"[\x00-\x20\x7F]", "%20").alias("url"), payload.alias("payload"))
     base = base.withColumns({"digest": F.sha1(F.encode("payload", "utf-8")), "bytes": F.octet_length("payload").cast("bigint")})
-    small = base.select("id", "digest", "bytes").where(F.col("bytes") >= min_bytes)
-    first = small.groupBy("digest").agg(F.max("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    # Rows of a payload are spread over salts: a payload that a third of all pages share isn't one task's work.
-    first = first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    base = base.withColumn("salt", F.pmod(F.xxhash64("id", "url"), F.lit(SALTS)).cast("int"))
-    rows = base.join(first, ["digest", "salt"], "left").withColumn("revisit", F.coalesce((F.col("bytes") >= min_bytes) & ~F.col("id").eqNullSafe(F.col("first")) & F.col("first").isNotNull(), F.lit(False)))
+    long_ = F.col("bytes") >= min_bytes
+    # Short payloads look nothing up; each goes by a hash of its own, as many may be equal (or empty).
+    base = base.withColumn("d", F.when(long_, F.conv(F.substring("digest", 1, 15), 16, 10).cast("bigint")).otherwise(F.xxhash64("id", "url")))
+    first = base.where(long_).groupBy("d", "digest").agg(F.max("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    rows = spread_join(base, cut(first, "first"), ["d", "digest"], "n", ["id", "url"])
+    rows = rows.withColumn("revisit", F.coalesce(long_ & ~F.col("id").eqNullSafe(F.col("first")) & F.col("first").isNotNull(), F.lit(False)))
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{_LINE}Content-Type: text/html; charset=utf-8{_LINE}Content-Length: "), F.col("bytes").cast("string"), F.lit(_LINE * 2))
     block = F.when(F.col("revisit"), http).otherwise(F.concat(http, F.col("payload")))
     name = lambda c: F.concat(F.lit("<urn:x-page:"), F.coalesce(c.cast("string"), F.lit("null")), F.lit(">"))
-    date = F.date_format(F.timestamp_seconds(F.coalesce(F.col("id"), F.lit(0)) + EPOCH), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    date = F.date_format(F.timestamp_seconds(F.pmod(F.coalesce(F.col("id"), F.lit(0)), F.lit(YEARS)) + EPOCH), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     head = F.concat_ws(
         _LINE,
         F.lit("WARC/1.1"),
@@ -112,29 +119,66 @@ def records(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
     return rows.select(F.concat(head, F.lit(_LINE * 2), block).alias("value"))
 
 
-def write_archives(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", html: str = "html", min_bytes: int = 1000, max_records: int = 10_000) -> None:
-    """Write gzip-compressed WARC files of at most max_records records under path."""
-    out = records(pages, key, url, html, min_bytes)
-    out.write.option("lineSep", _LINE * 2).option("compression", "gzip").option("maxRecordsPerFile", max_records).text(path)
-
+def write_archives(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", html: str = "html", min_bytes: int = 1000, archive_bytes: int = ARCHIVE_BYTES) -> None:
+    """Write WARC files under path, a gzip member for each record, closed when they reach archive_bytes."""
+    bound_batches(pages.sparkSession)
 
-def parse(content: bytes, compressed: bool = True):
-    """Yield (headers, block, offset, length) of the records of an archive; offsets are of the uncompressed file.
+    def pack(batches):
+        held, size = [], 0
+        for batch in batches:
+            data, offs = text_buffers(batch.column(0))
+            view = memoryview(data)
+            offs = offs.tolist()
+            for a, b in zip(offs[:-1], offs[1:]):
+                coder = zlib.compressobj(6, zlib.DEFLATED, 31)
+                member = coder.compress(view[a:b]) + coder.compress(b"\r\n\r\n") + coder.flush()
+                held.append(member)
+                size += len(member)
+                if size >= archive_bytes:
+                    yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], names=["value"])
+                    held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], names=["value"])
+
+    packed = records(pages, key, url, html, min_bytes).mapInArrow(pack, "value binary")
+    # The writer puts a value's bytes out as they are; a row is a file.
+    out = packed.select(F.col("value").cast("string")).write.option("maxRecordsPerFile", 1)
+    out.option("encoding", "ISO-8859-1").option("lineSep", _END.decode("latin-1")).text(path)
+
+
+def members(content: bytes, window: int = 1 << 16) -> Iterator[tuple[bytes, int, int]]:
+    """(inflated bytes, offset, length) of each gzip member but empty ones; one member is held at a time. Raises
+    ValueError where the archive is damaged."""
+    view, at = memoryview(content), 0
+    while at < len(view):
+        coder, parts, fed = zlib.decompressobj(31), [], at
+        try:
+            while not coder.eof:
+                if fed >= len(view):
+                    raise ValueError(f"the member at {at} has no end")
+                parts.append(coder.decompress(view[fed : fed + window]))
+                fed = min(len(view), fed + window)
+        except zlib.error as e:
+            raise ValueError(f"the member at {at} is damaged") from e
+        end = fed - len(coder.unused_data)
+        if any(parts):
+            yield b"".join(parts), at, end - at
+        at = end
+
+
+def parse(content: bytes) -> Iterator[tuple[dict, bytes, int, int]]:
+    """(headers, block, offset, length) of the records of an archive, offset and length of their members in the file.
     Raises ValueError where the archive is damaged."""
-    data = zlib.decompress(content, 47) if compressed else content
-    at, end = 0, len(data)
-    while at < end:
-        stop = data.find(b"\r\n\r\n", at)
-        lines = data[at : max(stop, at)].decode("utf-8", "replace").split(_LINE)
+    for data, at, length in members(content):
+        stop = data.find(b"\r\n\r\n")
+        lines = data[: max(stop, 0)].decode("utf-8", "replace").split(_LINE)
         if stop < 0 or not lines[0].startswith("WARC/1."):
             raise ValueError(f"no record at {at}")
         headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-        start = stop + 4
-        size = int(headers["content-length"])
-        if data[start + size : start + size + 4] != b"\r\n\r\n":
-            raise ValueError(f"record at {at} has not the length it states")
-        yield headers, data[start : start + size], at, start + size + 4 - at
-        at = start + size + 4
+        size = headers.get("content-length", "")
+        if not size.isdigit() or len(data) != stop + 8 + int(size) or not data.endswith(b"\r\n\r\n"):
+            raise ValueError(f"the record at {at} has not the length it states")
+        yield headers, data[stop + 4 : -4], at, length
 
 
 def _capture(headers: dict, block: bytes) -> tuple:
@@ -172,7 +216,7 @@ def sorted_runs(spark: SparkSession, path: str) -> DataFrame:
                 rows = [(r[0], i, *r[2:]) for i, r in enumerate(rows)]
                 yield _batch(rows)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
     return files.mapInArrow(run, _INDEX)
 
 
@@ -185,26 +229,39 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _KINDS)], names=_NAMES)
 
 
-def merged(runs: DataFrame) -> DataFrame:
+def merged(runs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     """All captures in the order of URL key, timestamp and record across partitions: ranges of the full key (so that
-    one URL's captures can lie in several), in each of which the parts of all runs are merged by a loser tree. A task
-    holds the index rows of its range, not payloads."""
+    one URL's captures can lie in several) of some range_rows rows, in each of which the parts of all runs are merged by
+    a loser tree. `runs` should be cheap to count.
+
+    A task holds the index rows of its range in Arrow columns, not payloads; the tree holds one row of each run.
+    """
 
     def run(batches):
-        parts: dict[str, list] = {}
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                parts.setdefault(row[0], []).append(row)
-        out = []
-        for row in LoserTree(list(parts.values()), _order):
-            out.append(row)
-            if len(out) == 5000:
-                yield _batch(out)
-                out = []
-        if out:
-            yield _batch(out)
-
-    ranged = runs.repartitionByRange(partitions(runs.sparkSession), "urlkey", "ts", "page_id", "run", "pos")
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        table = pa.Table.from_batches(held).combine_chunks()
+        names = table.column(0).to_numpy(zero_copy_only=False)
+        edge = [0, *[k for k in range(1, len(names)) if names[k] != names[k - 1]], len(names)]
+        keys = [table.column(k) for k in (2, 3, 4)]
+
+        def part(a: int, b: int):
+            for k in range(a, b):
+                key, ts, page = (c[k].as_py() for c in keys)
+                yield k, (key, ts, page is not None, page or 0)
+
+        order = []
+        for k, _ in LoserTree([part(a, b) for a, b in zip(edge[:-1], edge[1:])], lambda row: row[1]):
+            order.append(k)
+            if len(order) == 5000:
+                yield from table.take(pa.array(order)).combine_chunks().to_batches()
+                order = []
+        if order:
+            yield from table.take(pa.array(order)).combine_chunks().to_batches()
+
+    n = max(partitions(runs.sparkSession), -(-runs.count() // range_rows))
+    ranged = runs.repartitionByRange(n, "urlkey", "ts", "page_id", "run", "pos")
     return ranged.sortWithinPartitions("run", "pos").mapInArrow(run, _INDEX)
 
 
