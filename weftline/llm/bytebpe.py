@@ -37,6 +37,8 @@ class ByteBPE(SegmentEncoder):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        if self.tokenizer.get_vocab_size() > 1 << 16:
+            raise ValueError("ids of this vocabulary do not fit 16 bits")
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def starts(self, cps, first):

@@ -27,6 +27,8 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, key: str = "doc_id",
     longer than a chunk makes a chunk of its own.
     """
     bound_batches(docs.sparkSession)
+    if not 0 <= end_id < 1 << 16:
+        raise ValueError("end_id does not fit 16 bits")
 
     def run(batches):
         from .bytebpe import opened
