@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from weftline.scratch import cut
+from weftline.operators.spread import spread_join
+from weftline.scratch import cut, passing
 
 
-def _lead(edges: DataFrame) -> DataFrame:
-    """(u, m): the least of u and its neighbours."""
-    return edges.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+def _least(edges: DataFrame) -> DataFrame:
+    """(u, m, n): the least of u's neighbours, and how many it has."""
+    return edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 64) -> DataFrame:
@@ -17,25 +18,30 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
 
     Edges have no direction; loops, repeated edges and edges with a null end are ignored. Neighbourhoods are never
     gathered: each step takes the least neighbour by an aggregation that combines before the shuffle, and joins it back
-    by node. Every round is written to the shared folder. It ends when a round leaves the stars as they were, which
+    by node, the most joined nodes by broadcast. Every round is written to the shared folder. It ends when a round leaves the stars as they were, which
     takes a number of rounds that grows with the logarithm of a component's size.
     """
     e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
-    e = cut(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    before = None
-    for _ in range(max_rounds):
-        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        # Large star: larger neighbours of u go to the least of u and its neighbours.
-        large = both.where("v > u").join(_lead(both), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        # Small star: u and its smaller neighbours go to the least of those.
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
-        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-        e = cut(small.where("u <> v").distinct(), "edges")
-        now = tuple(e.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first())
-        if now == before:
-            break
-        before = now
-    else:
-        raise RuntimeError("components did not settle")
+    # Rounds pass; only the stars that are left at the end last.
+    with passing(edges.sparkSession):
+        e = cut(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+        before = None
+        for _ in range(max_rounds):
+            both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            # Large star: larger neighbours of u go to the least of u and its neighbours.
+            lead = _least(both).withColumn("m", F.least("u", "m"))
+            large = spread_join(both.where("v > u"), lead, ["u"], "n", ["v"], settle=False)
+            large = cut(large.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "large")
+            # Small star: u and its smaller neighbours go to the least of those.
+            low = _least(large)
+            small = spread_join(large, low, ["u"], "n", ["v"], settle=False)
+            small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
+            e = cut(small.where("u <> v").distinct(), "edges")
+            now = tuple(e.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first())
+            if now == before:
+                break
+            before = now
+        else:
+            raise RuntimeError("components did not settle")
+        e = cut(e, "stars", lasting=True)
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
