@@ -13,6 +13,7 @@ import xxhash
 import public_tokenizers
 from pyspark.sql import functions as F
 from weftline.llm import common, decontaminate, fingerprint, jaccard_join, kd_sharding, line_dedup, sentencepiece_codec, token_counts, token_files, toxicity, warc
+from weftline.operators import spread
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
 PLAIN = {ord(c): ord(c) + 32 for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
@@ -74,6 +75,52 @@ def test_jaccard_join(docs, pdf, empty):
     assert jaccard_join.join(empty).count() == 0
 
 
+def _components(rows, percent=80):
+    """(n_shingles, component) of each (id, text) by all pairs."""
+    sets = {i: _shingles(t) for i, t in rows}
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    ids = sorted(sets)
+    for k, a in enumerate(ids):
+        for b in ids[k + 1 :]:
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return {i: (len(sets[i]), find(i)) for i in ids}
+
+
+def test_jaccard_join_of_long_lists(spark, monkeypatch):
+    """Lists in parts and by length groups, leaders with many followers, and no table or folder left behind."""
+    monkeypatch.setattr(jaccard_join, "LIST_PART", 3)
+    monkeypatch.setattr(jaccard_join, "SPREAD", 2)
+    monkeypatch.setattr(jaccard_join, "MOST_FREQUENT", 20)
+    monkeypatch.setattr(spread, "HEAVY_KEYS", 2)
+    r = np.random.default_rng(7)
+    base = list(r.choice(WORDS, 120))
+    rows = []
+    for i in range(150):  # parts of one text of all lengths, with changed words; neighbours are similar, ends are not
+        n = int(r.integers(20, 120))
+        a = int(r.integers(0, 121 - n))
+        w = list(base[a : a + n])
+        for k in r.choice(n, i % 3):
+            w[k] = f"x{i}"
+        rows.append((i, " ".join(w)))
+    rows += [(200, ""), (201, None), (202, "")]
+    docs = clashing(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    want = _components(rows)
+    assert len({c for _, c in want.values()}) > 5
+    out = jaccard_join.join(docs)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in out.collect()} == want
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("weftline_sets")]
+    want = _components(rows, 100)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.join(docs, percent=100).collect()} == want
+
+
 def test_jaccard_links(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "CHUNK", 4)
     r = np.random.default_rng(2)
@@ -86,7 +133,7 @@ def test_jaccard_links(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     sets = [_shingles(t) if i is not None else frozenset() for i, t in rows]
     links = [sum(j != k and len(a & b) * 100 >= 80 * len(a | b) > 0 for k, b in enumerate(sets)) for j, a in enumerate(sets)]
-    got = collections.Counter((r.doc_id, r.n_links) for r in jaccard_join.join(docs).collect())
+    got = collections.Counter((r.doc_id, r.n_links) for r in jaccard_join.join(docs, links=True).collect())
     assert got == collections.Counter((i, n) for (i, _), n in zip(rows, links))
     assert len(set(links)) > 5
 
@@ -304,7 +351,7 @@ def clashing(df):
 @pytest.mark.parametrize("heavy", [1, 1000])
 def test_line_dedup_edges(spark, monkeypatch, heavy):
     """Null and repeated keys, repeated rows, a line that all rows hold, clashing names; some lines by either way."""
-    monkeypatch.setattr(common, "HEAVY_KEYS", heavy)
+    monkeypatch.setattr(spread, "HEAVY_KEYS", heavy)
     common_line, other = "a line that everybody holds", "a line that some hold"
     rows = [(None, f"{common_line}\nx"), (None, f"{common_line}\nx"), (None, None), (3, ""), (3, f"own line of three\n{common_line}"), (3, f"own line of three\n{other}")]
     rows += [(i, f"{common_line}\n{'  ' * i}{other.upper()}\nline of its own {i}\n{common_line}") for i in range(4, 30)]
@@ -372,7 +419,7 @@ def test_warc(spark, tmp_path, monkeypatch):
     import gzip
     import pathlib
 
-    monkeypatch.setattr(common, "HEAVY_KEYS", 1)
+    monkeypatch.setattr(spread, "HEAVY_KEYS", 1)
     big, other = "<p>" + "x" * 1200, "<q>" + "é" * 700
     rows = [(1, "http://www.a.org/x y", big), (2, "http://a.org/", "small"), (3, "http://b.org/é", big), (4, None, None), (5, "http://a.org/", "small"), (9, "http://a.org/", big), (9, "http://a.org/", big), (12, "nourl", "é\r\n\r\nWARC/1.1\r\n")]
     rows += [(5 * 10**18, "http://c.org/", big), (-(10**18), "http://c.org/", other), (3 * 10**11, "http://c.org/", other), (None, "http://c.org/", big), (20, "http://long.org/", "0123456789" * 400_000)]

@@ -5,15 +5,19 @@ exact; hashing only proposes work that may be skipped:
 
 1. Set relations. Sets that share a least hash are compared with one of them, their leader. A set found similar to its
    leader is in the leader's class, so no pair inside a class needs an answer of its own.
-2. Index lists. Of each set, the tokens of its prefix (rarest first) go to lists. Two sets of different classes can only
-   be similar if a list holds both. Lists of one class are dropped; to the entries of the others the sets' parity
-   bitmaps are added. Blocks of a list are skipped by length, pairs by length, by the position of the token in both, and
-   where the bitmaps differ in more bits than similar sets can differ in tokens (bitmap filter, Sandes et al., 2020):
-   every token flips one bit, so bits never differ more than sets do.
-3. Answers from answers. Leaders of what is left are compared once. Jaccard distance is a metric, so a pair is skipped
-   when its leaders' distance, less their own distances to their leaders, is still too great.
+2. Index lists. Of each set, the tokens of its prefix (rarest first) go to lists, one for each token and group of like
+   lengths. Two sets of different classes can only be similar if a list holds both. Lists of one class are dropped; to
+   the entries of the others the sets' parity bitmaps are added. A list is sorted by the position of the token, and a
+   block is skipped when its positions leave too few tokens behind them for any pair; inside a block pairs are skipped by
+   length, by position, and where the bitmaps differ in more bits than similar sets can differ in tokens (bitmap filter,
+   Sandes et al., 2020): every token flips one bit, so bits never differ more than sets do. A long list is dealt out in
+   pairs of its parts.
+3. Answers from answers. A set follows a highly similar one, its leader. Leaders of what is left are compared once; the
+   answers of the sets that follow them are derived from theirs by the few tokens in which a set differs from its leader:
+   these bound the intersection from both sides, so most pairs are found linked or not without being read.
 4. What is left is compared token by token. Links and classes make components.
-5. A document's links are counted inside its component, by products of blocks of sets, as most were skipped above.
+5. If asked for, a document's links are counted inside its component, by products of blocks of sets, as most were skipped
+   above.
 
 Texts are shuffled once, into a table bucketed by set; each comparison ships only the texts of the sets it names.
 """
@@ -24,11 +28,11 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from weftline.operators.components import components
 
-from .common import bound_batches, cut, partitions, text_buffers
+from .common import HEAVY_KEYS, bound_batches, cut, partitions, passing, spread_join, text_buffers
 from .segments import SegmentCache, mix64
 from .words import shingles
 
@@ -38,8 +42,12 @@ SAMPLE_DOCS, SAMPLE_HOLDERS = 4000, 4
 SKETCHES = 4
 #: Sets drawn as further leaders for each least hash, and how often that is done.
 CENTRES, ROUNDS = 6, 2
-#: Parts over which comparisons with one leader are spread.
-SALTS = 8
+#: Frequent tokens that the order knows at most; others count as rare, which costs time and loses nothing.
+MOST_FREQUENT = 200_000
+#: Comparisons with one set that are one task's work; those with a set that has more are spread.
+SPREAD = 1000
+#: Entries of a list, or of a part of it, that one task compares, about.
+LIST_PART = 4096
 _SEEDS = [np.uint64(0xA0761D6478BD642F * (2 * i + 1) & 0xFFFFFFFFFFFFFFFF) for i in range(16)]
 
 
@@ -94,7 +102,7 @@ class SimilarityJoin:
                 yield _rows(["id", "n", "h1", "h2"], [pa.int64(), pa.int64(), pa.int64(), pa.int64()], [batch.column(0), [len(s) for s in sets], [x[0] for x in d], [x[1] for x in d]])
 
         #: One row for each document: (id, n, h1, h2).
-        self.members = cut(self.docs.mapInArrow(describe, "id bigint, n bigint, h1 bigint, h2 bigint"), "members")
+        self.members = cut(self.docs.mapInArrow(describe, "id bigint, n bigint, h1 bigint, h2 bigint"), "members", lasting=True)
         sets = self.members.where("n > 0 AND id IS NOT NULL").groupBy("h1", "h2", "n").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("m"))
         #: One row for each distinct set: (sid, id: its least document, m: its documents, n, h1, h2).
         self.sets = cut(sets.withColumn("sid", F.monotonically_increasing_id()), "sets")
@@ -123,7 +131,7 @@ class SimilarityJoin:
 
         sampled = self.table.join(F.broadcast(picked), "sid").select("text")
         found = sampled.mapInArrow(tokens, "h bigint").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= SAMPLE_HOLDERS)
-        got = found.toPandas()
+        got = found.orderBy(F.desc("n"), "h").limit(MOST_FREQUENT).toPandas()
         return Order(got["h"].to_numpy(np.int64).view(np.uint64), got["n"].to_numpy(np.int64))
 
     def sketch(self) -> None:
@@ -148,16 +156,16 @@ class SimilarityJoin:
     def proposals(self) -> DataFrame:
         """(a, b): sets and the leaders with which they share a least hash."""
         mins = self.sketches.select("sid", F.posexplode("mins").alias("k", "value"))
-        lead = mins.groupBy("k", "value").agg(F.min("sid").alias("b"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
-        return mins.join(lead, ["k", "value"]).where("sid <> b").select(F.col("sid").alias("a"), "b").distinct()
+        lead = cut(mins.groupBy("value", "k").agg(F.min("sid").alias("b"), F.count(F.lit(1)).alias("m")).where("m > 1"), "lead")
+        return spread_join(mins, lead, ["value", "k"], "m", ["sid"]).where("sid <> b").select(F.col("sid").alias("a"), "b").distinct()
 
     def more_proposals(self, classes: DataFrame, again: int) -> DataFrame:
         """(a, b) of different classes: sets with CENTRES sets drawn by hash among those that share a least hash with
         them. A class that a leader's outliers have split is put together again by this."""
         mins = self.sketches.join(classes, "sid").select("sid", "cls", F.posexplode("mins").alias("k", "value"))
         drawn = [F.min_by(F.struct("sid", "cls"), F.xxhash64("sid", F.lit(again * CENTRES + r))) for r in range(CENTRES)]
-        lead = mins.groupBy("k", "value").agg(F.array_distinct(F.array(*drawn)).alias("centres"), F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi").drop("lo", "hi")
-        rows = mins.join(lead, ["k", "value"]).select(F.col("sid").alias("a"), F.filter("centres", lambda c: c["cls"] != F.col("cls")).alias("centres"))
+        lead = mins.groupBy("value", "k").agg(F.array_distinct(F.array(*drawn)).alias("centres"), F.min("cls").alias("lo"), F.max("cls").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo <> hi").drop("lo", "hi")
+        rows = spread_join(mins, cut(lead, "lead"), ["value", "k"], "m", ["sid"]).where("centres IS NOT NULL").select(F.col("sid").alias("a"), F.filter("centres", lambda c: c["cls"] != F.col("cls")).alias("centres"))
         return rows.select("a", F.explode("centres.sid").alias("b")).distinct()
 
     def plausible(self, pairs: DataFrame) -> DataFrame:
@@ -185,10 +193,14 @@ class SimilarityJoin:
 
     def compare(self, pairs: DataFrame) -> DataFrame:
         """(a, b, na, nb, common): exact sizes and intersections for given pairs. One side's texts go to where the
-        other's are, spread over salts; a task holds one set and a batch of others."""
+        other's are; a task holds one set and a batch of others, and a set with many is in several tasks."""
         width = self.width
-        salted = pairs.select("a", "b", F.pmod(F.xxhash64("a"), F.lit(SALTS)).alias("salt"))
-        salted = cut(salted, "pairs")
+        pairs = cut(pairs.select("a", "b"), "pairs")
+        # The sets with the most comparisons are that many rows whatever the data; no other has a HEAVY_KEYS-th of all.
+        heavy = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SPREAD).orderBy(F.desc("n"), "b").limit(HEAVY_KEYS)
+        heavy = heavy.select(F.col("b").alias("c"), F.ceil(F.col("n") / SPREAD).alias("salts"))
+        salted = pairs.join(F.broadcast(heavy), pairs.b == heavy.c, "left").select("a", "b", F.pmod(F.xxhash64("a"), F.coalesce("salts", F.lit(1))).alias("salt"))
+        salted = cut(salted, "salted")
         one = self.table.join(salted, self.table.sid == salted.a).select("b", "salt", F.col("a").alias("a"), "text")
         centres = salted.select(F.col("b").alias("c"), "salt").distinct()
         other = self.table.join(centres, self.table.sid == centres.c).select(F.col("c").alias("b"), "salt", F.lit(None).cast("bigint").alias("a"), "text")
@@ -308,27 +320,35 @@ def _differ(x: np.ndarray, y: np.ndarray, bits_x: np.ndarray, bits_y: np.ndarray
     return out
 
 
-def _list_pairs(sid, n, pos, cls, bitmaps, bits, percent: int, block: int = 512):
-    """Pairs (a, b) of one list that are of different classes and that nothing rules out. The list is sorted by length;
-    a block is skipped when its shortest set is too long for a whole other block."""
+def _list_pairs(sid, n, pos, cls, flags, bitmaps, bits, percent: int, block: int = 512):
+    """Pairs (a, b) of one list that are of different classes and that nothing rules out; not two visitors, and of a list
+    of two parts only one of each (see _dealt). The list is sorted by position; a block is skipped when the most that is left behind the token in its sets
+    and in those of the other is too little for the least pair of both."""
     m = len(sid)
-    for i in range(0, m, block):
-        x = slice(i, min(m, i + block))
-        for j in range(i, m, block):
-            y = slice(j, min(m, j + block))
-            if percent * int(n[y.start]) > 100 * int(n[x.stop - 1]):
-                break
+    left = n - pos
+    cuts = [(i, min(m, i + block)) for i in range(0, m, block)]
+    most = [int(left[i:j].max()) for i, j in cuts]
+    least = [int(n[i:j].min()) for i, j in cuts]
+    for k, (i, stop) in enumerate(cuts):
+        x = slice(i, stop)
+        for j in range(k, len(cuts)):
+            if min(most[k], most[j]) * (100 + percent) < percent * (least[k] + least[j]):
+                continue
+            y = slice(*cuts[j])
             # Intersection needed, and the most that is left behind the token in both sets.
             need = (percent * (n[x][:, None] + n[y][None, :]) + (100 + percent) - 1) // (100 + percent)
-            left = np.minimum((n[x] - pos[x])[:, None], (n[y] - pos[y])[None, :])
-            ok = (left >= need) & (cls[x][:, None] != cls[y][None, :])
-            if i == j:
+            ok = (np.minimum(left[x][:, None], left[y][None, :]) >= need) & (cls[x][:, None] != cls[y][None, :])
+            ok &= np.minimum(n[x][:, None], n[y][None, :]) >= need
+            if flags.any():
+                f, g = flags[x][:, None], flags[y][None, :]
+                ok &= (f & g & 2 == 0) & ((f & 4 == 0) | ((f ^ g) & 1 == 1))
+            if j == k:
                 ok &= np.arange(x.stop - x.start)[:, None] < np.arange(y.stop - y.start)[None, :]
             a, b = np.nonzero(ok)
             if len(a):
-                most = n[a + i] + n[b + j] - 2 * need[a, b]
-                a, b = a + i, b + j
-                keep = (_differ(bitmaps[a], bitmaps[b], bits[a], bits[b]) <= most) & (sid[a] != sid[b])
+                far = n[a + x.start] + n[b + y.start] - 2 * need[a, b]
+                a, b = a + x.start, b + y.start
+                keep = (_differ(bitmaps[a], bitmaps[b], bits[a], bits[b]) <= far) & (sid[a] != sid[b])
                 if keep.any():
                     yield np.minimum(sid[a[keep]], sid[b[keep]]), np.maximum(sid[a[keep]], sid[b[keep]])
 
@@ -381,18 +401,27 @@ def _edges(token: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1], [True]]))
 
 
-def _mixed_lists(lists: DataFrame, n: int) -> DataFrame:
-    """The entries of lists that hold more than one class."""
+def _dealt(lists: DataFrame, percent: int) -> DataFrame:
+    """Entries (list, flags, sid, np, cls) of lists that hold more than one class.
 
-    def scan(batches):
-        for t in _whole_lists(batches):
-            cols = [t.column(i).to_numpy() for i in range(4)]
-            edge = _edges(cols[0])
-            mixed = np.minimum.reduceat(cols[3], edge[:-1]) != np.maximum.reduceat(cols[3], edge[:-1])
-            keep = np.repeat(mixed, np.diff(edge))
-            yield _rows(["token", "sid", "np", "cls"], [pa.int64()] * 4, [c[keep] for c in cols])
+    A list of up to LIST_PART entries is compared as it is. A longer one is parted by length: an entry is in the list of
+    its own group of lengths and, to meet shorter sets, a visitor in that of the group below; similar sets' lengths differ
+    by the cutoff at most, and so do two groups. What is still longer is dealt out in parts; every two of them, and each
+    with itself, meet in some task. Flags: 1 the second of two parts, 2 a visitor, 4 a list of two parts.
 
-    return lists.repartition(n, "token").sortWithinPartitions("token").mapInArrow(scan, "token bigint, sid bigint, np bigint, cls bigint")
+    Windows are spilled where a token's entries are many; all of this follows one shuffle by token.
+    """
+    whole, same = Window.partitionBy("token"), Window.partitionBy("token", "group")
+    mixed = lists.withColumns({"lo": F.min("cls").over(whole), "hi": F.max("cls").over(whole), "m": F.count(F.lit(1)).over(whole)}).where("lo <> hi").drop("lo", "hi")
+    step = max(1e-6, float(np.log(100 / percent)))
+    own = F.floor(F.log(F.shiftright("np", 32).cast("double")) / step + 1e-9).cast("int")
+    groups = F.when(F.col("m") > LIST_PART, F.array(own, own - 1)).otherwise(F.array(F.lit(-2)))
+    rows = mixed.select("token", "sid", "np", "cls", F.posexplode(groups).alias("visitor", "group"))
+    rows = rows.withColumn("parts", F.ceil(F.count(F.lit(1)).over(same) / LIST_PART).cast("int"))
+    rows = rows.withColumn("x", F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int")).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    flags = (F.col("x") > F.col("y")).cast("int") + 2 * F.col("visitor") + F.when(F.col("x") != F.col("y"), 4).otherwise(0)
+    # Two lists of one hash are compared together, which proposes more and loses nothing.
+    return rows.select(F.xxhash64("token", "group", F.least("x", "y"), F.greatest("x", "y")).alias("list"), flags.cast("bigint").alias("flags"), "sid", "np", "cls")
 
 
 #: Pairs that a task gathers before it sends them on, each once.
@@ -400,7 +429,7 @@ GATHER = 2_000_000
 
 
 def _scan_lists(lists: DataFrame, n: int, percent: int) -> DataFrame:
-    """Candidate pairs (a, b) of lists (token, sid, np, cls, folded), each at most once for every GATHER of a task."""
+    """Candidate pairs (a, b) of lists (list, flags, sid, np, cls, folded), each at most once for every GATHER of a task."""
 
     def scan(batches):
         found: list[np.ndarray] = []
@@ -412,41 +441,60 @@ def _scan_lists(lists: DataFrame, n: int, percent: int) -> DataFrame:
             return _rows(["a", "b"], [pa.int64()] * 2, [pairs[:, 0], pairs[:, 1]])
 
         for t in _whole_lists(batches):
-            token, sid, lp, cls = (t.column(i).to_numpy() for i in range(4))
-            bitmaps, bits = _words(t.column(4).to_pylist())
-            order = np.lexsort((sid, lp >> 32, token))
-            token, sid, lp, cls, bitmaps, bits = (c[order] for c in (token, sid, lp, cls, bitmaps, bits))
-            edge = _edges(token)
+            at, flags, sid, lp, cls = (t.column(i).to_numpy() for i in range(5))
+            bitmaps, bits = _words(t.column(5).to_pylist())
+            order = np.lexsort((sid, lp >> 32, lp & 0xFFFFFFFF, at))
+            at, flags, sid, lp, cls, bitmaps, bits = (c[order] for c in (at, flags, sid, lp, cls, bitmaps, bits))
+            edge = _edges(at)
             for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
                 s = slice(a, b)
-                for p, q in _list_pairs(sid[s], lp[s] >> 32, lp[s] & 0xFFFFFFFF, cls[s], bitmaps[s], bits[s], percent):
+                for p, q in _list_pairs(sid[s], lp[s] >> 32, lp[s] & 0xFFFFFFFF, cls[s], flags[s], bitmaps[s], bits[s], percent):
                     found.append(np.stack([p, q], axis=1))
                     size += len(p)
-            if size >= GATHER:
-                yield flush()
-                size = 0
+                if size >= GATHER:
+                    yield flush()
+                    size = 0
         if size:
             yield flush()
 
-    return lists.repartition(n, "token").sortWithinPartitions("token").mapInArrow(scan, "a bigint, b bigint")
+    return lists.repartition(n, "list").sortWithinPartitions("list").mapInArrow(scan, "a bigint, b bigint")
 
 
-def join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """(key, n_shingles, component_id, n_links): documents whose sets' intersection is at least `percent` % of their
-    union are linked; component_id is the least key reachable by links. n_links is how many other documents a document
-    is linked with itself: all pairs count, those of equal sets too, and each of several rows of a key.
+def join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, links: bool = False) -> DataFrame:
+    """(key, n_shingles, component_id): documents whose sets' intersection is at least `percent` % of their union are
+    linked; component_id is the least key reachable by links. With `links` also n_links, how many other documents a
+    document is linked with itself: all pairs count, those of equal sets too, and each of several rows of a key. That
+    compares all pairs of distinct sets of each component, so its work grows with the square of a component.
 
     Words are runs without ASCII blanks, A-Z in lower case. A text with fewer words than `width` is one shingle; null,
     empty and wordless texts have the empty set and are linked with nothing. Rows with a null key are linked with
-    nothing, have a null component and no links. Rows that repeat a key each come back; their sets count for that key. Other
-    columns, whatever their names, are not read. An empty table gives no rows. Keys are whole numbers.
+    nothing, have a null component and no links. Rows that repeat a key each come back; their sets count for that key.
+    Other columns, whatever their names, are not read. An empty table gives no rows. Keys are whole numbers.
+
+    What is written on the way is deleted, but for the rows and labels that the result is read from.
     """
-    return _run(docs, key, text, width, percent, True).withColumnRenamed("id", key)
+    return _run(docs, key, text, width, percent, links).withColumnRenamed("id", key)
 
 
 def _run(docs: DataFrame, key: str, text: str, width: int, percent: int, counted: bool) -> DataFrame:
     """(id, n_shingles, component_id), with n_links if they are `counted`."""
-    work = SimilarityJoin(docs, key, text, width, percent)
+    with passing(docs.sparkSession):
+        work = SimilarityJoin(docs, key, text, width, percent)
+        try:
+            by_set = cut(_labels(work, counted), "by_set", lasting=True)
+        finally:
+            work.close()
+    # Rows of one set may be many, and so may rows of the empty one, which has no label.
+    full, none = work.members.where("n > 0"), work.members.where("n = 0")
+    out = spread_join(full, by_set, ["h1", "h2", "n"], "m", ["id"])
+    out = out.unionByName(none, allowMissingColumns=True)
+    links = [F.when(F.col("id").isNotNull(), F.coalesce("links", F.lit(0))).otherwise(0).cast("bigint").alias("n_links")] if counted else []
+    return out.select("id", F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"), *links)
+
+
+def _labels(work: SimilarityJoin, counted: bool) -> DataFrame:
+    """(h1, h2, n, m, component) of each distinct set, with links if they are `counted`."""
+    percent = work.percent
     work.sketch()
     # 1. Leaders.
     stars = cut(work.compare(work.plausible(work.proposals())), "stars")
@@ -458,46 +506,48 @@ def _run(docs: DataFrame, key: str, text: str, width: int, percent: int, counted
         got = cut(work.compare(work.plausible(work.more_proposals(of, again))), "more")
         links = links.union(work.linked(got).select("a", "b"))
         classes = cut(components(links), "classes")
-    best = near.groupBy("a").agg(F.min_by(F.struct("b", (1 - F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).cast("float").alias("dist")), F.struct(-(F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))), F.col("b"))).alias("l")).select(F.col("a").alias("s"), "l")
-    # A set that others follow follows nobody, so that distances go to leaders that lead themselves.
+    # A set follows the most similar of its leaders. A set that others follow follows nobody, so that answers go to
+    # leaders that lead themselves.
+    likeness = F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))
+    best = near.groupBy("a").agg(F.min_by(F.struct("b", (F.col("na") - F.col("common")).alias("more"), (F.col("nb") - F.col("common")).alias("less")), F.struct(-likeness, F.col("b"))).alias("l")).select(F.col("a").alias("s"), "l")
     leads = near.select(F.col("b").alias("s2")).distinct()
     follow = best.join(leads, best.s == leads.s2, "left_anti")
+    zero = F.lit(0).cast("bigint")
     per_set = (
-        work.sets.select("sid")
+        work.sets.select("sid", "n")
         .join(classes, F.col("sid") == F.col("node"), "left")
         .join(follow, F.col("sid") == F.col("s"), "left")
-        .select("sid", F.coalesce("root", "sid").alias("cls"), F.coalesce(F.col("l.b"), F.col("sid")).alias("lead"), F.coalesce(F.col("l.dist"), F.lit(0.0).cast("float")).alias("dist"))
+        .select("sid", "n", F.coalesce("root", "sid").alias("cls"), F.coalesce(F.col("l.b"), F.col("sid")).alias("lead"), F.coalesce(F.col("l.more"), zero).alias("more"), F.coalesce(F.col("l.less"), zero).alias("less"))
     )
     per_set = cut(per_set, "per_set")
     # 2. Lists.
-    lists = work.entries(work.frequent(), per_set)
-    mixed = cut(_mixed_lists(lists, work.n), "mixed").join(work.sketches.select("sid", "folded"), "sid").select("token", "sid", "np", "cls", "folded")
-    found = cut(work.plausible(_scan_lists(mixed, work.n, percent).distinct()), "found")
-    # 3. Leaders' distances; a pair of leaders needs no other comparison.
-    side = lambda x: per_set.select(F.col("sid").alias(x), F.col("lead").alias(f"l{x}"), F.col("dist").alias(f"d{x}"))
-    led = cut(found.join(side("a"), "a").join(side("b"), "b").select("a", "b", F.least("la", "lb").alias("la"), F.greatest("la", "lb").alias("lb"), (F.col("da") + F.col("db")).alias("slack")), "led")
+    mixed = cut(_dealt(work.entries(work.frequent(), per_set), percent), "mixed").join(work.sketches.select("sid", "folded"), "sid")
+    found = cut(work.plausible(_scan_lists(mixed.select("list", "flags", "sid", "np", "cls", "folded"), work.n, percent).distinct()), "found")
+    # 3. Leaders' answers, and what follows from them: a set holds `more` tokens that its leader hasn't, and lacks `less`.
+    side = lambda x: per_set.select(F.col("sid").alias(x), F.col("n").alias(f"n{x}"), F.col("lead").alias(f"l{x}"), F.col("more").alias(f"more{x}"), F.col("less").alias(f"less{x}"))
+    led = found.join(side("a"), "a").join(side("b"), "b")
+    led = cut(led.select("a", "b", "na", "nb", F.least("la", "lb").alias("la"), F.greatest("la", "lb").alias("lb"), (F.col("morea") + F.col("moreb")).alias("more"), (F.col("lessa") + F.col("lessb")).alias("less")), "led")
     answers = cut(work.compare(led.select(F.col("la").alias("a"), F.col("lb").alias("b")).where("a <> b").distinct()), "answers")
-    distance = answers.select(F.col("a").alias("la"), F.col("b").alias("lb"), (1 - F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).alias("d"))
-    own = led.where("NOT (a = la AND b = lb)").join(distance, ["la", "lb"], "left")
-    own = own.where(F.col("d").isNull() | (F.col("d") - F.col("slack") <= 1 - percent / 100 + 1e-5))
+    known = answers.select(F.col("a").alias("la"), F.col("b").alias("lb"), "common")
+    derived = cut(led.where("NOT (a = la AND b = lb)").join(known, ["la", "lb"], "left"), "derived")
+    total = F.col("na") + F.col("nb")
+    least, most = F.greatest(F.col("common") - F.col("less"), zero), F.least(F.col("common") + F.col("more"), "na", "nb")
+    reaches = lambda c: 100 * c >= percent * (total - c)
+    sure = F.coalesce(reaches(least), F.lit(False))
     # 4. Exact comparison of the rest.
-    rest = work.compare(own.select("a", "b").distinct())
-    links = links.union(work.linked(answers).select("a", "b")).union(work.linked(rest).select("a", "b"))
+    rest = work.compare(derived.where(~sure & (F.col("common").isNull() | reaches(most))).select("a", "b").distinct())
+    links = links.union(work.linked(answers).select("a", "b")).union(derived.where(sure).select("a", "b")).union(work.linked(rest).select("a", "b"))
     comps = components(links)
     label = work.sets.join(comps, F.col("sid") == F.col("node"), "left").select("sid", "h1", "h2", "n", "id", "m", F.coalesce("root", "sid").alias("root"))
     label = cut(label, "label")
     roots = label.groupBy("root").agg(F.min("id").alias("component"), F.count(F.lit(1)).alias("k"))
-    by_set = label.join(roots, "root")
+    by_set = spread_join(label, cut(roots, "roots").withColumn("weight", F.col("k")), ["root"], "weight", ["sid"])
     # 5. Links of each set, counted inside its component.
     if counted:
         by_set = cut(by_set, "by_set")
         degrees = work.degrees(by_set.where("k > 1").select("sid", "root", "k", "m"))
         by_set = by_set.join(degrees, "sid", "left").withColumn("links", F.col("m") - 1 + F.coalesce("links", F.lit(0)))
-    by_set = by_set.select("h1", "h2", "n", "component", *["links"] * counted)
-    m = work.members
-    out = m.join(by_set, ["h1", "h2", "n"], "left")
-    links = [F.when(F.col("id").isNotNull(), F.coalesce("links", F.lit(0))).otherwise(0).cast("bigint").alias("n_links")] if counted else []
-    return out.select("id", F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"), *links)
+    return by_set.select("h1", "h2", "n", "m", "component", *["links"] * counted)
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
