@@ -27,7 +27,7 @@ BLOCK = 2048
 CHUNK = 4 << 20
 _LOG0 = 18  # order-0 frequencies of a table sum to 1 << _LOG0
 #: Order-0 tables of a chunk at most; ids by whose likeness they are made; ids after which a block chooses again.
-TABLES, _SEGMENT, _SWITCH = 8, 256, 8
+TABLES, _SEGMENT, _SWITCH = 8, 512, 8
 _HEAD = struct.Struct("<4sIIQIII")
 _SLOTS1, _SLOTS2, _CONF = 9, 10, 8
 _FLOOR = 64  # least share of 65536 that the escape keeps
@@ -115,11 +115,11 @@ def _from_float16(codes: np.ndarray) -> np.ndarray:
 def _cluster(ids: np.ndarray) -> np.ndarray:
     """A table number for each id: segments of ids are clustered by the likeness of what they hold."""
     m = len(ids) // _SEGMENT
-    k = min(TABLES, 1 + m // 64)
+    k = min(TABLES, 1 + m // 32)
     if k == 1:
         return np.zeros(len(ids), np.int64)
-    at = np.repeat(np.arange(m) * 512, _SEGMENT) + ((ids[: m * _SEGMENT].astype(np.int64) * 40503 >> 4) & 511)
-    x = np.sqrt(np.bincount(at, minlength=m * 512).reshape(m, 512).astype(np.float32) / _SEGMENT)
+    at = (ids[: m * _SEGMENT].reshape(m, _SEGMENT) * np.int32(40503) >> 4 & 255) + (np.arange(m, dtype=np.int32) << 8)[:, None]
+    x = np.sqrt(np.bincount(at.ravel(), minlength=m << 8).reshape(m, 256).astype(np.float32) / _SEGMENT)
     # Centres are found on some segments, whatever the chunk's size; then each segment goes to its nearest.
     r = np.random.default_rng(1)
     some = x[r.choice(m, min(m, 1024), replace=False)]
