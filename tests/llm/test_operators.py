@@ -204,9 +204,39 @@ def test_removal_in_blocks(spark, monkeypatch):
     rows = lambda: sorted(decontaminate.remove(docs, items).collect())
     whole = rows()
     assert [r.text and r.text.split() for r in whole] == [w[18:20] + w[35:37], ["rest"], ["rest"], ["rest"], ["rest"], "", None]
-    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 150)
-    assert sum(map(bool, decontaminate._blocks(items, "item_id", "text"))) > 2
-    assert rows() == whole
+    for size, blocks in ((20, 6), (150, 3)):
+        monkeypatch.setattr(decontaminate, "BLOCK_BYTES", size)
+        assert sum(map(bool, decontaminate._blocks(items, "item_id", "text"))) == blocks
+        assert rows() == whole
+
+
+def test_phrases_are_flat():
+    """A block of the greatest size: what goes to the tasks and what the driver holds on the way are bounded."""
+    import pickle
+    import tracemalloc
+
+    r = np.random.default_rng(1)
+    items = [(str(i), " ".join(map(str, r.integers(0, 50_000, 1000)))) for i in range(300)]
+    size = sum(len(t) for _, t in items)
+    tracemalloc.start()
+    phrases = decontaminate.Phrases(items, 10)
+    assert tracemalloc.get_traced_memory()[1] < 60 * size
+    tracemalloc.stop()
+    assert len(pickle.dumps(phrases)) < 6 * size and len(phrases.groups[0][1]) == 300 * 991
+
+
+def test_decontamination_edges(spark):
+    """Repeated and null keys, a very long text, clashing names; every row comes back."""
+    passage = " ".join(f"p{i}" for i in range(12))
+    rows = [(1, passage), (1, passage), (1, None), (None, f"x {passage} y"), (2, "word " * 300_000 + passage + " tail"), (3, ""), (4, "..."), (5, passage.upper().replace(" ", "--"))]
+    docs = clashing(spark.createDataFrame(rows, "doc_id bigint, text string")).withColumn("text2", F.lit("x")).withColumn("items", F.lit("x")).withColumn("flags", F.lit("x"))
+    items = spark.createDataFrame([(9, passage), (9, passage), (10, passage)], "item_id bigint, text string")
+    got = collections.Counter((r.doc_id, r.n_words, r.n_hit, tuple(r["items"])) for r in decontaminate.scan(docs, items).collect())
+    both = ("10", "9")
+    assert got == collections.Counter([(1, 12, 12, both)] * 2 + [(1, 0, 0, ()), (None, 14, 12, both), (2, 300_013, 12, both), (3, 0, 0, ()), (4, 0, 0, ()), (5, 12, 12, both)])
+    clean = decontaminate.remove(docs, items)
+    assert clean.columns == docs.columns
+    assert sorted((str(r.doc_id), (r.text or "none")[-7:].strip()) for r in clean.collect()) == [("1", "none"), ("2", "d  tail"), ("3", "none"), ("4", "..."), ("None", "x  y")]
 
 
 def _kd_tree(rows, shards):

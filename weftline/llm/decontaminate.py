@@ -1,9 +1,10 @@
 """Operator 1: benchmark decontamination with an FM-index per training shard.
 
 A shard is some tens of MB of texts that one task holds. Its words become ids of benchmark words; the stretches of
-benchmark words that are long enough to hold a window are indexed; all windows are searched backwards at once, their
-occurrences located, and the spans merged. Benchmark texts are taken in blocks of bounded size: each block is one more
-narrow pass over the documents, so nothing is broadcast whose size isn't checked.
+benchmark words that are long enough to hold a window are indexed; all windows whose words the shard has are searched
+backwards at once, their occurrences located, and the spans merged. Benchmark texts are taken in blocks of bounded size,
+as flat arrays of some four times the block's bytes that go to every task; each block is one more narrow pass over the
+documents.
 """
 
 from __future__ import annotations
@@ -15,13 +16,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .common import bound_batches, cut, text_buffers
-from .segments import SegmentCache, pieces
+from .segments import SegmentCache, mix64, pieces
 from .words import WORD_CHARS, words
 
 #: Bytes of benchmark text searched in one pass.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 #: Bytes of text in a shard.
 SHARD_BYTES = 24 << 20
+#: Windows searched in step.
+SEARCHED = 1 << 17
+
 
 class Phrases:
     """Windows of a block of benchmark items, over ids of the words in it."""
@@ -31,20 +35,39 @@ class Phrases:
         offs = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
         h, _, _, at = words(b"".join(texts), offs, WORD_CHARS)
         self.vocabulary, ids = np.unique(h, return_inverse=True)
-        ids = ids + 1
-        holders: dict[tuple, set] = {}
-        for k, (item, _) in enumerate(items):
-            own = ids[at[k] : at[k + 1]].tolist()
-            if own:
-                width = min(window, len(own))
-                for i in range(len(own) - width + 1):
-                    holders.setdefault(tuple(own[i : i + width]), set()).add(item)
-        by_length: dict[int, list] = {}
-        for w in holders:
-            by_length.setdefault(len(w), []).append(w)
-        self.groups = [(n, np.array(ws, np.int32), [sorted(holders[w]) for w in ws]) for n, ws in sorted(by_length.items())]
+        #: Words of all items as ids from 1.
+        self.ids = (ids + 1).astype(np.int32)
+        self.items = [item for item, _ in items]
+        #: For each length of windows: (length, where each distinct one stands in ids, holders' offsets, holders).
+        self.groups = []
+        counts = np.diff(at)
+        widths = np.minimum(window, counts)
+        for n in np.unique(widths[counts > 0]).tolist():
+            own = np.flatnonzero((widths == n) & (counts > 0))
+            size = counts[own] - n + 1
+            start = np.repeat(at[own] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+            who = np.repeat(own, size).astype(np.int32)
+            group = self._same(start, n)
+            order = np.lexsort((who, group))
+            group, who, start = group[order], who[order], start[order]
+            new = np.concatenate([[True], (group[1:] != group[:-1]) | (who[1:] != who[:-1])])
+            group, who, start = group[new], who[new], start[new]
+            first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+            self.groups.append((n, start[first], np.append(first, len(who)), who))
         self.shortest = self.groups[0][0] if self.groups else 0
 
+    def _same(self, start: np.ndarray, n: int) -> np.ndarray:
+        """A number for each window, equal for equal ones: hashes, of another seed if two different windows share one."""
+        for seed in range(8):
+            scale = mix64(np.arange(1 + n * seed, 1 + n * (seed + 1), dtype=np.uint64) << np.uint64(20))
+            h = np.zeros(len(start), np.uint64)
+            for k in range(n):
+                h += mix64(self.ids[start + k].astype(np.uint64) * scale[k])
+            _, first, group = np.unique(h, return_index=True, return_inverse=True)
+            if all((self.ids[start + k] == self.ids[start[first[group]] + k]).all() for k in range(n)):
+                return group
+        raise AssertionError("no seed tells the windows apart")
+
     def table(self) -> SegmentCache:
         size = max(10, int(4 * len(self.vocabulary)).bit_length())
         cache = SegmentCache(size)
@@ -86,20 +109,29 @@ def find_spans(phrases: Phrases, table: SegmentCache, data: np.ndarray, offs: np
         from .fm_index import FMIndex
 
         index = FMIndex(symbols, len(phrases.vocabulary))
-        pairs = []
-        base = 0
-        for n, patterns, holders in phrases.groups:
-            lo, hi = index.search(patterns)
-            for who, at in index.locate(lo, hi):
-                at = where[at]
-                np.add.at(hit, at, 1)
-                np.add.at(hit, at + n, -1)
-                text = np.searchsorted(text_at, at, side="right") - 1
-                pairs.append(np.unique((text << 32) | (who + base)))
-            base += len(patterns)
-        owners = [x for _, _, h in phrases.groups for x in h]
-        for p in np.unique(np.concatenate(pairs)).tolist() if pairs else []:
-            items.setdefault(p >> 32, set()).update(owners[p & 0xFFFFFFFF])
+        # A window can only occur if all its words do.
+        there = np.zeros(len(phrases.vocabulary) + 1, bool)
+        there[symbols] = True
+        absent = np.concatenate([[0], np.cumsum(~there[phrases.ids])])
+        pairs = [np.zeros(0, np.int64)]
+        for n, starts, offsets, holders in phrases.groups:
+            use = np.flatnonzero(absent[starts + n] == absent[starts])
+            for k in range(0, len(use), SEARCHED):
+                some = use[k : k + SEARCHED]
+                lo, hi = index.search(phrases.ids[starts[some][:, None] + np.arange(n)])
+                for who, at in index.locate(lo, hi):
+                    at = where[at]
+                    np.add.at(hit, at, 1)
+                    np.add.at(hit, at + n, -1)
+                    text = np.searchsorted(text_at, at, side="right") - 1
+                    # Texts and windows, then texts and the items that hold the windows; each pair once.
+                    seen = np.unique((text << 32) | some[who])
+                    w = seen & 0xFFFFFFFF
+                    size = offsets[w + 1] - offsets[w]
+                    own = holders[np.repeat(offsets[w] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
+                    pairs.append(np.unique(np.repeat(seen >> 32, size) << 32 | own))
+        for p in np.unique(np.concatenate(pairs)).tolist():
+            items.setdefault(p >> 32, set()).add(phrases.items[p & 0xFFFFFFFF])
     return n_words, np.cumsum(hit)[:-1] > 0, items
 
 
@@ -134,16 +166,18 @@ def _shards(batches, column: int):
 
 
 def _blocks(benchmark: DataFrame, item: str, text: str):
-    """Lists of (item, text), each of bounded size. A text over the bound makes a block of its own."""
+    """Lists of (item, text), each of some BLOCK_BYTES, in the order of a hash. A text over the bound makes a block of its
+    own. Rows come to the driver partition by partition."""
     rows = benchmark.select(F.col(item).cast("string").alias("i"), F.col(text).cast("string").alias("t")).where("i IS NOT NULL AND t IS NOT NULL").distinct()
-    total = rows.agg(F.sum(F.octet_length("t") + F.octet_length("i"))).first()[0] or 0
-    n = -(-total // BLOCK_BYTES)
-    if n <= 1:
-        yield [tuple(r) for r in rows.collect()]
-        return
-    rows = rows.withColumn("b", F.pmod(F.xxhash64("i", "t"), F.lit(2 * n)))
-    for k in range(2 * n):
-        yield [(r[0], r[1]) for r in rows.where(F.col("b") == k).collect()]
+    held, size = [], 0
+    for r in rows.orderBy(F.xxhash64("i", "t"), "i", "t").toLocalIterator():
+        own = len(r.t.encode()) + len(r.i)
+        if held and size + own > BLOCK_BYTES:
+            yield held
+            held, size = [], 0
+        held.append((r.i, r.t))
+        size += own
+    yield held
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = 10) -> DataFrame:
