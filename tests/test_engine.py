@@ -3,6 +3,7 @@
 import hashlib
 import json
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from weftline.operators.clusters import greedy_clusters
 from weftline.operators.components import components
 from weftline.operators.evidence import group_values, merge_multi, merge_single
 from weftline.operators.linkage import candidates
-from weftline.operators.skills import CUTOFF, ProseLinker, _ratio, canonicalize, fuzzy_link, load_taxonomy, token_sort_ratio
+from weftline.operators.skills import CUTOFF, canonicalize, fuzzy_link, link_prose, load_taxonomy, ngrams, token_sort_ratio
 from weftline.pipeline import run
 from weftline.plans.fuse import fuse
 from weftline.plans.project import Projection, ProjectionError
@@ -132,16 +133,55 @@ def test_clusters(spark):
 
 
 def test_skills(spark, taxonomy):
-    forms = spark.createDataFrame([("k8s",), ("Kubernets",), ("golang",), ("gl",), ("In House Tool",), (None,)], "x string")
+    forms = spark.createDataFrame([("k8s",), ("Kubernetess",), ("golang",), ("gl",), ("In House Tool",), (None,)], "x string")
     got = {r.x: r.canonical for r in canonicalize(forms, "x", taxonomy).collect()}
-    assert got == {"k8s": "Kubernetes", "Kubernets": "Kubernetes", "golang": "Go", "gl": "gl", "In House Tool": "In House Tool", None: None}
-    link = ProseLinker({r.alias: r.canonical for r in taxonomy.collect()})
-    assert [x[0] for x in link.link("Built it on Kubernets. Stack: Go, SQL")] == ["Kubernetes", "Go", "SQL"]
-    assert link.link("Fluent in Go. — Riya R.") == []
+    assert got == {"k8s": "Kubernetes", "Kubernetess": "Kubernetes", "golang": "Go", "gl": "gl", "In House Tool": "In House Tool", None: None}
     pair = spark.createDataFrame([("kubernets", "kubernetes"), ("a b", "b a")], "a string, b string").select(F.round(token_sort_ratio(F.col("a"), F.col("b")), 2).alias("r"))
     assert [r.r for r in pair.collect()] == [94.74, 100.0]
 
 
+def test_prose(spark, taxonomy):
+    """Exact and similar forms, gates of short words and of runs that end in no noun, overlaps, repeats."""
+    cases = {
+        "We run Kubernetess daily. Tools: x; go | sql": [("Kubernetes", "Kubernetess", "fuzzy"), ("Go", "go", "exact"), ("SQL", "sql", "exact")],
+        "They go there at once; ml is hard": [],
+        "Stack: a bit of Go and ML": [("Go", "Go", "exact"), ("Machine Learning", "ML", "exact")],
+        "Regards, - G": [],
+        "Golang, golang; GO/ Python.": [("Go", "Golang", "exact"), ("Python", "Python", "exact")],
+        "machine\n learning and machine-learning": [("Machine Learning", "machine\n learning", "exact")],
+        "machine learning the": [("Machine Learning", "machine learning", "exact")],
+        "machin learning, pythons?": [("Machine Learning", "machin learning", "fuzzy")],
+        "Go": [("Go", "Go", "exact")],
+        "": [],
+        None: [],
+        "nothing " * 5000 + "python": [("Python", "python", "exact")],
+    }
+    texts = spark.createDataFrame([(i, t, "x") for i, t in enumerate(cases)], "id int, note string, alias string").select("id", "note")
+    got = {r.id: [(x.canonical, x.surface, x.method) for x in r.skills] for r in link_prose(texts, ["id"], "note", taxonomy).collect()}
+    assert [got.get(i, []) for i in range(len(cases))] == list(cases.values())
+    # The gate is a parameter.
+    strict = link_prose(texts, ["id"], "note", taxonomy, gate=lambda alias: F.lit(False))
+    assert {x.method for r in strict.collect() for x in r.skills} == {"exact"}
+
+
+def test_ngrams_are_as_written(spark):
+    t = "a, b.c  C++ (x)"
+    row = spark.createDataFrame([(t,), ("...",)], "t string").select(ngrams(F.col("t")).alias("g")).collect()
+    words = [m.span() for m in re.finditer(r"\.?[A-Za-z0-9][A-Za-z0-9.+#-]*", t)]
+    want = [(i + 1, n, t[words[i][0] : words[i + n - 1][1]].rstrip(".,;:!?")) for i in range(len(words)) for n in (3, 2, 1) if i + n <= len(words)]
+    assert [tuple(x) for x in row[0].g] == want and row[1].g == []
+
+
+def _ratio(a, b):
+    """Token-sort ratio of two aliases, by the table of common subsequences."""
+    x, y = " ".join(sorted(a.split())), " ".join(sorted(b.split()))
+    rows = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+    for i, c in enumerate(x, 1):
+        for j, d in enumerate(y, 1):
+            rows[i][j] = rows[i - 1][j - 1] + 1 if c == d else max(rows[i - 1][j], rows[i][j - 1])
+    return 200.0 * rows[-1][-1] / (len(x) + len(y))
+
+
 def test_fuzzy_link_of_all_lengths(spark):
     random.seed(5)
     known = {"".join(random.choices("abcdef", k=n)) for n in range(16, 41) for _ in range(2)} | {"language natural processing"}

@@ -34,9 +34,11 @@ def clean_string(x: Column, nfc: bool = False) -> Column:
 
 
 def normalize_alias(x: Column) -> Column:
-    """Key of a skill's written form: lower case; blanks, underscores, slashes and hyphens are one blank; other marks
+    """Key of a skill's written form: folded case; blanks, underscores, slashes and hyphens are one blank; other marks
     than + # . go."""
-    text = F.regexp_replace(F.lower(clean_string(x)), r"(?U)[\s_/-]+", " ")
+    # Beyond lower case, folding makes two letters of ß and one of the two forms of sigma.
+    folded = F.replace(F.replace(F.lower(clean_string(x)), F.lit("ß"), F.lit("ss")), F.lit("ς"), F.lit("σ"))
+    text = F.regexp_replace(folded, r"(?U)[\s_/-]+", " ")
     text = F.regexp_replace(text, r"(?U)[^\w+#. ]+", "")
     return clean_string(text)
 

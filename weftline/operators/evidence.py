@@ -29,15 +29,14 @@ def group_values(obs: DataFrame, by: list[str]) -> DataFrame:
 
 
 def merge_single(groups: DataFrame, by: list[str], threshold: float = THRESHOLD) -> DataFrame:
-    """One value for each (by..., field): (value, source, method, confidence, sources, losing_sources, n_groups, kept,
-    losers). Sources of other values count against the best, once for each value they hold; a confidence under the
-    threshold means the field is dropped (kept = false)."""
+    """One value for each (by..., field): (value, source, method, confidence, sources, losing_sources, n_groups, kept).
+    Sources of other values count against the best, once for each value they hold; a confidence under the threshold means
+    the field is dropped (kept = false)."""
     rank = F.struct((-F.round("confidence", 9)).alias("c"), F.col("winner.source").alias("s"), F.col("value").alias("v"))
     best = groups.groupBy(*by, "field").agg(
         F.min_by(F.struct("value", "confidence", "sources", "winner"), rank).alias("b"),
         F.sum(F.size("sources")).alias("votes"),
         F.count(F.lit(1)).alias("n_groups"),
-        F.array_sort(F.collect_set("value")).alias("values"),
     )
     losing = F.col("votes") - F.size("b.sources")
     confidence = F.col("b.confidence") * F.when(F.col("n_groups") > 1, conflict_penalty(losing)).otherwise(1.0)
@@ -52,10 +51,17 @@ def merge_single(groups: DataFrame, by: list[str], threshold: float = THRESHOLD)
         losing.alias("losing_sources"),
         "n_groups",
         (F.round(confidence, 12) >= threshold).alias("kept"),
-        F.array_except("values", F.array("b.value")).alias("losers"),
     )
 
 
+def losing_values(groups: DataFrame, singles: DataFrame, by: list[str]) -> DataFrame:
+    """(by..., field, losers): the values that merge_single did not choose, where it had a choice; a row lists them all."""
+    keys = [*by, "field"]
+    chosen = singles.where("n_groups > 1").select(*keys, F.col("value").alias("__v"))
+    rest = groups.join(chosen, keys).where("value <> __v")
+    return rest.groupBy(*keys).agg(F.array_sort(F.collect_set("value")).alias("losers"))
+
+
 def merge_multi(groups: DataFrame, by: list[str]) -> DataFrame:
     """All values of each (by..., field) as an array<struct<value, confidence, sources>>, most confident first, then
     by the winners' source and by value."""

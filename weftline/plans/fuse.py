@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from weftline.functions.confidence import noisy_or_agg
 from weftline.functions.text import company_key, institution_key, project_key
 from weftline.operators.clusters import greedy_clusters
-from weftline.operators.evidence import group_values, merge_multi, merge_single
+from weftline.operators.evidence import group_values, losing_values, merge_multi, merge_single
 from weftline.operators.linkage import candidates
 from weftline.operators.score import candidate_id, list_mean, overall_confidence
 from weftline.operators.skills import canonicalize
@@ -34,8 +34,7 @@ class Fused:
 def normalized(payloads: DataFrame, taxonomy: DataFrame | None = None, region: str = "IN") -> DataFrame:
     """All sources' records, and rows without record that carry a payload's events. Payloads: (bundle_id, source,
     payload); empty ones are skipped."""
-    aliases = {r.alias: r.canonical for r in taxonomy.select("alias", "canonical").collect()} if taxonomy is not None else None
-    raw = [csv_records(payloads), ats_records(payloads), github_records(payloads), notes_records(payloads, aliases, region)]
+    raw = [csv_records(payloads), ats_records(payloads), github_records(payloads), notes_records(payloads, taxonomy, region)]
     out = None
     for source, rows in zip(SOURCES, raw):
         n = NORMALIZERS[source](rows)
@@ -68,27 +67,32 @@ def _placeholder(value: Column) -> Column:
     return F.struct(value.alias("value"), F.lit("merge").alias("source"), F.lit("merged").alias("method"), F.lit(0.0).alias("confidence"))
 
 
-def _event_rows(df: DataFrame, when: Column, field: Column | str, kind: str, reason: str, details: Column | None = None) -> DataFrame:
+def _event_rows(df: DataFrame, by: list[str], when: Column, field: Column | str, kind: str, reason: str, **details: Column) -> DataFrame:
     field = F.lit(field) if isinstance(field, str) else field
-    empty = F.create_map().cast("map<string,string>")
-    return df.where(when).select(*BY, F.lit("merge").alias("stage"), field.alias("field"), F.lit(kind).alias("kind"), F.lit(reason).alias("reason"), (empty if details is None else details).alias("details"))
+    pairs = [x for k, v in details.items() for x in (F.lit(k), v.cast("string"))]
+    table = F.create_map(*pairs) if pairs else F.create_map().cast("map<string,string>")
+    return df.where(when).select(*by, F.lit("merge").alias("stage"), field.alias("field"), F.lit(kind).alias("kind"), F.lit(reason).alias("reason"), table.alias("details"))
 
 
-def _merge_audit(singles: DataFrame, multis: DataFrame, parts: DataFrame, entries: DataFrame, roots: DataFrame) -> DataFrame:
-    def details(**cols: Column) -> Column:
-        return F.create_map(*[x for k, v in cols.items() for x in (F.lit(k), v.cast("string"))])
-
+def single_events(singles: DataFrame, losers: DataFrame, by: list[str], keys: list[str], name: Column) -> DataFrame:
+    """(by..., stage, field, kind, reason, details) of what merge_single decided for (keys..., field): conflicts, values
+    that several sources agree on, and fields under the threshold."""
     confidence = F.round("confidence", 6)
-    both = singles.withColumn("f", F.col("field")).unionByName(parts.withColumn("f", F.concat_ws(".", "family", "field")), allowMissingColumns=True)
-    out = _event_rows(both, F.col("n_groups") > 1, F.col("f"), "conflict_resolved", "highest_confidence_group_won", details(winner_source=F.col("source"), winner_value=F.col("value"), winner_confidence=confidence, losing_values=F.to_json("losers")))
-    out = out.union(_event_rows(both, (F.col("n_groups") == 1) & (F.size("sources") > 1), F.col("f"), "agreement_merged", "multiple_sources_agreed", details(sources=F.to_json("sources"), confidence=confidence)))
-    out = out.union(_event_rows(both, ~F.col("kept"), F.col("f"), "field_dropped", "winner_below_threshold", details(winner_source=F.col("source"), winner_value=F.col("value"), winner_confidence=confidence)))
-    out = out.union(_event_rows(multis.select(*BY, "field", F.explode("items").alias("i")), F.size("i.sources") > 1, F.col("field"), "agreement_merged", "duplicate_values_collapsed", details(value=F.col("i.value"), sources=F.to_json("i.sources"), confidence=F.round("i.confidence", 6))))
+    rows = singles.join(losers, [*keys, "field"], "left")
+    winner = {"winner_source": F.col("source"), "winner_value": F.col("value"), "winner_confidence": confidence}
+    out = _event_rows(rows, by, F.col("n_groups") > 1, name, "conflict_resolved", "highest_confidence_group_won", **winner, losing_values=F.to_json("losers"))
+    out = out.union(_event_rows(rows, by, (F.col("n_groups") == 1) & (F.size("sources") > 1), name, "agreement_merged", "multiple_sources_agreed", sources=F.to_json("sources"), confidence=confidence))
+    return out.union(_event_rows(rows, by, ~F.col("kept"), name, "field_dropped", "winner_below_threshold", **winner))
+
+
+def _merge_audit(singles: DataFrame, losers: DataFrame, multis: DataFrame, entries: DataFrame, roots: DataFrame) -> DataFrame:
+    out = single_events(singles, losers, BY, BY, F.col("field"))
+    out = out.union(_event_rows(multis.select(*BY, "field", F.explode("items").alias("i")), BY, F.size("i.sources") > 1, F.col("field"), "agreement_merged", "duplicate_values_collapsed", value=F.col("i.value"), sources=F.to_json("i.sources"), confidence=F.round("i.confidence", 6)))
     jobs = entries.where("family = 'experience'")
-    out = out.union(_event_rows(jobs, F.col("anchor").isNull(), "experience", "entry_dropped", "company_anchor_missing_after_merge", details(sources=F.to_json("sources"))))
-    out = out.union(_event_rows(jobs, F.col("anchor").isNotNull() & (F.size("sources") > 1), "experience", "entry_merged", "matching_company_entries_collapsed", details(sources=F.to_json("sources"), company=F.col("anchor"))))
+    out = out.union(_event_rows(jobs, BY, F.col("anchor").isNull(), "experience", "entry_dropped", "company_anchor_missing_after_merge", sources=F.to_json("sources")))
+    out = out.union(_event_rows(jobs, BY, F.col("anchor").isNotNull() & (F.size("sources") > 1), "experience", "entry_merged", "matching_company_entries_collapsed", sources=F.to_json("sources"), company=F.col("anchor")))
     wanted = roots.select(*BY, F.explode(F.array(*[F.lit(f) for f in ("full_name", "location", "headline", "years_experience")])).alias("field"))
-    return out.union(_event_rows(wanted.join(singles.select(*BY, "field"), [*BY, "field"], "left_anti"), F.lit(True), F.col("field"), "field_missing", "no_source_provided_value"))
+    return out.union(_event_rows(wanted.join(singles.select(*BY, "field"), [*BY, "field"], "left_anti"), BY, F.lit(True), F.col("field"), "field_missing", "no_source_provided_value"))
 
 
 def fuse(payloads: DataFrame, taxonomy: DataFrame | None = None, region: str = "IN") -> Fused:
@@ -112,12 +116,14 @@ def fuse_records(rows: DataFrame, taxonomy: DataFrame | None = None, more_events
     obs = _observations(records, taxonomy)
     groups = cut(group_values(obs, BY), "groups")
     many = F.col("field").isin("emails", "phones", "skills", "links.other")
-    singles, multis = merge_single(groups.where(~many), BY), merge_multi(groups.where(many), BY)
+    one_value = groups.where(~many)
+    singles, multis = merge_single(one_value, BY), merge_multi(groups.where(many), BY)
 
     clustered = cut(greedy_clusters(_entries(records), [*BY, "family"], "key", ["e1", "e2"]), "clustered")
     cluster = [*BY, "family", "key", "cluster"]
     pieces = clustered.select(*cluster, "source", "method", "confidence", "ord", F.explode("parts").alias("field", "value")).where("value <> ''")
-    parts = merge_single(group_values(pieces, cluster), cluster)
+    part_groups = group_values(pieces, cluster)
+    parts = merge_single(part_groups, cluster)
     heads = clustered.groupBy(*cluster).agg(noisy_or_agg(F.col("confidence")).alias("confidence"), F.array_sort(F.collect_set("source")).alias("sources"))
     values = parts.where("kept").groupBy(*cluster).agg(F.map_from_entries(F.collect_list(F.struct("field", "value"))).alias("v"))
     entries = heads.join(values, cluster, "left")
@@ -177,7 +183,8 @@ def fuse_records(rows: DataFrame, taxonomy: DataFrame | None = None, more_events
     names = ["candidate_id", "full_name", "emails", "phones", "location", "links", "headline", "years_experience", "skills", *ENTRIES, "overall_confidence", "provenance"]
     profiles = p.select(*BY, *names)
 
-    audit = _merge_audit(singles, multis, parts, entries, roots)
+    audit = _merge_audit(singles, losing_values(one_value, singles, BY), multis, entries, roots)
+    audit = audit.union(single_events(parts, losing_values(part_groups, parts, cluster), BY, cluster, F.concat_ws(".", "family", "field")))
     shared = rows.select("bundle_id", F.lit(None).cast("string").alias("root"), F.explode("shared_audit").alias("e")).select(*BY, "e.*")
     own = records.select(*BY, F.explode("audit").alias("e")).select(*BY, "e.*")
     audit = shared.union(own).union(audit)

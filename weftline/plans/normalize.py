@@ -7,9 +7,12 @@ written form until fusion links them, each distinct one once.
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, functions as F
+import pandas as pd
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from weftline.functions.confidence import base_confidence
 from weftline.functions.formats import classify_location, normalize_date, normalize_email, normalize_phone, normalize_url, normalize_years
@@ -149,21 +152,32 @@ def _str(v: Column, path: str) -> Column:
     return F.nullif(F.try_variant_get(v, path, "string"), F.lit(""))
 
 
-def _skill_values(v: Column, depth: int = 3) -> Column:
-    """Skill strings in a string, in a list, or under the first of the usual keys of an object, nested to a depth."""
-    none = F.array().cast("array<string>")
+# Keys under which an object states a skill, the first of them that it has.
+_SKILL_KEYS = ("name", "skill", "value", "label")
 
-    def read(x: Column) -> Column:
-        text = F.when(shape(x) == "STRING", split_cells(F.try_variant_get(x, "$", "string"), ";,|"))
-        if depth == 0:
-            return F.coalesce(text, none)
-        # A list's items and an object's first usual key are read by one and the same expression.
-        named = F.coalesce(*[F.try_variant_get(x, f"$.{k}", "variant") for k in ("name", "skill", "value", "label")])
-        inner = F.when(shape(x) == "ARRAY", F.try_variant_get(x, "$", "array<variant>")).when(shape(x) == "OBJECT", F.array(named))
-        deeper = F.flatten(F.transform(F.coalesce(inner, F.array().cast("array<variant>")), lambda y: _skill_values(y, depth - 1)))
-        return F.coalesce(text, deeper, none)
 
-    return let(v, read)
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _skill_texts(x: pd.Series) -> pd.Series:
+    """The strings in JSON values of any nesting, in order: all items of lists, and what objects have under their first
+    usual key. Expressions have no recursion, so this is an Arrow UDF over whole batches."""
+
+    def read(text: str | None) -> list[str]:
+        out, todo = [], [json.loads(text)] if text else []
+        while todo:
+            v = todo.pop()
+            if isinstance(v, str):
+                out += re.split("[;,|]", v)
+            elif isinstance(v, list):
+                todo += reversed(v)
+            elif isinstance(v, dict):
+                todo += [v[k] for k in _SKILL_KEYS if k in v][:1]
+        return [t for t in out if t.strip()]
+
+    return x.map(read)
+
+
+# Kept apart from the expressions that read it, some of which are lambdas, where it cannot run.
+_skill_texts = _skill_texts.asNondeterministic()
 
 
 def _skillish(name: Column) -> Column:
@@ -171,27 +185,28 @@ def _skillish(name: Column) -> Column:
 
 
 def _ats_skills(raw: Column) -> Column:
-    keys = F.array(*[F.try_variant_get(raw, f"$.{k}", "variant") for k in ("skills", "skill_names", "technologies", "technology_names", "tech_stack")])
-    plain = [F.flatten(F.transform(keys, lambda v: _skill_values(v, 2)))]
+    """array<variant>: what the usual fields, and custom fields whose name says so, hold about skills."""
+    plain = F.array(*[F.try_variant_get(raw, f"$.{k}", "variant") for k in ("skills", "skill_names", "technologies", "technology_names", "tech_stack")])
     custom = F.coalesce(F.try_variant_get(raw, "$.custom_fields", "variant"), F.try_variant_get(raw, "$.custom_fields_values", "variant"))
     table = F.coalesce(F.try_variant_get(custom, "$", "map<string,variant>"), F.create_map().cast("map<string,variant>"))
-    by_name = F.flatten(F.transform(F.filter(F.map_entries(table), lambda e: _skillish(e["key"])), lambda e: _skill_values(e["value"], 1)))
+    by_name = F.transform(F.filter(F.map_entries(table), lambda e: _skillish(e["key"])), lambda e: e["value"])
     label = lambda x: F.coalesce(_str(x, "$.name"), _str(x, "$.field_name"), _str(x, "$.label"))
     rows = F.filter(_list(custom, "$"), lambda x: F.coalesce(_skillish(label(x)), F.lit(False)))
-    by_row = F.flatten(F.transform(rows, lambda x: _skill_values(F.coalesce(F.try_variant_get(x, "$.value", "variant"), F.try_variant_get(x, "$.values", "variant")), 1)))
-    every = F.concat(*plain, F.when(shape(custom) == "OBJECT", by_name).otherwise(F.array().cast("array<string>")), by_row)
-    return first_of_each(F.filter(F.transform(every, lambda v: clean_string(v)), lambda v: v.isNotNull()))
+    by_row = F.transform(rows, lambda x: F.coalesce(F.try_variant_get(x, "$.value", "variant"), F.try_variant_get(x, "$.values", "variant")))
+    return F.concat(plain, F.when(shape(custom) == "OBJECT", by_name).otherwise(F.array().cast("array<variant>")), by_row)
 
 
 def normalize_ats(rows: DataFrame) -> DataFrame:
     s, raw = SOURCES[1], F.col("raw")
+    rows = rows.withColumn("written", _skill_texts(F.to_json(_ats_skills(raw))))
+    rows = rows.withColumn("skills", first_of_each(F.filter(F.transform("written", lambda v: clean_string(v)), lambda v: v.isNotNull())))
     name = F.nullif(F.concat_ws(" ", clean_string(_str(raw, "$.first_name"), True), clean_string(_str(raw, "$.last_name"), True)), F.lit(""))
     values = lambda path: F.filter(F.transform(_list(raw, path), lambda x: _str(x, "$.value")), lambda v: v.isNotNull())
     emails, phones = values("$.email_addresses"), values("$.phone_numbers")
     place = _str(F.get(_list(raw, "$.addresses"), F.lit(0)), "$.value")
     urls = F.concat(values("$.website_addresses"), values("$.social_media_addresses"))
     urls = F.filter(F.transform(urls, lambda u: normalize_url(u)["value"]), lambda u: u.isNotNull())
-    skills = _ats_skills(raw)
+    skills = F.col("skills")
     obs = [
         _one("full_name", F.struct(name.alias("value"), F.lit(1.0).alias("validity")), s),
         _many("emails", emails, s, normal=normalize_email),

@@ -120,14 +120,21 @@ def github_records(payloads: DataFrame) -> DataFrame:
     return p.select("bundle_id", F.lit(source).alias("source"), F.lit(2).alias("src_ord"), F.when(keep, F.lit(0)).alias("rec_ord"), "profile", objects.alias("repos"), F.concat(audit, lost).cast(f"array<{EVENT}>").alias("audit"))
 
 
-def notes_records(payloads: DataFrame, aliases: dict[str, str] | None = None, region: str = "IN") -> DataFrame:
+def notes_records(payloads: DataFrame, taxonomy: DataFrame | None = None, region: str = "IN") -> DataFrame:
     """Adds emails, urls, phones and skills that a note's text holds."""
-    from weftline.operators.skills import recognize
+    from weftline.operators.skills import link_prose
 
     source = SOURCES[3]
     p = _of(payloads, source)
     blank = F.col("payload").rlike(r"(?U)^\s*$")
-    skills = recognize(F.col("payload"), aliases) if aliases else F.array().cast("array<struct<canonical:string,surface:string,score:int,method:string>>")
+    none = F.array().cast("array<struct<canonical:string,surface:string,score:int,method:string>>")
+    skills = none
+    if taxonomy is not None:
+        # Equal notes are read once; they are told apart by 128 bits.
+        p = p.withColumns({"__1": F.xxhash64("payload"), "__2": F.xxhash64(F.lit(1), "payload")})
+        linked = link_prose(p.select("__1", "__2", "payload").dropDuplicates(["__1", "__2"]), ["__1", "__2"], "payload", taxonomy)
+        p = p.join(linked, ["__1", "__2"], "left")
+        skills = F.coalesce("skills", none)
     rows = p.withColumns({"emails": find_emails(F.col("payload")), "urls": find_urls(F.col("payload")), "phones": find_phones(F.col("payload"), region), "skills": skills})
     seen = F.transform("skills", lambda s: event("extract", "skills", "value_recognized", "skill_candidate_linked", source=source, raw_value=s["surface"], canonical=s["canonical"], score=s["score"], match_method=s["method"]))
     missing = events(*[(F.size(f) == 0, event("extract", f, "field_missing", "no_values_recognized", source=source)) for f in ("emails", "phones", "urls", "skills")])
