@@ -11,7 +11,7 @@ HEAVY_KEYS = 1000
 
 
 def spread_join(rows: DataFrame, table: DataFrame, on: list[str], weight: str, spread: list[str], settle: bool = True) -> DataFrame:
-    """Left join of rows with a table of one row for each key (columns `on`, never null, the first a bigint; `weight`: how
+    """Left join of rows with a table of one row for each key (columns `on`, never null, the first a bigint or string; `weight`: how
     many rows the key has; and what is to be added), where a few keys may hold most rows.
 
     The HEAVY_KEYS keys of the greatest weight are broadcast, which are that many rows whatever the data. Rows that meet
@@ -30,7 +30,7 @@ def spread_join(rows: DataFrame, table: DataFrame, on: list[str], weight: str, s
         met = met & (F.col(c) == F.col(k))
     out = rows.join(F.broadcast(known), met, "left").drop(*keys)
     # A heavy row has its own hash for a key, beside a flag that no row of the table has.
-    dealt = F.when(F.col("__heavy"), F.xxhash64(*spread)).otherwise(F.col(on[0]))
+    dealt = F.when(F.col("__heavy"), F.xxhash64(*spread).cast(rows.schema[on[0]].dataType)).otherwise(F.col(on[0]))
     out = out.withColumns({"__at": dealt, "__is": F.col("__heavy").isNotNull()})
     rest = light.select(*[F.col(c).alias(k) for c, k in zip(on, keys)], *[F.col(c).alias(f"{n}_") for c, n in zip(added, names)], F.lit(False).alias("__is2"))
     match = (F.col("__at") == F.col(keys[0])) & (F.col("__is") == F.col("__is2"))
