@@ -8,20 +8,25 @@ from weftline.scratch import cut
 
 #: Keys that spread_join() broadcasts.
 HEAVY_KEYS = 1000
+#: Narrow rows of one key that need no spreading.
+HARMLESS = 100_000
 
 
-def spread_join(rows: DataFrame, table: DataFrame, on: list[str], weight: str, spread: list[str], settle: bool = True) -> DataFrame:
+def spread_join(rows: DataFrame, table: DataFrame, on: list[str], weight: str, spread: list[str], harmless: int = 0) -> DataFrame:
     """Left join of rows with a table of one row for each key (columns `on`, never null, the first a bigint or string; `weight`: how
     many rows the key has; and what is to be added), where a few keys may hold most rows.
 
     The HEAVY_KEYS keys of the greatest weight are broadcast, which are that many rows whatever the data. Rows that meet
     one of them are dealt out by `spread` (columns that tell rows apart) instead of by key; so no key that is left holds
-    more than a HEAVY_KEYS-th of all rows. `table` should be cheap to read twice. Names that begin with __ are taken.
+    more than a HEAVY_KEYS-th of all rows. `table` should be cheap to read twice. Where no key has
+    more than `harmless` rows, which a task takes in its stride, the join is left as it is. Names that begin with __ are
+    taken.
     """
     added = [c for c in table.columns if c not in (*on, weight)]
+    if harmless and (table.agg(F.max(weight)).first()[0] or 0) <= harmless:
+        return rows.join(table.drop(weight), on, "left").select(*[F.col(f"`{c}`") for c in rows.columns], *added)
     heavy = table.orderBy(F.desc(weight), *on).limit(HEAVY_KEYS).select(*on, *added)
-    if settle:
-        heavy = cut(heavy, "heavy")
+    heavy = cut(heavy, "heavy")
     light = table.join(F.broadcast(heavy.select(*on)), on, "left_anti")
     keys, names = [f"__k{i}" for i in range(len(on))], [f"__a{i}" for i in range(len(added))]
     known = heavy.select(*[F.col(c).alias(k) for c, k in zip(on, keys)], *[F.col(c).alias(n) for c, n in zip(added, names)], F.lit(True).alias("__heavy"))
