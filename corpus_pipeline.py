@@ -2,14 +2,20 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
 stage's docs. All but the last return the columns of documents; n_chars follows the text where a stage changes it.
+
+Rows with a null key or text, empty texts and repeated rows stay, as far as the operators' docstrings don't say
+otherwise: a repeated row of which another document has the text goes with it. Empty tables give empty ones.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from weftline.llm.common import cut, table
-from weftline.llm.queries import tokenizer
+from weftline.scratch import cut
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,6 +52,7 @@ def remove_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def to_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """SentencePiece ids of what is left, with digests of the ids and of the decoded text."""
+    from weftline.llm.queries import tokenizer
     from weftline.llm.sentencepiece_codec import encode_decode
 
     return encode_decode(docs, tokenizer("piece_bpe_32k.model"), with_ids=True)

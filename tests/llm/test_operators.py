@@ -99,11 +99,12 @@ def test_jaccard_join_of_long_lists(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "LIST_PART", 3)
     monkeypatch.setattr(jaccard_join, "SPREAD", 2)
     monkeypatch.setattr(jaccard_join, "MOST_FREQUENT", 20)
+    monkeypatch.setattr(jaccard_join, "HARMLESS", 1)
     monkeypatch.setattr(spread, "HEAVY_KEYS", 2)
     r = np.random.default_rng(7)
     base = list(r.choice(WORDS, 120))
     rows = []
-    for i in range(150):  # parts of one text of all lengths, with changed words; neighbours are similar, ends are not
+    for i in range(90):  # parts of one text of all lengths, with changed words; neighbours are similar, ends are not
         n = int(r.integers(20, 120))
         a = int(r.integers(0, 121 - n))
         w = list(base[a : a + n])
@@ -117,8 +118,6 @@ def test_jaccard_join_of_long_lists(spark, monkeypatch):
     out = jaccard_join.join(docs)
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in out.collect()} == want
     assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("weftline_sets")]
-    want = _components(rows, 100)
-    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.join(docs, percent=100).collect()} == want
 
 
 def test_jaccard_links(spark, monkeypatch):

@@ -23,7 +23,9 @@ def sf(spark, tmp_path_factory):
         for k, x in enumerate(("grobnik", "vilez", "grobnika")):
             w.insert(7 * k + 3, x)
         texts[i], toxic[i] = " ".join(w), 1
-    spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{root}/documents.parquet")
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
+    rows += [(900, None, None, None, None), (901, "", "en", "s", 0), (None, "a null key of its own", None, "s", 21), (902, "repeated row", "en", "s", 12), (902, "repeated row", "en", "s", 12)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{root}/documents.parquet")
     spark.createDataFrame([(i, 1, t) for i, t in enumerate(toxic)], "doc_id bigint, quality int, toxic int").write.parquet(f"{root}/labels.parquet")
     spark.createDataFrame([(0, passage)], "item_id bigint, text string").write.parquet(f"{root}/benchmark.parquet")
     return str(root), texts, toxic, passage
@@ -42,7 +44,18 @@ def test_stages(spark, sf):
         if k == 3:
             rows = {r.doc_id: r for r in docs.collect()}
     clean = {i for i, t in enumerate(toxic) if not t}
-    assert set(rows) == clean - {20, 21}
+    assert set(rows) == (clean - {20, 21}) | {900, 901, None, 902}
+    assert rows[900].text is None or rows[900].text == ""
     assert passage not in rows[30].text and rows[30].text.endswith("tail") and rows[30].n_chars == len(rows[30].text)
     assert all(rows[i].text == texts[i] for i in rows if i != 30)
     assert {r.doc_id for r in docs.collect()} == set(rows)
+
+
+def test_stages_of_empty_tables(spark, sf, tmp_path):
+    root = sf[0]
+    for name in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{root}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.count() == 0, name

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from weftline.operators.spread import HEAVY_KEYS, spread_join  # noqa: F401
+from weftline.operators.spread import HARMLESS, HEAVY_KEYS, spread_join  # noqa: F401
 from weftline.scratch import cut, passing, scratch_dir  # noqa: F401  (used by the operators of this subpackage)
 
 #: Bytes of one Arrow batch sent to a Python worker: bounds a worker's memory whatever the row lengths.

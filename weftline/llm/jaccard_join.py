@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from weftline.operators.components import components
 
-from .common import HEAVY_KEYS, bound_batches, cut, partitions, passing, spread_join, text_buffers
+from .common import HARMLESS, HEAVY_KEYS, bound_batches, cut, partitions, passing, spread_join, text_buffers
 from .segments import SegmentCache, mix64
 from .words import shingles
 
@@ -157,7 +157,7 @@ class SimilarityJoin:
         """(a, b): sets and the leaders with which they share a least hash."""
         mins = self.sketches.select("sid", F.posexplode("mins").alias("k", "value"))
         lead = cut(mins.groupBy("value", "k").agg(F.min("sid").alias("b"), F.count(F.lit(1)).alias("m")).where("m > 1"), "lead")
-        return spread_join(mins, lead, ["value", "k"], "m", ["sid"]).where("sid <> b").select(F.col("sid").alias("a"), "b").distinct()
+        return spread_join(mins, lead, ["value", "k"], "m", ["sid"], HARMLESS).where("sid <> b").select(F.col("sid").alias("a"), "b").distinct()
 
     def more_proposals(self, classes: DataFrame, again: int) -> DataFrame:
         """(a, b) of different classes: sets with CENTRES sets drawn by hash among those that share a least hash with
@@ -165,7 +165,7 @@ class SimilarityJoin:
         mins = self.sketches.join(classes, "sid").select("sid", "cls", F.posexplode("mins").alias("k", "value"))
         drawn = [F.min_by(F.struct("sid", "cls"), F.xxhash64("sid", F.lit(again * CENTRES + r))) for r in range(CENTRES)]
         lead = mins.groupBy("value", "k").agg(F.array_distinct(F.array(*drawn)).alias("centres"), F.min("cls").alias("lo"), F.max("cls").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo <> hi").drop("lo", "hi")
-        rows = spread_join(mins, cut(lead, "lead"), ["value", "k"], "m", ["sid"]).where("centres IS NOT NULL").select(F.col("sid").alias("a"), F.filter("centres", lambda c: c["cls"] != F.col("cls")).alias("centres"))
+        rows = spread_join(mins, cut(lead, "lead"), ["value", "k"], "m", ["sid"], HARMLESS).where("centres IS NOT NULL").select(F.col("sid").alias("a"), F.filter("centres", lambda c: c["cls"] != F.col("cls")).alias("centres"))
         return rows.select("a", F.explode("centres.sid").alias("b")).distinct()
 
     def plausible(self, pairs: DataFrame) -> DataFrame:
@@ -320,37 +320,53 @@ def _differ(x: np.ndarray, y: np.ndarray, bits_x: np.ndarray, bits_y: np.ndarray
     return out
 
 
-def _list_pairs(sid, n, pos, cls, flags, bitmaps, bits, percent: int, block: int = 512):
-    """Pairs (a, b) of one list that are of different classes and that nothing rules out; not two visitors, and of a list
-    of two parts only one of each (see _dealt). The list is sorted by position; a block is skipped when the most that is left behind the token in its sets
-    and in those of the other is too little for the least pair of both."""
-    m = len(sid)
-    left = n - pos
-    cuts = [(i, min(m, i + block)) for i in range(0, m, block)]
-    most = [int(left[i:j].max()) for i, j in cuts]
-    least = [int(n[i:j].min()) for i, j in cuts]
-    for k, (i, stop) in enumerate(cuts):
-        x = slice(i, stop)
-        for j in range(k, len(cuts)):
-            if min(most[k], most[j]) * (100 + percent) < percent * (least[k] + least[j]):
-                continue
-            y = slice(*cuts[j])
-            # Intersection needed, and the most that is left behind the token in both sets.
-            need = (percent * (n[x][:, None] + n[y][None, :]) + (100 + percent) - 1) // (100 + percent)
-            ok = (np.minimum(left[x][:, None], left[y][None, :]) >= need) & (cls[x][:, None] != cls[y][None, :])
-            ok &= np.minimum(n[x][:, None], n[y][None, :]) >= need
-            if flags.any():
-                f, g = flags[x][:, None], flags[y][None, :]
-                ok &= (f & g & 2 == 0) & ((f & 4 == 0) | ((f ^ g) & 1 == 1))
-            if j == k:
-                ok &= np.arange(x.stop - x.start)[:, None] < np.arange(y.stop - y.start)[None, :]
-            a, b = np.nonzero(ok)
-            if len(a):
-                far = n[a + x.start] + n[b + y.start] - 2 * need[a, b]
-                a, b = a + x.start, b + y.start
-                keep = (_differ(bitmaps[a], bitmaps[b], bits[a], bits[b]) <= far) & (sid[a] != sid[b])
-                if keep.any():
-                    yield np.minimum(sid[a[keep]], sid[b[keep]]), np.maximum(sid[a[keep]], sid[b[keep]])
+class _Lists:
+    """Entries of lists, sorted by list and position, as flat arrays; pairs of them that nothing rules out."""
+
+    def __init__(self, table: pa.Table, percent: int):
+        at, flags, sid, lp, cls = (table.column(i).to_numpy() for i in range(5))
+        bitmaps, bits = _words(table.column(5).to_pylist())
+        order = np.lexsort((sid, lp >> 32, lp & 0xFFFFFFFF, at))
+        self.percent, self.flags, self.sid, self.cls = percent, flags[order], sid[order], cls[order]
+        self.bitmaps, self.bits = bitmaps[order], bits[order]
+        self.n = lp[order] >> 32
+        self.left = self.n - (lp[order] & 0xFFFFFFFF)  # the token and what is behind it
+        self.edge = _edges(at[order])
+
+    def kept(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The pairs of entries a and b, as rows (set, set), that are of different classes and that lengths, positions
+        and bitmaps don't rule out; not two visitors, and of a list of two parts only one of each (see _dealt)."""
+        n, p = self.n, self.percent
+        need = (p * (n[a] + n[b]) + (99 + p)) // (100 + p)
+        ok = (np.minimum(self.left[a], self.left[b]) >= need) & (self.cls[a] != self.cls[b]) & (np.minimum(n[a], n[b]) >= need)
+        f, g = self.flags[a], self.flags[b]
+        ok &= ((f & g & 2) == 0) & (((f & 4) == 0) | (((f ^ g) & 1) == 1)) & (self.sid[a] != self.sid[b])
+        a, b, need = a[ok], b[ok], need[ok]
+        near = _differ(self.bitmaps[a], self.bitmaps[b], self.bits[a], self.bits[b]) <= n[a] + n[b] - 2 * need
+        x, y = self.sid[a[near]], self.sid[b[near]]
+        return np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1)
+
+    def pairs(self, short: int = 32, block: int = 512, step: int = 1 << 18):
+        """Yield rows of kept(). Short lists of one size go side by side. A long list goes block by block; two blocks are
+        skipped when the most that their positions leave is too little for the least pair of both."""
+        size = np.diff(self.edge)
+        for m in np.unique(size[(size > 1) & (size <= short)]).tolist():
+            i, j = np.triu_indices(m, 1)
+            starts = self.edge[:-1][size == m]
+            few = max(1, step // len(i))
+            for k in range(0, len(starts), few):
+                some = starts[k : k + few, None]
+                yield self.kept((some + i).ravel(), (some + j).ravel())
+        for first, stop in zip(self.edge[:-1][size > short].tolist(), self.edge[1:][size > short].tolist()):
+            cuts = [(i, min(stop, i + block)) for i in range(first, stop, block)]
+            most = [int(self.left[i:j].max()) for i, j in cuts]
+            least = [int(self.n[i:j].min()) for i, j in cuts]
+            for k, x in enumerate(cuts):
+                for j in range(k, len(cuts)):
+                    if min(most[k], most[j]) * (100 + self.percent) < self.percent * (least[k] + least[j]):
+                        continue
+                    a, b = (z.ravel() for z in np.meshgrid(np.arange(*x), np.arange(*cuts[j]), indexing="ij"))
+                    yield self.kept(a[a < b], b[a < b]) if j == k else self.kept(a, b)
 
 
 #: Sets of a component that are compared with as many others in one block, about.
@@ -441,16 +457,10 @@ def _scan_lists(lists: DataFrame, n: int, percent: int) -> DataFrame:
             return _rows(["a", "b"], [pa.int64()] * 2, [pairs[:, 0], pairs[:, 1]])
 
         for t in _whole_lists(batches):
-            at, flags, sid, lp, cls = (t.column(i).to_numpy() for i in range(5))
-            bitmaps, bits = _words(t.column(5).to_pylist())
-            order = np.lexsort((sid, lp >> 32, lp & 0xFFFFFFFF, at))
-            at, flags, sid, lp, cls, bitmaps, bits = (c[order] for c in (at, flags, sid, lp, cls, bitmaps, bits))
-            edge = _edges(at)
-            for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
-                s = slice(a, b)
-                for p, q in _list_pairs(sid[s], lp[s] >> 32, lp[s] & 0xFFFFFFFF, cls[s], flags[s], bitmaps[s], bits[s], percent):
-                    found.append(np.stack([p, q], axis=1))
-                    size += len(p)
+            for some in _Lists(t, percent).pairs():
+                if len(some):
+                    found.append(some)
+                    size += len(some)
                 if size >= GATHER:
                     yield flush()
                     size = 0
@@ -541,7 +551,7 @@ def _labels(work: SimilarityJoin, counted: bool) -> DataFrame:
     label = work.sets.join(comps, F.col("sid") == F.col("node"), "left").select("sid", "h1", "h2", "n", "id", "m", F.coalesce("root", "sid").alias("root"))
     label = cut(label, "label")
     roots = label.groupBy("root").agg(F.min("id").alias("component"), F.count(F.lit(1)).alias("k"))
-    by_set = spread_join(label, cut(roots, "roots").withColumn("weight", F.col("k")), ["root"], "weight", ["sid"])
+    by_set = spread_join(label, cut(roots, "roots").withColumn("weight", F.col("k")), ["root"], "weight", ["sid"], HARMLESS)
     # 5. Links of each set, counted inside its component.
     if counted:
         by_set = cut(by_set, "by_set")
