@@ -12,6 +12,7 @@ from weftline.operators.clusters import greedy_clusters
 from weftline.operators.components import components
 from weftline.operators.evidence import group_values, merge_multi, merge_single
 from weftline.operators.linkage import candidates
+from weftline.operators.score import overall_confidence
 from weftline.operators.skills import CUTOFF, canonicalize, fuzzy_link, link_prose, load_taxonomy, ngrams, token_sort_ratio
 from weftline.pipeline import run
 from weftline.plans.fuse import fuse
@@ -99,6 +100,16 @@ def test_evidence(spark):
     assert [i["value"] for i in merge_multi(g, ["k"]).first()["items"]] == ["a", "b"]
 
 
+def test_score_of_agreeing_sources(spark):
+    """Acceptance values: a profile of all families, one of a single source, one of nothing."""
+    means = {"full_name": 0.994, "emails": 0.9631, "phones": 0.9877, "location": 0.833, "links": 0.97885, "headline": 0.8, "years_experience": 0.8, "skills": 0.699, "experience": 0.98, "education": 0.8992, "projects": 0.7}
+    one = spark.range(1)
+    score = lambda families: one.select(overall_confidence({k: F.lit(v) for k, v in families.items()}).alias("s")).first().s
+    assert score(means) == pytest.approx(0.924211, abs=2e-5)
+    assert score({k: 0.8 for k in means}) == pytest.approx(0.8)
+    assert score({}) == 0.0 and score({"emails": 0.0}) == 0.0
+
+
 def test_components(spark):
     random.seed(1)
     edges = [(random.randint(0, 300), random.randint(0, 300)) for _ in range(250)] + [(1000 + i, 1001 + i) for i in range(60)] + [(5, 5), (None, 3)]
