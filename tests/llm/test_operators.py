@@ -284,7 +284,7 @@ def test_sharding(spark, docs, pdf, empty):
     texts = [" ".join(r.choice(WORDS, r.integers(1, 60))) for _ in range(300)]
     rows = [(i, texts[int(r.integers(0, 300))], str(r.choice(["en", "de", "fr"])), f"s{r.integers(0, 5)}") for i in range(500)] + [(500, None, None, None), (501, "", "en", "x"), (502, "é" * 50, "", "s1")]
     made = clashing(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")).repartition(3)
-    for shards in (3, 8):
+    for shards in (6,):
         out = kd_sharding.shard(made, shards, tolerance=0).toPandas().set_index("doc_id")
         assert out.shard.to_dict() == _kd_tree(rows, shards)
         whole = collections.defaultdict(set)
@@ -293,7 +293,7 @@ def test_sharding(spark, docs, pdf, empty):
         assert all(len(x) == 1 for x in whole.values())
         sums = out.groupby("shard")["size"].sum()
         assert len(sums) == shards and sums.max() < 1.1 * sums.min()
-    assert kd_sharding.shard(made, target_bytes=int(out["size"].sum()) // 5 + 1).select("shard").distinct().count() == 5
+    assert kd_sharding.shard(made, target_bytes=int(out["size"].sum()) // 3 + 1).select("shard").distinct().count() == 3
 
     out = kd_sharding.shard(docs, 4).toPandas().sort_values("doc_id").reset_index(drop=True)
     assert out.doc_id.tolist() == pdf.doc_id.tolist()

@@ -2,9 +2,9 @@
 
 Every block starts with empty state and is coded on its own, so many blocks advance in step as the lanes of numpy
 arrays. For each id two predictions are looked up by context: the id that last followed the two ids before it
-(order 2) and the one before it (order 1). How often a prediction has held gives its confidence; the stretched hit rates
-of the confidences are mixed with weights that follow the coding error inside the block, one set where the two agree and
-one where they differ. The mixed probabilities split the coder's range in three: order-2 hit, order-1 hit, escape. An
+(order 2) and the one before it (order 1). How often a prediction has held gives its confidence, and each confidence
+stands for a fixed hit rate; the stretched rates are mixed with weights that follow the coding error inside the block,
+one set where the two agree and one where they differ. The mixed probabilities split the coder's range in three: order-2 hit, order-1 hit, escape. An
 escaped id is coded by order 0: a chunk has a few distributions of ids (say, one for each language in it), and a block
 follows its own ids in choosing among them, by what each would have spent on the last ids. All arithmetic is on integers,
 so any machine decodes the same ids.
@@ -25,9 +25,8 @@ MAGIC = b"CMR2"
 BLOCK = 2048
 #: Ids of a chunk: enough blocks side by side for numpy, and some 8 MB of coded bytes.
 CHUNK = 4 << 20
-_LOG0 = 18  # order-0 frequencies of a table sum to 1 << _LOG0
 #: Order-0 tables of a chunk at most; ids by whose likeness they are made; ids after which a block chooses again.
-TABLES, _SEGMENT, _SWITCH = 8, 512, 8
+TABLES, _SEGMENT, _SWITCH = 8, 512, 16
 _HEAD = struct.Struct("<4sIIQIII")
 _SLOTS1, _SLOTS2, _CONF = 9, 10, 8
 _FLOOR = 64  # least share of 65536 that the escape keeps
@@ -49,6 +48,10 @@ _START1 = _STRETCH[[40, 500, 1100, 1700, 2300, 2800, 3200, 3600]]
 _START2 = _STRETCH[[40, 900, 1800, 2500, 3000, 3400, 3700, 3900]]
 
 
+# What becomes of a confidence: by a miss (a prediction of little confidence is replaced), then by a hit.
+_STEP = np.array([0, 0, 0, *[-2] * (_CONF - 3), *[1] * (_CONF - 1), 0], np.int32)
+
+
 class _Model:
     """Predictions and mixing for a number of lanes."""
 
@@ -86,12 +89,13 @@ class _Model:
         h1, h2 = ids == self.id1, ids == self.id2
         fresh = (ids << 3) + 1
         for h, e, c, tab, slot in ((h1, self.e1, self.c1, self.tab1, self.slot1), (h2, self.e2, self.c2, self.tab2, self.slot2)):
-            tab[slot] = np.where(h, e + (c < _CONF - 1), np.where(c > 2, e - 2, fresh))
-        err = ((h2 << 16) - self.pa) >> 6
-        self.w2[:n] += err * self.x2 >> 13
-        err1 = np.where(self.same, err, (((h1 << 16) - self.pb) >> 6) * ~h2)
-        self.w1[:n] += err1 * self.x1 >> 13
-        self.against[:n] += (err * ~self.same) * self.x1 >> 13
+            tab[slot] = np.where((c < 3) & ~h, fresh, e + _STEP.take(c + (h << 3)))
+        if self.steps & 1:  # every second id moves the weights
+            err = ((h2 << 16) - self.pa) >> 6
+            self.w2[:n] += err * self.x2 >> 12
+            err1 = np.where(self.same, err, (((h1 << 16) - self.pb) >> 6) * ~h2)
+            self.w1[:n] += err1 * self.x1 >> 12
+            self.against[:n] += (err * ~self.same) * self.x1 >> 12
         self.steps += 1
         if not self.steps & 15:
             np.clip(self.w1, 1 << 8, 1 << 14, out=self.w1)
@@ -136,28 +140,25 @@ def _cluster(ids: np.ndarray) -> np.ndarray:
 class _Order0:
     """The order-0 tables of a chunk and the lanes' choices among them."""
 
-    def __init__(self, seen: np.ndarray, counts: np.ndarray):
-        """seen: the ids that occur, ascending; counts: a row for each table."""
+    def __init__(self, counts: np.ndarray):
+        """counts: a row for each table, a column for each of the chunk's distinct ids. Frequencies of a table sum to
+        1 << bits."""
         tables, total = len(counts), counts.sum(axis=0)
+        self.tables, self.wide = counts.shape
+        self.bits = min(18, self.wide.bit_length() + 4)
         # Ids that a table has not seen keep a small part of it, by how common they are elsewhere.
         part = counts * 64 + total * counts.sum(axis=1, keepdims=True) // max(1, int(total.sum()))
-        room = (1 << _LOG0) - len(seen)
-        freq = 1 + part * room // np.maximum(1, part.sum(axis=1, keepdims=True))
-        freq[np.arange(tables), np.argmax(freq, axis=1)] += (1 << _LOG0) - freq.sum(axis=1)
-        self.tables, self.wide = tables, int(seen[-1]) + 1
-        self.freq = np.zeros((tables, self.wide), np.int64)
-        self.freq[:, seen] = freq
-        self.cum = (np.cumsum(self.freq, axis=1) - self.freq).ravel()
+        freq = 1 + part * ((1 << self.bits) - self.wide) // np.maximum(1, part.sum(axis=1, keepdims=True))
+        freq[np.arange(tables), np.argmax(freq, axis=1)] += (1 << self.bits) - freq.sum(axis=1)
+        self.cum = (np.cumsum(freq, axis=1) - freq).ravel()
         # Costs in 1/64 bit by integers: the place of the leading bit and a table of what follows it.
-        e = np.frexp(self.freq.astype(np.float64))[1] - 1
-        cost = (_LOG0 - e) * 64 - _LOG2.take((self.freq << 6 >> np.maximum(e, 0)) & 63)
-        self.cost = np.ascontiguousarray(np.where(self.freq > 0, cost, 0).T.astype(np.int16))
+        e = np.frexp(freq.astype(np.float64))[1] - 1
+        self.cost = np.ascontiguousarray(((self.bits - e) * 64 - _LOG2.take((freq << 6 >> e) & 63)).T.astype(np.int16))
+        self.freq = freq.ravel()
         self.first = int(np.argmax(counts.sum(axis=1)))
-        self.freq = self.freq.ravel()
 
     def slots(self) -> np.ndarray:
-        freq = self.freq.reshape(self.tables, -1)
-        return np.concatenate([np.repeat(np.arange(self.wide, dtype=np.uint16), f) for f in freq])
+        return np.repeat(np.tile(np.arange(self.wide, dtype=np.uint16), self.tables), self.freq)
 
     def begin(self, lanes: int) -> None:
         self.score = np.zeros((lanes, self.tables), np.int32)
@@ -186,13 +187,17 @@ def encode_chunk(ids: np.ndarray) -> bytes:
         seen = np.flatnonzero(np.bincount(ids))
         own = _cluster(ids)
         tables = int(own.max()) + 1
-        codes = _float16(np.bincount(own * (seen[-1] + 1) + ids, minlength=tables * (seen[-1] + 1)).reshape(tables, -1)[:, seen])
+        # From here on an id is its place among the distinct ones, which keeps tables small.
+        place = np.zeros(int(seen[-1]) + 1, np.int32)
+        place[seen] = np.arange(len(seen), dtype=np.int32)
+        coded = place[ids]
+        codes = _float16(np.bincount(own * len(seen) + coded, minlength=tables * len(seen)).reshape(tables, -1))
         head = zlib.compress(seen.astype("<u2").tobytes() + codes.tobytes(), 6)
-        zero = _Order0(seen, _from_float16(codes))
+        zero = _Order0(_from_float16(codes))
         zero.begin(blocks)
         freq, cum = zero.freq, zero.cum
         full = np.zeros(blocks * BLOCK, np.int32)
-        full[:n] = ids
+        full[:n] = coded
         grid = np.ascontiguousarray(full.reshape(blocks, BLOCK).T)
         last = n - (blocks - 1) * BLOCK
         model = _Model(blocks)
@@ -232,7 +237,7 @@ def encode_chunk(ids: np.ndarray) -> bytes:
             width = np.where(escape, 65536 - fab, np.where(hit2, fa, fb))
             r = span[:k] >> 16
             s = r * width
-            r0 = s >> _LOG0
+            r0 = s >> zero.bits
             low[:k] += r * start + r0 * cum.take(at0) * escape
             s = np.where(escape, r0 * freq.take(at0), s)
             carry()
@@ -255,7 +260,8 @@ def encode_chunk(ids: np.ndarray) -> bytes:
 
 
 def _opened(data: bytes):
-    """(block size, ids, order-0 tables, words and checksum of each block, words) of a chunk; ValueError if it's damaged."""
+    """(block size, ids, distinct ids, order-0 tables, words and checksum of each block, words) of a chunk; ValueError if
+    it's damaged."""
     if len(data) < _HEAD.size or data[:4] != MAGIC:
         raise ValueError("not a coded chunk")
     _, check, block, n, blocks, tables, head = _HEAD.unpack_from(data)
@@ -267,18 +273,18 @@ def _opened(data: bytes):
     if not block or blocks != -(-n // block) or (n and not 0 < tables <= TABLES) or len(data) - end != 4 * int(sizes.sum()):
         raise ValueError("a chunk has not the length its header states")
     if not n:
-        return block, n, None, sizes, checks, None
+        return block, n, None, None, sizes, checks, None
     # At most 65536 ids and their codes, whatever the compressed bytes say.
     raw = zlib.decompressobj().decompress(data[end - head : end], (2 + 2 * tables) << 16)
     seen = len(raw) // (2 + 2 * tables)
     codes = np.frombuffer(raw, "<u2", seen * tables, 2 * seen).reshape(tables, seen)
-    zero = _Order0(np.frombuffer(raw, "<u2", seen).astype(np.int64), _from_float16(codes))
-    return block, n, zero, sizes, checks, np.append(np.frombuffer(data, "<u4", offset=end), np.zeros(4, np.uint32))
+    distinct = np.frombuffer(raw, "<u2", seen).astype(np.int32)
+    return block, n, distinct, _Order0(_from_float16(codes)), sizes, checks, np.append(np.frombuffer(data, "<u4", offset=end), np.zeros(4, np.uint32))
 
 
 def decode_chunk(data: bytes, only: list[int] | None = None) -> np.ndarray:
     """Ids of a chunk (or of the blocks in `only`). Raises ValueError if the chunk is damaged or cut off."""
-    block, n, zero, sizes, checks, words = _opened(data)
+    block, n, distinct, zero, sizes, checks, words = _opened(data)
     if not n:
         return np.zeros(0, np.int32)
     blocks = len(sizes)
@@ -314,9 +320,9 @@ def decode_chunk(data: bytes, only: list[int] | None = None) -> np.ndarray:
         width = np.where(escape, 65536 - fab, np.where(hit2, fa, model.fb))
         c = c - r * start
         s = r * width
-        r0 = s >> _LOG0
+        r0 = s >> zero.bits
         where0 = (c.view(np.uint64) // r0.view(np.uint64)).view(np.int64)
-        found = slot.take((chosen << _LOG0) + np.minimum(where0, (1 << _LOG0) - 1), mode="clip")
+        found = slot.take((chosen << zero.bits) + np.minimum(where0, (1 << zero.bits) - 1), mode="clip")
         at0 = chosen * zero.wide + found
         c -= r0 * cum.take(at0) * escape
         s = np.where(escape, r0 * freq.take(at0), s)
@@ -332,6 +338,7 @@ def decode_chunk(data: bytes, only: list[int] | None = None) -> np.ndarray:
             span[low] <<= 32
         grid[t, :k] = now
         model.update(k, now)
+    grid = distinct.take(grid, mode="clip")
     parts = [grid[: length[i], i] for i in range(lanes)]
     for i, p in enumerate(parts):
         if zlib.crc32(p.astype("<u4"), coded[i]) != checks[i]:
