@@ -118,15 +118,18 @@ def in_pairs_with_next(docs: DataFrame, key: str, text: str) -> DataFrame:
     least = docs.select(F.col(key).cast("bigint").alias("key")).agg(F.count(F.when(F.col("key").isNull(), 1)).alias("n"), F.min("key").alias("m")).first()
     lowest = None if least.n else least.m
 
-    @F.pandas_udf("int")
-    def bucket(x: pd.Series) -> pd.Series:
-        at = np.searchsorted(starts, x.fillna(-(1 << 63)).astype("int64").to_numpy(), side="right")
-        return pd.Series(at.astype("int32"))
+    @F.pandas_udf("bigint")
+    def place(x: pd.Series) -> pd.Series:
+        """Twice the range of a key, plus 1 where the key is the range's first."""
+        keys = x.to_numpy()
+        at = np.searchsorted(starts, keys, side="right")
+        first = (at > 0) & (starts[np.maximum(at, 1) - 1] == keys) if len(starts) else np.zeros(len(keys), bool)
+        return pd.Series(2 * at.astype("int64") + first)
 
     rows = docs.select(F.col(key).cast("bigint").alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    rows = rows.withColumn("bucket", bucket("key"))
+    rows = rows.withColumn("place", place(F.coalesce("key", F.lit(-(1 << 63))))).withColumn("bucket", F.shiftright("place", 1).cast("int"))
     begin = F.col("key").isNull() if lowest is None else (F.col("key") == F.lit(lowest))
-    guest = F.when(begin, F.lit(len(starts))).when(F.col("key").isin([int(s) for s in starts]) if len(starts) else F.lit(False), F.col("bucket") - 1)
+    guest = F.when(begin, F.lit(len(starts))).when(F.col("key").isNotNull() & (F.col("place") % 2 == 1), F.col("bucket") - 1)
     rows = rows.withColumn("to", F.explode(F.when(guest.isNull(), F.array(F.struct(F.col("bucket").alias("b"), F.lit(False).alias("guest")))).otherwise(F.array(F.struct(F.col("bucket").alias("b"), F.lit(False).alias("guest")), F.struct(guest.cast("int").alias("b"), F.lit(True).alias("guest"))))))
     rows = rows.select(F.col("to.b").alias("bucket"), F.col("to.guest").alias("guest"), "key", "text")
     return rows.repartition(n, "bucket").sortWithinPartitions("bucket", "guest", "key", "text")
