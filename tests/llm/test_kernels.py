@@ -150,3 +150,22 @@ def test_damaged_archive():
 
     with pytest.raises(ValueError):
         list(warc.parse(gzip.compress(b"WARC/1.1\r\nContent-Length: 9\r\n\r\nabc")))
+
+
+def test_pairs_of_a_long_list_take_little_memory():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from weftline.llm.jaccard_join import ENTRY_BITS, _Lists
+
+    n = 1024
+    some = np.random.default_rng(1).integers(0, 256, (n // 2, ENTRY_BITS // 8), dtype=np.uint8)
+    columns = [np.zeros(n, np.int64), np.zeros(n, np.int64), np.arange(n), np.full(n, 200 << 32), np.arange(n)]
+    lists = _Lists(pa.table([*map(pa.array, columns), pa.array([x.tobytes() for x in [*some, *some]], pa.binary())], names=list("abcdef")), 80)
+    tracemalloc.start()
+    found = {tuple(p) for pairs in lists.pairs() for p in pairs.tolist()}
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == {(i, i + n // 2) for i in range(n // 2)}
+    assert peak < 64 << 20

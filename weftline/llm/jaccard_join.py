@@ -286,8 +286,8 @@ class SimilarityJoin:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
 
 
-#: Bits at most of the bitmaps that list entries carry.
-ENTRY_BITS = 1024
+#: Bits at most of the bitmaps that list entries carry, and pairs whose bitmaps are copied side by side at once.
+ENTRY_BITS, BITMAP_ROWS = 1024, 1 << 14
 
 
 def _fold(raw: np.ndarray) -> np.ndarray:
@@ -342,7 +342,11 @@ class _Lists:
         f, g = self.flags[a], self.flags[b]
         ok &= ((f & g & 2) == 0) & (((f & 4) == 0) | (((f ^ g) & 1) == 1)) & (self.sid[a] != self.sid[b])
         a, b, need = a[ok], b[ok], need[ok]
-        near = _differ(self.bitmaps[a], self.bitmaps[b], self.bits[a], self.bits[b]) <= n[a] + n[b] - 2 * need
+        near = n[a] + n[b] - 2 * need
+        for i in range(0, len(a), BITMAP_ROWS):
+            x, y = a[i : i + BITMAP_ROWS], b[i : i + BITMAP_ROWS]
+            near[i : i + BITMAP_ROWS] -= _differ(self.bitmaps[x], self.bitmaps[y], self.bits[x], self.bits[y])
+        near = near >= 0
         x, y = self.sid[a[near]], self.sid[b[near]]
         return np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1)
 
