@@ -50,6 +50,7 @@ _START2 = _STRETCH[[40, 900, 1800, 2500, 3000, 3400, 3700, 3900]]
 
 # What becomes of a confidence: by a miss (a prediction of little confidence is replaced), then by a hit.
 _STEP = np.array([0, 0, 0, *[-2] * (_CONF - 3), *[1] * (_CONF - 1), 0], np.int32)
+_REPLACED = np.arange(2 * _CONF) < 3
 
 
 class _Model:
@@ -85,11 +86,12 @@ class _Model:
         fb *= ~self.same
         self.fb = fb
 
-    def update(self, n: int, ids: np.ndarray) -> None:
-        h1, h2 = ids == self.id1, ids == self.id2
+    def update(self, n: int, ids: np.ndarray, h1: np.ndarray, h2: np.ndarray) -> None:
+        """h1, h2: where the ids are the predicted ones."""
         fresh = (ids << 3) + 1
         for h, e, c, tab, slot in ((h1, self.e1, self.c1, self.tab1, self.slot1), (h2, self.e2, self.c2, self.tab2, self.slot2)):
-            tab[slot] = np.where((c < 3) & ~h, fresh, e + _STEP.take(c + (h << 3)))
+            at = c + (h << 3)
+            tab[slot] = np.where(_REPLACED.take(at), fresh, e + _STEP.take(at))
         if self.steps & 1:  # every second id moves the weights
             err = ((h2 << 16) - self.pa) >> 6
             self.w2[:n] += err * self.x2 >> 12
@@ -208,8 +210,8 @@ def encode_chunk(ids: np.ndarray) -> bytes:
         pos = begin.copy()
 
         def carry() -> None:
-            who = np.flatnonzero(low < 0)
-            if len(who):
+            if low.min() < 0:
+                who = np.flatnonzero(low < 0)
                 low[who] &= (1 << 63) - 1
                 at = pos[who] - 1
                 while len(at):  # add one to the word before, and on while that overflows
@@ -229,11 +231,12 @@ def encode_chunk(ids: np.ndarray) -> bytes:
                 zero.follow(grid[t - _SWITCH : t, :k])
             at0 = zero.chosen[:k] * zero.wide + now
             model.predict(k)
-            hit2 = now == model.id2
+            hit1, hit2 = now == model.id1, now == model.id2
             fa, fb = model.fa, model.fb
-            escape = ~hit2 & ((now != model.id1) | (fb == 0))
+            miss2 = ~hit2
+            escape = miss2 & (~hit1 | (fb == 0))
             fab = fa + fb
-            start = np.where(escape, fab, fa * ~hit2)
+            start = np.where(escape, fab, fa * miss2)
             width = np.where(escape, 65536 - fab, np.where(hit2, fa, fb))
             r = span[:k] >> 16
             s = r * width
@@ -242,11 +245,11 @@ def encode_chunk(ids: np.ndarray) -> bytes:
             s = np.where(escape, r0 * freq.take(at0), s)
             carry()
             span[:k] = s
-            lanes = np.flatnonzero(s < _BOTTOM)
+            lanes = (s < _BOTTOM).nonzero()[0]
             if len(lanes):
                 emit(lanes)
                 span[lanes] <<= 32
-            model.update(k, now)
+            model.update(k, now, hit1, hit2)
         every = np.arange(blocks)
         for _ in range(2):
             emit(every)
@@ -328,7 +331,7 @@ def decode_chunk(data: bytes, only: list[int] | None = None) -> np.ndarray:
         s = np.where(escape, r0 * freq.take(at0), s)
         now = np.where(hit2, model.id2, np.where(escape, found, model.id1))
         code[:k], span[:k] = c, s
-        low = np.flatnonzero(s < _BOTTOM)
+        low = (s < _BOTTOM).nonzero()[0]
         if len(low):
             at = pos[low]
             word = words.take(at, mode="clip")
@@ -337,7 +340,7 @@ def decode_chunk(data: bytes, only: list[int] | None = None) -> np.ndarray:
             pos[low] = at + 1
             span[low] <<= 32
         grid[t, :k] = now
-        model.update(k, now)
+        model.update(k, now, now == model.id1, now == model.id2)
     grid = distinct.take(grid, mode="clip")
     parts = [grid[: length[i], i] for i in range(lanes)]
     for i, p in enumerate(parts):
