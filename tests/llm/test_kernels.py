@@ -169,3 +169,23 @@ def test_pairs_of_a_long_list_take_little_memory():
     tracemalloc.stop()
     assert found == {(i, i + n // 2) for i in range(n // 2)}
     assert peak < 64 << 20
+
+
+def test_other_operators_drop_a_worker_s_encoder():
+    import gc
+    import weakref
+
+    from weftline.llm import bytebpe, decontaminate, jaccard_join, piece_bpe, toxicity
+
+    texts = pa.RecordBatch.from_arrays([pa.array([0]), pa.array(["some words here"])], names=["key", "text"])
+    for use in (
+        lambda: jaccard_join._sets(texts.column(1), 5),
+        lambda: list(toxicity._contexts([texts])),
+        lambda: list(decontaminate._shards([texts], 1)),
+        lambda: bytebpe.opened(public_tokenizers.path("byte_bpe_50k.json")),
+    ):
+        held = weakref.ref(piece_bpe.opened(public_tokenizers.path("piece_bpe_32k.model")))
+        assert piece_bpe.opened(public_tokenizers.path("piece_bpe_32k.model")) is held()
+        use()
+        gc.collect()
+        assert held() is None

@@ -7,7 +7,7 @@ import unicodedata
 
 import numpy as np
 
-from .segments import SegmentEncoder
+from .segments import SegmentEncoder, kept
 
 LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 0
 # The characters that \s matches in the tokenizer's split pattern.
@@ -92,12 +92,6 @@ class ByteBPE(SegmentEncoder):
         return super().count(data, offs)
 
 
-_open: dict[str, ByteBPE] = {}
-
-
 def opened(path: str) -> ByteBPE:
     """One encoder for each worker process and file."""
-    if path not in _open:
-        _open.clear()
-        _open[path] = ByteBPE(path)
-    return _open[path]
+    return kept(ByteBPE, path)

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .common import bound_batches, cut, text_buffers
-from .segments import SegmentCache, mix64, pieces
+from .segments import SegmentCache, let_go, mix64, pieces
 from .words import WORD_CHARS, words
 
 #: Bytes of benchmark text searched in one pass.
@@ -151,6 +151,7 @@ def _cut(text: bytes, spans: np.ndarray) -> bytes:
 
 def _shards(batches, column: int):
     """Group Arrow batches to shards of about SHARD_BYTES."""
+    let_go()
     held, size = [], 0
     for batch in batches:
         if batch.num_rows:

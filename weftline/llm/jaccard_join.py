@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from weftline.operators.components import components
 
 from .common import HARMLESS, HEAVY_KEYS, bound_batches, cut, partitions, passing, spread_join, text_buffers
-from .segments import SegmentCache, mix64
+from .segments import SegmentCache, let_go, mix64
 from .words import shingles
 
 #: Documents in the sample that tells frequent tokens, and the documents of it that hold one at least.
@@ -69,6 +69,7 @@ class Order:
 
 def _sets(column, width: int):
     """Sorted distinct shingle hashes of each text."""
+    let_go()
     h, at = shingles(*text_buffers(column), width)
     at = at.tolist()
     return [np.unique(h[a:b]) for a, b in zip(at[:-1], at[1:])]

@@ -13,7 +13,7 @@ import hashlib
 
 import numpy as np
 
-from .segments import SegmentEncoder
+from .segments import SegmentEncoder, kept
 
 MARK = "▁"
 
@@ -192,12 +192,6 @@ class BacktrackEncoder(SegmentEncoder):
         return self._names
 
 
-_open: dict[str, BacktrackEncoder] = {}
-
-
 def opened(path: str) -> BacktrackEncoder:
     """One encoder for each worker process and file."""
-    if path not in _open:
-        _open.clear()
-        _open[path] = BacktrackEncoder(path)
-    return _open[path]
+    return kept(BacktrackEncoder, path)

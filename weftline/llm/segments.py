@@ -7,6 +7,9 @@ looked up in an open-addressing table that lives as long as the Python worker, a
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable
+
 import numpy as np
 
 _MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -221,3 +224,26 @@ class SegmentEncoder:
             entries, before = self.entries(cps, o)
             out.append(np.diff(np.concatenate([[0], np.cumsum(self.cache.length[entries], dtype=np.int64)])[before]))
         return np.concatenate(out)
+
+
+#: The encoder that a Python worker keeps from task to task.
+_kept: dict = {}
+
+
+def kept(make: Callable[[str], SegmentEncoder], path: str) -> SegmentEncoder:
+    """make(path), once for each worker process as long as no other encoder is asked for."""
+    if (make, path) not in _kept:
+        let_go()
+        _kept[make, path] = make(path)
+    return _kept[make, path]
+
+
+def let_go() -> None:
+    """Drop the worker's encoder, which takes some 100 MB: workers outlive a stage, and operators without an encoder run in
+    them too. What is freed goes back to the system."""
+    if _kept:
+        _kept.clear()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (OSError, AttributeError):  # not glibc
+            pass

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .common import bound_batches, text_buffers
-from .segments import SegmentCache, pieces, span_hashes
+from .segments import SegmentCache, let_go, pieces, span_hashes
 from .words import WORD_CHARS, words
 
 # Seed words of each class, in English, German, French and Spanish.
@@ -294,6 +294,7 @@ def _contexts(batches):
     so copies of a text, or one long text, lend a word hardly any support."""
     import zlib
 
+    let_go()
     for batch in batches:
         folds, found, contexts = [], [], []
         for fold, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -401,6 +402,7 @@ def score(docs: DataFrame, model: tuple[Lexicon, np.ndarray], key: str = "doc_id
     names = [c for c in docs.columns if c != "predicted"]
 
     def run(batches):
+        let_go()
         reader = Reader(lexicon)
         for batch in batches:
             if keep:
