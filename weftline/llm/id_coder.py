@@ -50,7 +50,7 @@ _START2 = _STRETCH[[40, 900, 1800, 2500, 3000, 3400, 3700, 3900]]
 
 # What becomes of a confidence: by a miss (a prediction of little confidence is replaced), then by a hit.
 _STEP = np.array([0, 0, 0, *[-2] * (_CONF - 3), *[1] * (_CONF - 1), 0], np.int32)
-_REPLACED = np.arange(2 * _CONF) < 3
+_REPLACED = (np.arange(2 * _CONF) < 3).astype(np.int32)
 
 
 class _Model:
@@ -59,52 +59,93 @@ class _Model:
     def __init__(self, lanes: int):
         self.base1, self.base2 = np.arange(lanes, dtype=np.int64) << _SLOTS1, np.arange(lanes, dtype=np.int64) << _SLOTS2
         self.tab1, self.tab2 = np.zeros(lanes << _SLOTS1, np.int32), np.zeros(lanes << _SLOTS2, np.int32)
-        self.prev1, self.prev2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+        # Hashes of the last id for order 1 and of the one before it for order 2.
+        self.hash1, self.hash2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
         self.w1, self.w2 = np.full(lanes, 1 << 12, np.int32), np.full(lanes, 1 << 12, np.int32)
         self.against = np.full(lanes, -(1 << 9), np.int32)  # weight of order 1 in order 2 where they differ
-        self.steps = 0
+        self.last, self.steps = np.zeros(lanes, np.int64), 0
 
     def predict(self, n: int) -> None:
         """For the first n lanes: the two predicted ids, and shares fa and fb of 65536 for a hit of each."""
-        k = self.prev1[:n] * 40503
-        self.slot1 = (k >> 4 & ((1 << _SLOTS1) - 1)) + self.base1[:n]
-        k += self.prev2[:n] * 60493
-        self.slot2 = (k >> 5 & ((1 << _SLOTS2) - 1)) + self.base2[:n]
-        self.e1, self.e2 = self.tab1.take(self.slot1), self.tab2.take(self.slot2)
+        k = self.hash1[:n]
+        self.slot1 = k >> 4
+        self.slot1 &= (1 << _SLOTS1) - 1
+        self.slot1 += self.base1[:n]
+        k = k + self.hash2[:n]
+        k >>= 5
+        k &= (1 << _SLOTS2) - 1
+        k += self.base2[:n]
+        self.slot2 = k
+        self.e1, self.e2 = self.tab1.take(self.slot1, mode="clip"), self.tab2.take(k, mode="clip")
         self.id1, self.id2 = self.e1 >> 3, self.e2 >> 3
         self.c1, self.c2 = self.e1 & 7, self.e2 & 7
-        self.x1, self.x2 = _START1.take(self.c1), _START2.take(self.c2)
-        self.same = self.id1 == self.id2
+        self.x1, self.x2 = _START1.take(self.c1.astype(np.int64), mode="clip"), _START2.take(self.c2.astype(np.int64), mode="clip")
+        # Flags are whole numbers from here on: products with them cost less than choices.
+        self.differ = (self.id1 != self.id2).astype(np.int32)
         z = self.w1[:n] * self.x1
-        mixed = self.w2[:n] * self.x2 + np.where(self.same, z, self.against[:n] * self.x1)
+        other = self.against[:n] * self.x1
+        other -= z
+        other *= self.differ
+        other += z
+        other += self.w2[:n] * self.x2
+        other >>= 15
+        other += 256
         # Stretched sums in 1/256, times 1 << 12; squash takes eighths.
-        self.pa = _SQUASH.take((mixed >> 15) + 256, mode="clip")
-        self.pb = _SQUASH.take((z >> 15) + 256, mode="clip")
+        self.pa = _SQUASH.take(other.astype(np.int64), mode="clip")
+        z >>= 15
+        z += 256
+        self.pb = _SQUASH.take(z.astype(np.int64), mode="clip")
         self.fa = self.pa - (self.pa >> 9)
         rest = 65536 - self.fa
-        fb = np.minimum((rest >> 4) * (self.pb >> 4) >> 8, rest - _FLOOR)
-        fb *= ~self.same
+        fb = rest >> 4
+        fb *= self.pb >> 4
+        fb >>= 8
+        rest -= _FLOOR
+        np.minimum(fb, rest, out=fb)
+        fb *= self.differ
         self.fb = fb
 
     def update(self, n: int, ids: np.ndarray, h1: np.ndarray, h2: np.ndarray) -> None:
-        """h1, h2: where the ids are the predicted ones."""
+        """ids: as 32-bit integers; h1, h2: flags (0 or 1, 32-bit) of those that are the predicted ones."""
         fresh = (ids << 3) + 1
         for h, e, c, tab, slot in ((h1, self.e1, self.c1, self.tab1, self.slot1), (h2, self.e2, self.c2, self.tab2, self.slot2)):
-            at = c + (h << 3)
-            tab[slot] = np.where(_REPLACED.take(at), fresh, e + _STEP.take(at))
+            c += h << 3
+            at = c.astype(np.int64)
+            e += _STEP.take(at, mode="clip")
+            new = fresh - e
+            new *= _REPLACED.take(at, mode="clip")
+            e += new
+            tab[slot] = e
         if self.steps & 1:  # every second id moves the weights
-            err = ((h2 << 16) - self.pa) >> 6
-            self.w2[:n] += err * self.x2 >> 12
-            err1 = np.where(self.same, err, (((h1 << 16) - self.pb) >> 6) * ~h2)
-            self.w1[:n] += err1 * self.x1 >> 12
-            self.against[:n] += (err * ~self.same) * self.x1 >> 12
+            err = h2 << 16
+            err -= self.pa
+            err >>= 6
+            # Where the predictions differ, order 1 errs on its own, unless order 2 has hit.
+            alone = h1 << 16
+            alone -= self.pb
+            alone >>= 6
+            alone *= 1 - h2
+            alone -= err
+            alone *= self.differ
+            alone += err
+            alone *= self.x1
+            alone >>= 12
+            self.w1[:n] += alone
+            err2 = err * self.x2
+            err2 >>= 12
+            self.w2[:n] += err2
+            err *= self.differ
+            err *= self.x1
+            err >>= 12
+            self.against[:n] += err
         self.steps += 1
         if not self.steps & 15:
             np.clip(self.w1, 1 << 8, 1 << 14, out=self.w1)
             np.clip(self.w2, 1 << 8, 1 << 14, out=self.w2)
             np.clip(self.against, -(1 << 13), 1 << 13, out=self.against)
-        self.prev2[:n] = self.prev1[:n]
-        self.prev1[:n] = ids
+        np.multiply(self.last[:n], 60493, out=self.hash2[:n])
+        self.last[:n] = ids
+        np.multiply(self.last[:n], 40503, out=self.hash1[:n])
 
 
 def _float16(counts: np.ndarray) -> np.ndarray:
@@ -164,7 +205,8 @@ class _Order0:
 
     def begin(self, lanes: int) -> None:
         self.score = np.zeros((lanes, self.tables), np.int32)
-        self.chosen = np.full(lanes, self.first, np.int64)
+        self.base = np.full(lanes, self.first * self.wide, np.int64)  # where the chosen table begins in freq,
+        self.slot0 = np.full(lanes, self.first << self.bits, np.int64)  # and in slots()
 
     def follow(self, ids: np.ndarray) -> None:
         """ids: the last rows of ids of the first lanes."""
@@ -172,9 +214,14 @@ class _Order0:
             n = ids.shape[1]
             own = self.score[:n]
             own >>= 1
-            for row in ids:
-                own += self.cost.take(row, axis=0)
-            self.chosen[:n] = np.argmin(own, axis=1)
+            # An id costs at most 18 bits: 16 of them fit 16-bit numbers.
+            spent = self.cost.take(ids[0], axis=0, mode="clip")
+            for row in ids[1:]:
+                spent += self.cost.take(row, axis=0, mode="clip")
+            own += spent
+            chosen = np.argmin(own, axis=1)
+            np.multiply(chosen, self.wide, out=self.base[:n])
+            np.left_shift(chosen, self.bits, out=self.slot0[:n])
 
 
 def encode_chunk(ids: np.ndarray) -> bytes:
@@ -229,20 +276,25 @@ def encode_chunk(ids: np.ndarray) -> bytes:
             now = grid[t, :k]
             if t and not t % _SWITCH:
                 zero.follow(grid[t - _SWITCH : t, :k])
-            at0 = zero.chosen[:k] * zero.wide + now
+            at0 = now + zero.base[:k]
             model.predict(k)
-            hit1, hit2 = now == model.id1, now == model.id2
+            hit1, hit2 = (now == model.id1).astype(np.int32), (now == model.id2).astype(np.int32)
             fa, fb = model.fa, model.fb
-            miss2 = ~hit2
-            escape = miss2 & (~hit1 | (fb == 0))
-            fab = fa + fb
-            start = np.where(escape, fab, fa * miss2)
-            width = np.where(escape, 65536 - fab, np.where(hit2, fa, fb))
+            escape = (hit2 | hit1 & (fb != 0)) == 0
+            flag = escape.astype(np.int32)
+            # The share of the order-2 hit begins at 0, of the order-1 hit at fa, of the escape at fa + fb.
+            start = fa * (1 - hit2) + fb * flag
+            width = (fa - fb) * hit2 + fb + (65536 - fa - fb - fb) * flag
             r = span[:k] >> 16
-            s = r * width
+            s = r * width.astype(np.int64)
             r0 = s >> zero.bits
-            low[:k] += r * start + r0 * cum.take(at0) * escape
-            s = np.where(escape, r0 * freq.take(at0), s)
+            r *= start.astype(np.int64)
+            inside = r0 * cum.take(at0, mode="clip")
+            inside *= flag.astype(np.int64)
+            r += inside
+            low[:k] += r
+            r0 *= freq.take(at0, mode="clip")
+            s = np.where(escape, r0, s)
             carry()
             span[:k] = s
             lanes = (s < _BOTTOM).nonzero()[0]
@@ -311,25 +363,27 @@ def decode_chunk(data: bytes, only: list[int] | None = None) -> np.ndarray:
         k = int((length > t).sum()) if t >= length[-1] else lanes  # only the last lane can be shorter
         if t and not t % _SWITCH:
             zero.follow(grid[t - _SWITCH : t, :k])
-        chosen = zero.chosen[:k]
+        base = zero.base[:k]
         model.predict(k)
-        fa, fab = model.fa, model.fa + model.fb
         r = span[:k] >> 16
         c = code[:k]
-        v = c.view(np.uint64) // r.view(np.uint64)
-        v = v.view(np.int64)
-        hit2, escape = v < fa, v >= fab
-        start = np.where(escape, fab, fa * ~hit2)
-        width = np.where(escape, 65536 - fab, np.where(hit2, fa, model.fb))
-        c = c - r * start
-        s = r * width
+        # Where the escape's share begins, and the order-1 hit's.
+        to1, to2 = r * (model.fa + model.fb).astype(np.int64), r * model.fa.astype(np.int64)
+        hit2, escape = c < to2, c >= to1
+        c = c - np.where(escape, to1, to2 * ~hit2)
+        s = np.where(escape, (r << 16) - to1, np.where(hit2, to2, to1 - to2))
         r0 = s >> zero.bits
         where0 = (c.view(np.uint64) // r0.view(np.uint64)).view(np.int64)
-        found = slot.take((chosen << zero.bits) + np.minimum(where0, (1 << zero.bits) - 1), mode="clip")
-        at0 = chosen * zero.wide + found
-        c -= r0 * cum.take(at0) * escape
-        s = np.where(escape, r0 * freq.take(at0), s)
-        now = np.where(hit2, model.id2, np.where(escape, found, model.id1))
+        np.minimum(where0, (1 << zero.bits) - 1, out=where0)
+        where0 += zero.slot0[:k]
+        found = slot.take(where0, mode="clip")
+        at0 = base + found
+        inside = r0 * cum.take(at0, mode="clip")
+        inside *= escape
+        c -= inside
+        r0 *= freq.take(at0, mode="clip")
+        s = np.where(escape, r0, s)
+        now = np.where(hit2, model.id2, np.where(escape, found.astype(np.int32), model.id1))
         code[:k], span[:k] = c, s
         low = (s < _BOTTOM).nonzero()[0]
         if len(low):
@@ -340,7 +394,7 @@ def decode_chunk(data: bytes, only: list[int] | None = None) -> np.ndarray:
             pos[low] = at + 1
             span[low] <<= 32
         grid[t, :k] = now
-        model.update(k, now, now == model.id1, now == model.id2)
+        model.update(k, now, (now == model.id1).astype(np.int32), (now == model.id2).astype(np.int32))
     grid = distinct.take(grid, mode="clip")
     parts = [grid[: length[i], i] for i in range(lanes)]
     for i, p in enumerate(parts):
