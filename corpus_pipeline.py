@@ -13,6 +13,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from weftline.scratch import cut
 
+#: Bytes of an Arrow batch: a Python worker goes through all stages and keeps what each has left in it, so little may be.
+BATCH_BYTES = 2 << 20
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -20,8 +23,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score 0.3 or more go. The model is learned from labelled rows of docs."""
+    from weftline.llm.common import bound_batches
     from weftline.llm.toxicity import learn, score
 
+    bound_batches(spark, BATCH_BYTES)
     model = learn(docs, table(spark, sf_dir, "labels"))
     return score(docs, model, threshold=0.3, keep=True).where("predicted = 0").select(*docs.columns)
 
@@ -38,23 +43,29 @@ def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that links of similarity 0.8 or more connect, the one with the least doc_id stays."""
+    from weftline.llm.common import bound_batches
     from weftline.llm.jaccard_join import keep_one
 
+    bound_batches(spark, BATCH_BYTES)
     return keep_one(docs)
 
 
 def remove_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words in any 10-word window of a benchmark item are cut out of the texts."""
+    from weftline.llm.common import bound_batches
     from weftline.llm.decontaminate import remove
 
+    bound_batches(spark, BATCH_BYTES)
     return remove(docs, table(spark, sf_dir, "benchmark"))
 
 
 def to_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """SentencePiece ids of what is left, with digests of the ids and of the decoded text."""
+    from weftline.llm.common import bound_batches
     from weftline.llm.queries import tokenizer
     from weftline.llm.sentencepiece_codec import encode_decode
 
+    bound_batches(spark, BATCH_BYTES)
     return encode_decode(docs, tokenizer("piece_bpe_32k.model"), with_ids=True)
 
 

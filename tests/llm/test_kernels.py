@@ -201,3 +201,41 @@ def test_coded_bytes_stay_as_they_were():
     assert (len(coded), zlib.crc32(coded)) == (150077, 411552627)
     assert (decode_chunk(coded) == ids).all()
     assert (decode_chunk(coded, [3, 70]) == np.concatenate([ids[3 * BLOCK : 4 * BLOCK], ids[70 * BLOCK :]])).all()
+
+
+def test_a_worker_s_encoder_and_shingles_take_little_memory():
+    import tracemalloc
+
+    from weftline.llm import jaccard_join, piece_bpe
+
+    r = np.random.default_rng(3)
+    texts = pa.array([" ".join("".join(chr(97 + c) for c in r.integers(0, 26, 9)) for _ in range(60)) for _ in range(3000)])
+    coder = piece_bpe.BacktrackEncoder(public_tokenizers.path("piece_bpe_32k.model"))
+    for use, most in ((lambda: coder.encode(*text_buffers(texts)), 96 << 20), (lambda: jaccard_join._sets(texts, 5), 14 << 20)):
+        tracemalloc.start()
+        use()
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < most, peak >> 20
+
+
+def test_pairs_of_tokens_share_the_vocabulary_s_strings():
+    from weftline.llm import piece_bpe
+
+    coder = piece_bpe.opened(public_tokenizers.path("piece_bpe_32k.model"))
+    coder.encode(*text_buffers(pa.array(["unfathomable zyxwv qwertz words of several tokens, " * 3])))
+    assert coder.fits and all(coder.tokens.get(x, x) is x for pair in coder.fits for x in pair)
+
+
+def test_a_smaller_bound_of_batches_stays():
+    from types import SimpleNamespace
+
+    from weftline.llm.common import ARROW_BATCH_BYTES, bound_batches
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    for own, bounds, left in ((None, [0, 2 << 20, 0], 2 << 20), (None, [2 << 20, 0], 2 << 20), (None, [0], ARROW_BATCH_BYTES), ("123", [0, 2 << 20], 123)):
+        conf = {} if own is None else {key: own}
+        spark = SimpleNamespace(conf=SimpleNamespace(get=conf.get, set=conf.__setitem__))
+        for b in bounds:
+            bound_batches(spark, b or ARROW_BATCH_BYTES)
+        assert int(conf[key]) == left

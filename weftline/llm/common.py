@@ -16,11 +16,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bound_batches(spark: SparkSession) -> None:
-    """Bound Arrow batches by bytes too, unless the session sets its own bound."""
+def bound_batches(spark: SparkSession, most: int = ARROW_BATCH_BYTES) -> None:
+    """Bound Arrow batches by bytes too, unless the session sets its own bound. A bound of less than ARROW_BATCH_BYTES
+    takes the place of that one and stays."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(key, None) is None:
-        spark.conf.set(key, str(ARROW_BATCH_BYTES))
+    held = spark.conf.get(key, None)
+    if held is None or held == str(ARROW_BATCH_BYTES) and most < ARROW_BATCH_BYTES:
+        spark.conf.set(key, str(most))
 
 
 def partitions(spark: SparkSession) -> int:

@@ -77,7 +77,7 @@ class Phrases:
 def find_spans(phrases: Phrases, table: SegmentCache, data: np.ndarray, offs: np.ndarray):
     """Of one shard: (words of each text, hit flags of all words, items of each text that has any)."""
     parts, counts = [], []
-    for i, j in pieces(offs, 1 << 20):
+    for i, j in pieces(offs):
         h, _, _, at = words(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], WORD_CHARS)
         parts.append((table.find(np.where(h == 0, np.uint64(1), h)) + 1).astype(np.int32))
         counts.append(np.diff(at))

@@ -13,7 +13,7 @@ import hashlib
 
 import numpy as np
 
-from .segments import SegmentEncoder, kept
+from .segments import CHUNK, SegmentEncoder, kept
 
 MARK = "▁"
 
@@ -45,7 +45,13 @@ class PieceModel:
                 self.out.append(piece.replace(MARK, " ").encode())
 
 
+#: Pairs of tokens of which a worker remembers whether they are compatible, some 130 bytes each.
+MOST_FITS = 1 << 18
+
+
 class BacktrackEncoder(SegmentEncoder):
+    chunk, slots_log2 = CHUNK, 20
+
     def __init__(self, path: str):
         import ahocorasick
 
@@ -58,7 +64,7 @@ class BacktrackEncoder(SegmentEncoder):
         low = keys[((keys >> 21) < 1 << 10) & ((keys & 0x1FFFFF) < 1 << 10)]
         self.small[low >> 21, low & 0x1FFFFF] = True
         # Tokens that merging can produce at all; a sequence of tokens never has others.
-        self.tokens = {p for p in m.ids if len(p) == 1 or self.merged(p) == [p]}
+        self.tokens = {p: p for p in m.ids if len(p) == 1 or self.merged(p) == [p]}
         self.automaton = ahocorasick.Automaton()
         for p in self.tokens:
             self.automaton.add_word(p, len(p))
@@ -84,9 +90,10 @@ class BacktrackEncoder(SegmentEncoder):
         """Whether re-merging the two tokens' characters gives the two tokens back."""
         key = (a, b)
         if (known := self.fits.get(key)) is None:
-            if len(self.fits) > 1 << 20:
+            if len(self.fits) >= MOST_FITS:
                 self.fits.clear()
-            known = self.fits[key] = self.merged(a + b) == [a, b]
+            # The vocabulary's own strings are kept, not copies of them for each pair.
+            known = self.fits[self.tokens.get(a, a), self.tokens.get(b, b)] = self.merged(a + b) == [a, b]
         return known
 
     def prefix(self, token: str) -> str | None:

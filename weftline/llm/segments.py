@@ -73,7 +73,12 @@ def code_points(data, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return cps, first[offs]
 
 
-def pieces(offs: np.ndarray, most: int):
+#: Bytes of text hashed at once: temporary arrays stay near this size times about 100 bytes, and what powers() keeps near
+#: this size times 32.
+CHUNK = (1 << 18) - 1
+
+
+def pieces(offs: np.ndarray, most: int = CHUNK):
     """Split texts into runs (from, to) of at most `most` values, or one text."""
     i, n = 0, len(offs) - 1
     while i < n:
@@ -170,9 +175,11 @@ class SegmentEncoder:
 
     #: Code points worked on at once: temporary arrays stay near this size times about 60 bytes.
     chunk = 1 << 20
+    #: Slots of the cache, of 12 bytes each.
+    slots_log2 = 22
 
     def __init__(self):
-        self.cache = SegmentCache()
+        self.cache = SegmentCache(self.slots_log2)
 
     def starts(self, cps: np.ndarray, first: np.ndarray) -> np.ndarray:
         """A flag for each code point that begins a segment; first: the flags of those that begin a text."""

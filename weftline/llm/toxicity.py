@@ -189,7 +189,7 @@ class Reader:
     def counts(self, data, offs: np.ndarray) -> np.ndarray:
         """A row of pattern counts for each text."""
         out = np.zeros((len(offs) - 1, len(PATTERNS)))
-        for i, j in pieces(offs, 1 << 20):
+        for i, j in pieces(offs):
             o = offs[i : j + 1] - offs[i]
             raw = np.frombuffer(data, np.uint8)[offs[i] : offs[j]].tobytes()
             for mark, plain in _CURLY:

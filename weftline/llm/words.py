@@ -40,7 +40,7 @@ def shingles(data, offs: np.ndarray, width: int = 5):
     sequence of a text with fewer words; none of a text without words."""
     out, counts = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)]
     scale = [np.uint64(pow(int(_MULT), j + 1, 1 << 64)) for j in range(width)]
-    for i, j in pieces(offs, 1 << 20):
+    for i, j in pieces(offs):
         h, _, _, at = words(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], NOT_BLANK)
         n = np.diff(at)
         full = np.maximum(n - width + 1, 0)
